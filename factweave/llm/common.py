@@ -154,5 +154,5 @@ def keep_bucketed(df: DataFrame, key: str) -> DataFrame:
     """df written into the shared folder in buckets of key: later groupings by key move none of its rows."""
     spark, name, n = df.sparkSession, f"factweave_{uuid.uuid4().hex}", width(df.sparkSession)
     path = f"{shared_dir(spark)}/{name}"
-    df.repartition(n, key).write.option("path", path).option("compression", "zstd").bucketBy(n, key).saveAsTable(name)
+    df.repartition(n, key).write.option("path", path).option("compression", "zstd").option("parquet.block.size", 16 << 20).bucketBy(n, key).saveAsTable(name)
     return spark.table(name)

@@ -1,7 +1,7 @@
 """Removal of long byte strings that repeat anywhere in a corpus, by merging Burrows-Wheeler transforms.
 
 Every text is cut into phrases at content-defined anchors (the smallest hash in a sliding window), which are
-the same wherever the same bytes stand.  A shard is about 32 MB of whole texts; it sorts the suffixes of its
+the same wherever the same bytes stand.  A shard is about 16 MB of whole texts; it sorts the suffixes of its
 phrase sequence once and keeps the transform (the phrase before each suffix), the backward step and the text.
 The shards' transforms are then merged by refining their interleave round by round: a round steps every
 interval of equal suffixes one phrase backwards within its shard, and a window over the new common prefix adds
@@ -11,8 +11,10 @@ common prefix reaches what any repeated string must share give the anchors whose
 step follows on these alone: ranges of window starts are compared by the hash of what all of the range's windows
 share (a core) and of what they span (a full), in ranges of 64, 8 and 1, so that copies settle as whole ranges.
 
-Nothing passes through the driver but the number of rounds; a group's size bounds no task, since groups meet
-only in partial aggregations, and a shard's memory is bounded by its bytes (one longer text is a shard alone).
+Shards exchange packed arrays: a shard adds up what it holds of a prefix or range before it sends it, so a
+reducer sees as many entries of one as there are shards, however often it occurs.  Nothing passes through the
+driver but whether a round left anything, and a shard's memory is bounded by its bytes (one longer text is a
+shard alone).
 """
 
 from __future__ import annotations
@@ -20,14 +22,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.common import M1, U64, Rolling, byte_column, free, keep, keep_bucketed, mix, row_blocks
+from factweave.llm.common import M1, U64, Rolling, byte_column, free, keep, keep_bucketed, mix, row_blocks, width
 
 GRAM, SLIDE, GRID = 16, 128, (64, 8, 1)
-SHARD_BYTES = 32 << 20
-BLOCK_BYTES = 4 << 20
+SHARD_BYTES = 16 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def _anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int, slide: int, roll: Rolling):
@@ -86,9 +89,54 @@ def _suffixes(sym: np.ndarray) -> np.ndarray:
             return order
 
 
-SHARD = "shard long, meta binary, text binary, bounds binary, bwt binary, before binary, step binary, sa binary, firsts binary, cells binary"
-LIVE = "shard long, block long, lo int, hi int, length int, without_last int, front boolean"
-CELL = [("anchor", "<i4"), ("low", "u1"), ("high", "u1"), ("core", "<i8"), ("full", "<i8")]
+SHARD = "shard long, meta binary, text binary, bounds binary, bwt binary, before binary, step binary, sa binary, ranges binary"
+SENT, HELD = "shard long, part int, pack binary", "shard long, kind int, pack binary"
+LIVE = ("<i8", "<i4", "<i4", "<u2", "u1", "u1")  # prefix, first row, rows, bytes, bytes without the last phrase, front
+ASK = ("<i8", "<i8", "<i4", "<i4", "u1")  # core, full, members here, their number here, whether undecided
+MEMBER = ("<i4", "u1", "u1", "<i4", "u1")  # anchor, low, high, number here, whether undecided
+ANSWER = ("<i4", "u1")  # number, 1: repeats, 2: look closer, 4: undecided
+
+
+def _pack(kinds, columns) -> bytes:
+    return b"".join(np.ascontiguousarray(c, k).tobytes() for c, k in zip(columns, kinds, strict=True))
+
+
+def _unpack(kinds, raws) -> list[np.ndarray]:
+    """The columns of packs, one pack after the other."""
+    size, parts = sum(np.dtype(k).itemsize for k in kinds), [[] for _ in kinds]
+    for raw in raws:
+        raw = raw.as_buffer()
+        n, at = len(raw) // size, 0
+        for k, out in zip(kinds, parts, strict=True):
+            out.append(np.frombuffer(raw, k, n, at))
+            at += n * np.dtype(k).itemsize
+    return [np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(parts, kinds, strict=True)]
+
+
+def _dealt(shard: int, key: np.ndarray, parts: int, kinds, columns) -> list[tuple]:
+    """(shard, part, pack) rows of the columns, dealt by key."""
+    to = (mix(key.view(U64)) % U64(parts)).astype(np.int64)
+    order = np.lexsort((key, to))
+    cuts = np.searchsorted(to[order], np.arange(parts + 1))
+    return [(shard, p, _pack(kinds, [c[order[cuts[p] : cuts[p + 1]]] for c in columns])) for p in range(parts) if cuts[p] < cuts[p + 1]]
+
+
+def _rows(ddl: str, rows: list[tuple]) -> pa.Table:
+    schema = _arrow(ddl)
+    return pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+
+def _back(shard: np.ndarray, kinds, columns, kind: int) -> pa.Table:
+    """(shard, kind, pack) rows of the columns, by shard."""
+    order = np.argsort(shard, kind="stable")
+    cut = np.flatnonzero(np.diff(shard[order], prepend=-1))
+    stop = np.append(cut[1:], len(order))[: len(cut)]
+    return _rows(HELD, [(int(shard[order[i]]), kind, _pack(kinds, [c[order[i:j]] for c in columns])) for i, j in zip(cut, stop, strict=True)])
+
+
+def _senders(table: pa.Table, kinds) -> np.ndarray:
+    size = sum(np.dtype(k).itemsize for k in kinds)
+    return np.repeat(table.column("shard").to_numpy(), [len(x.as_buffer()) // size for x in table.column("pack")])
 
 
 def _build(window: int, slide: int, names: list[str], shard_bytes: int):
@@ -102,40 +150,30 @@ def _build(window: int, slide: int, names: list[str], shard_bytes: int):
             data, offsets = byte_column(table.column(0))
             base = offsets[0]
             data, offsets = data[base : offsets[-1]], offsets - base
-            seqs, positions, cells, n = [], [], [], 0
+            seqs, positions = [], []
             for lo, hi in row_blocks(offsets, BLOCK_BYTES):
                 at = offsets[lo]
-                keep_ = np.flatnonzero(np.diff(offsets[lo : hi + 1]) >= window) + lo
-                b, low, high, sym, length, d, sums = _anchors(data[at : offsets[hi]], offsets[keep_] - at, offsets[keep_ + 1] - at, window, slide, roll)
-                i, c_lo, c_hi, core, full = _ranges(b, low, high, GRID[0], window, sums, roll)
-                cell = np.empty(len(i), CELL)
-                cell["anchor"], cell["low"], cell["high"], cell["core"], cell["full"] = i + n, c_lo, c_hi, core, full
-                seqs.append((sym, length))
+                long = np.flatnonzero(np.diff(offsets[lo : hi + 1]) >= window) + lo
+                b, low, high, sym, length, _, _ = _anchors(data[at : offsets[hi]], offsets[long] - at, offsets[long + 1] - at, window, slide, roll)
+                empty = low > high
+                seqs.append((sym, length, np.where(empty, 1, low), np.where(empty, 0, high)))
                 positions.append(b + at)
-                cells.append(cell)
-                n += len(b)
-            sym, length = (np.concatenate([s[k] for s in seqs]) for k in (0, 1))
-            pos, cell = np.concatenate(positions), np.concatenate(cells)
+            sym, length, low, high = (np.concatenate([s[k] for s in seqs]) for k in range(4))
+            pos = np.concatenate(positions)
+            n = len(sym)
             sa = _suffixes(sym) if n else np.zeros(0, np.int64)
             inverse = np.empty(n, np.int64)
             inverse[sa] = np.arange(n)
             prev = sa - 1  # the first suffix wraps to the last phrase, which is a text's end
-            firsts = np.flatnonzero(np.concatenate([[True], np.diff(sym[sa].view(np.int64)) != 0])) if n else sa
-            firsts = firsts[sym[sa[firsts]] != 0] if n else firsts
-            stops = np.searchsorted(sym[sa], sym[sa[firsts]], "right") if n and np.all(sym[sa][:-1] <= sym[sa][1:]) else _runs(sym[sa], firsts)
-            first = np.empty(len(firsts), [("block", "<i8"), ("lo", "<i4"), ("hi", "<i4"), ("length", "<i4")])
-            first["block"], first["lo"], first["hi"], first["length"] = mix(sym[sa[firsts]]).view(np.int64), firsts, stops, length[sa[firsts]]
             meta = table.drop_columns(table.column_names[:1])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, meta.schema) as out:
                 out.write_table(meta)
             row = {
-                "shard": (part << 20) + made, "meta": sink.getvalue().to_pybytes(), "text": data.tobytes(), "bounds": offsets.astype("<i8").tobytes(),
+                "shard": (part << 20) + made, "meta": sink.getvalue().to_pybytes(), "text": _squeeze(data), "bounds": offsets.astype("<i8").tobytes(),
                 "bwt": sym[prev].tobytes(), "before": length[prev].astype("u1").tobytes(), "step": inverse[prev].astype("<i4").tobytes(),
-                "sa": np.where(n, pos[sa], 0).astype("<i4").tobytes() if n else b"", "firsts": first.tobytes(), "cells": b"",
+                "sa": sa.astype("<i4").tobytes(), "ranges": pos.astype("<i4").tobytes() + low.astype("u1").tobytes() + high.astype("u1").tobytes(),
             }
-            cell["anchor"] = pos[cell["anchor"]] if n else 0
-            row["cells"] = cell.tobytes()
             return pa.RecordBatch.from_pylist([row], schema=_arrow(SHARD))
 
         for batch in batches:
@@ -152,9 +190,15 @@ def _build(window: int, slide: int, names: list[str], shard_bytes: int):
     return shards
 
 
-def _runs(sorted_syms: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-    cuts = np.flatnonzero(np.concatenate([np.diff(sorted_syms.view(np.int64)) != 0, [True]])) + 1
-    return cuts[np.searchsorted(cuts, firsts, "right")]
+def _squeeze(data: np.ndarray) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data.tobytes(), "zstd", asbytes=True)
+
+
+def _text(left: pa.Table) -> np.ndarray:
+    raw = left.column("text")[0].as_buffer() if left.num_rows else None
+    if raw is None:
+        return np.zeros(0, np.uint8)
+    return np.frombuffer(pa.decompress(raw[8:], int.from_bytes(raw[:8].to_pybytes(), "little"), "zstd"), np.uint8)
 
 
 def _arrow(ddl: str) -> pa.Schema:
@@ -167,114 +211,183 @@ def _column(table: pa.Table, name: str, kind) -> np.ndarray:
     return np.frombuffer(table.column(name)[0].as_buffer(), kind) if table.num_rows else np.zeros(0, kind)
 
 
-def _positions(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n = hi - lo
+def _spread(lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(each run's lo, lo + 1, ..., the run of each)."""
     owner = np.repeat(np.arange(len(lo)), n)
     return np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + lo[owner], owner
 
 
-def _extend(need: int, steps: int):
+def _first(parts: int):
+    """Every shard's intervals of one phrase."""
+
+    def rows(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                left = pa.Table.from_batches([batch.slice(k, 1)])
+                bwt, before, back = _column(left, "bwt", U64), _column(left, "before", "u1"), _column(left, "step", "<i4")
+                first, length = np.empty(len(bwt), U64), np.empty(len(bwt), np.int64)
+                first[back], length[back] = bwt, before  # a suffix begins with the phrase before its step
+                lo = np.flatnonzero(np.diff(first.view(np.int64), prepend=~first.view(np.int64)[:1]))
+                n = np.diff(np.append(lo, len(first)))
+                lo, n = lo[first[lo] != 0], n[first[lo] != 0]
+                block = mix(first[lo]).view(np.int64)
+                made = _dealt(left.column("shard")[0].as_py(), block, parts, LIVE, (block, lo, n, length[lo], np.zeros(len(lo)), np.ones(len(lo))))
+                yield from _rows(SENT, made).to_batches()
+
+    return rows
+
+
+def _merge(table: pa.Table) -> pa.Table:
+    """The intervals whose prefix all shards together hold more than once."""
+    columns = _unpack(LIVE, table.column("pack"))
+    shard = _senders(table, LIVE)
+    order = np.argsort(columns[0], kind="stable")
+    cut = np.flatnonzero(np.diff(columns[0][order], prepend=~columns[0][order][:1]))
+    total = np.add.reduceat(columns[2][order].astype(np.int64), cut)
+    on = order[np.repeat(total > 1, np.diff(np.append(cut, len(order))))]
+    return _back(shard[on], LIVE, [c[on] for c in columns], 0)
+
+
+def _extend(need: int, steps: int, parts: int):
     """Steps intervals of equal suffixes backwards by 1 to steps phrases; the last step's are the new front."""
 
     def step(left: pa.Table, right: pa.Table) -> pa.Table:
         bwt, before, back = _column(left, "bwt", U64), _column(left, "before", "u1"), _column(left, "step", "<i4")
-        lo, hi, block, length, rest = (right.column(c).to_numpy() for c in ("lo", "hi", "block", "length", "without_last"))
+        block, lo, n, length, rest, front = _unpack(LIVE, right.column("pack"))
+        on = (front == 1) & (rest < need - 1)
+        block, lo, n, length, rest = block[on], lo[on].astype(np.int64), n[on].astype(np.int64), length[on].astype(np.int64), rest[on].astype(np.int64)
         out = []
         for k in range(steps):
-            row, owner = _positions(lo.astype(np.int64), hi.astype(np.int64))
+            row, owner = _spread(lo, n)
             ok = (bwt[row] != 0) & (before[row] + rest[owner] < need)
             row, owner = row[ok], owner[ok]
             if not len(row):
                 break
             order = np.argsort(back[row])
             row, owner = row[order], owner[order]
-            to, sym = back[row], bwt[row]
+            to, sym = back[row].astype(np.int64), bwt[row]
             cut = np.flatnonzero(np.concatenate([[True], (np.diff(owner) != 0) | (sym[1:] != sym[:-1])]))
-            stop = np.concatenate([cut[1:], [len(to)]]) - 1
-            own, add = owner[cut], before[row[cut]].astype(np.int32)
+            own, add = owner[cut], before[row[cut]].astype(np.int64)
             block = mix(sym[cut] + M1 * mix(block[own].view(U64))).view(np.int64)
-            lo, hi, length, rest = to[cut], to[stop] + 1, length[own] + add, rest[own] + add
-            shard, front = np.full(len(cut), right.column("shard")[0].as_py()), np.full(len(cut), k == steps - 1)
-            out.append(pa.table([shard, block, lo, hi, length, rest, front], schema=_arrow(LIVE)))
-        return pa.concat_tables(out) if out else _arrow(LIVE).empty_table()
+            lo, n, length, rest = to[cut], np.diff(np.append(cut, len(to))), length[own] + add, rest[own] + add
+            out.append((block, lo, n, length, rest, np.full(len(cut), k == steps - 1)))
+        if not out:
+            return _rows(SENT, [])
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+        return _rows(SENT, _dealt(right.column("shard")[0].as_py(), columns[0], parts, LIVE, columns))
 
     return step
 
 
-def _first(batches):
-    for batch in batches:
-        for shard, raw in zip(batch.column("shard").to_pylist(), batch.column("firsts"), strict=True):
-            x = np.frombuffer(raw.as_buffer(), [("block", "<i8"), ("lo", "<i4"), ("hi", "<i4"), ("length", "<i4")])
-            for k in range(0, len(x), 200_000):
-                y = x[k : k + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v)) for v in (np.full(len(y), shard), y["block"], y["lo"], y["hi"], y["length"], np.zeros(len(y), np.int32), np.ones(len(y), bool))], schema=_arrow(LIVE))
-
-
-RANGE = "shard long, anchor int, low int, high int, core long, full long, need boolean"
-
-
-def _table(shard: int, anchor, low, high, core, full, need) -> pa.Table:
-    return pa.table([np.full(len(anchor), shard), np.asarray(anchor, np.int32), np.asarray(low, np.int32), np.asarray(high, np.int32), np.ascontiguousarray(core), np.ascontiguousarray(full), need], schema=_arrow(RANGE))
-
+def _asked(shard: int, anchor, low, high, core, full, need, parts: int) -> pa.Table:
+    """Members by number, and what the shard holds of each range, dealt by core."""
+    if not len(anchor):
+        return _rows(SENT, [])
+    order = np.lexsort((full, core))
+    new = np.concatenate([[True], (np.diff(core[order]) != 0) | (np.diff(full[order]) != 0)])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    one = order[new]
+    n = np.bincount(number)
+    open_ = np.zeros(len(one), np.uint8)
+    np.maximum.at(open_, number, need.astype(np.uint8))
+    rows = [(shard, -1, _pack(MEMBER, (anchor, low, high, number, need)))]
+    return _rows(SENT, rows + _dealt(shard, core[one], parts, ASK, (core[one], full[one], n, np.arange(len(one)), open_)))
+
+
+def _judge(last: bool):
+    def answer(table: pa.Table) -> pa.Table:
+        core, full, n, number, need = _unpack(ASK, table.column("pack"))
+        shard = _senders(table, ASK)
+        order = np.lexsort((number, shard, full, core))
+        core, full = core[order], full[order]
+        new_core = np.concatenate([[True], np.diff(core) != 0])
+        new = new_core | np.concatenate([[True], np.diff(full) != 0])
+        cut = np.flatnonzero(new)
+        total = np.add.reduceat(n[order].astype(np.int64), cut)
+        undecided = (np.maximum.reduceat(need[order], cut) > 0) & (total == 1)
+        status = np.repeat((total > 1).astype(np.uint8), np.diff(np.append(cut, len(order))))
+        if not last:
+            cores = np.cumsum(new_core[cut]) - 1
+            look = ((np.bincount(cores) > 1) & (np.bincount(cores, undecided) > 0))[cores]
+            status[cut[look]] |= 2  # the first of each range stands for it
+            status[cut[look & undecided]] |= 4
+        on = order[status > 0]
+        return _back(shard[on], ANSWER, (number[on], status[status > 0]), 1)
+
+    return answer
+
+
+def _settled(right: pa.Table):
+    """(members that repeat, members to look closer at and whether they are undecided) from members and answers."""
+    kind = right.column("kind").to_numpy()
+    anchor, low, high, number, need = _unpack(MEMBER, [x for x, k in zip(right.column("pack"), kind, strict=True) if k == 0])
+    asked, status = _unpack(ANSWER, [x for x, k in zip(right.column("pack"), kind, strict=True) if k == 1])
+    by_number = np.zeros(int(number.max()) + 1 if len(number) else 0, np.uint8)
+    by_number[asked] = status
+    mine = by_number[number]
+    done = (mine & 1 > 0) & (need > 0)
+    look = np.flatnonzero(mine & 2)
+    look = look[np.unique(number[look], return_index=True)[1]]
+    return (anchor[done], low[done], high[done]), (anchor[look], low[look], high[look], mine[look] & 4 > 0)
+
+
+def _grid(b, low, high, need, data, bounds, grid: int, window: int, shard: int, parts: int) -> pa.Table:
+    """Asks about the ranges of a grid over windows of the anchors b; b, low and high are as the cells above had them."""
+    roll, second, out = Rolling(11), Rolling(13), []
+    order = np.argsort(b, kind="stable")
+    b, low, high, need = b[order].astype(np.int64), low[order].astype(np.int64), high[order].astype(np.int64), need[order]
+    for lo, hi in row_blocks(bounds, BLOCK_BYTES):
+        x, y = np.searchsorted(b, [bounds[lo], bounds[hi]])
+        if x == y:
+            continue
+        part = data[bounds[lo] : bounds[hi]]
+        at, sums = b[x:y] - bounds[lo], roll.over(part)
+        i, c_lo, c_hi, core, full = _ranges(at, low[x:y], high[x:y], grid, window, sums, roll)
+        if grid == 1:  # core and full are the same bytes: full from hashes of its own
+            full = second.of(second.over(part), at[i] - c_lo, at[i] - c_lo + window).view(np.int64)
+        out.append((b[x:y][i], c_lo, c_hi, core, full, need[x:y][i]))
+    return _asked(shard, *(np.concatenate(c) for c in zip(*out, strict=True)), parts) if out else _rows(SENT, [])
+
+
+def _live_cells(need: int, window: int, parts: int):
+    def cells(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Asks about the cells of the anchors in repeated intervals."""
+        _, lo, n, length, _, _ = _unpack(LIVE, right.column("pack"))
+        row, _ = _spread(lo[length >= need].astype(np.int64), n[length >= need].astype(np.int64))
+        if not len(row) or not left.num_rows:
+            return _rows(SENT, [])
+        raw = left.column("ranges")[0].as_buffer()
+        total = len(raw) // 6
+        live = np.unique(_column(left, "sa", "<i4")[row])
+        pos, low, high = np.frombuffer(raw, "<i4", total), np.frombuffer(raw, "u1", total, 4 * total), np.frombuffer(raw, "u1", total, 5 * total)
+        return _grid(pos[live], low[live], high[live], np.ones(len(live), bool), _text(left), _column(left, "bounds", "<i8"), GRID[0], window, left.column("shard")[0].as_py(), parts)
 
-def _live_cells(left: pa.Table, right: pa.Table) -> pa.Table:
-    """The cells of the anchors in repeated intervals."""
-    sa, cells = _column(left, "sa", "<i4"), _column(left, "cells", CELL)
-    row, _ = _positions(*(right.column(c).to_numpy().astype(np.int64) for c in ("lo", "hi")))
-    cells = cells[np.isin(cells["anchor"], sa[row])] if len(row) else cells[:0]
-    return _table(left.column("shard")[0].as_py() if left.num_rows else 0, cells["anchor"], cells["low"], cells["high"], cells["core"], cells["full"], np.ones(len(cells), bool))
+    return cells
 
 
-def _finer(window: int, grid: int):
+def _finer(window: int, grid: int, parts: int):
     def cells(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not right.num_rows:
-            return _table(0, [], [], [], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
-        data, bounds = _column(left, "text", np.uint8), _column(left, "bounds", "<i8")
-        roll, second, out = Rolling(11), Rolling(13), []
-        right = right.sort_by("anchor")
-        b, low, high = (right.column(c).to_numpy().astype(np.int64) for c in ("anchor", "low", "high"))
-        need = right.column("need").to_numpy(zero_copy_only=False)
-        for lo, hi in row_blocks(bounds, BLOCK_BYTES):
-            x, y = np.searchsorted(b, [bounds[lo], bounds[hi]])
-            if x == y:
-                continue
-            part = data[bounds[lo] : bounds[hi]]
-            at = b[x:y] - bounds[lo]
-            sums = roll.over(part)
-            i, c_lo, c_hi, core, full = _ranges(at, low[x:y], high[x:y], grid, window, sums, roll)
-            if grid == 1:  # core and full are the same bytes: full from hashes of its own
-                full = second.of(second.over(part), at[i] - c_lo, at[i] - c_lo + window).view(np.int64)
-            out.append(_table(right.column("shard")[0].as_py(), b[x:y][i], c_lo, c_hi, core, full, need[x:y][i]))
-        return pa.concat_tables(out)
+        _, (b, low, high, need) = _settled(right)
+        if not len(b):
+            return _rows(SENT, [])
+        return _grid(b, low, high, need, _text(left), _column(left, "bounds", "<i8"), grid, window, left.column("shard")[0].as_py(), parts)
 
     return cells
 
 
-def _settle(cells: DataFrame, last: bool):
-    """(ranges whose windows all repeat, ranges to look into: those that share a core with another full)."""
-    counts = keep(cells.groupBy("core", "full").agg(F.count("*").alias("m"), F.min(F.struct("shard", "anchor", "low", "high", "need")).alias("one")))
-    twice = counts.where("m > 1").select("core", "full")
-    done = keep(cells.where("need").join(twice, ["core", "full"], "left_semi").select("shard", "anchor", "low", "high"))
-    if last:
-        free(counts)
-        return done, None
-    cores = counts.groupBy("core").agg(F.count("*").alias("fulls"), F.max(F.expr("m = 1 and one.need")).alias("open")).where("fulls > 1 and open")
-    look = counts.join(cores, "core", "left_semi").select("one.shard", "one.anchor", "one.low", "one.high", F.expr("m = 1 and one.need").alias("need"))
-    return done, keep(look)
-
-
 def _strip(window: int, schema: pa.Schema):
     def rows(left: pa.Table, right: pa.Table) -> pa.Table:
-        data, bounds = _column(left, "text", np.uint8), _column(left, "bounds", "<i8")
+        data, bounds = _text(left), _column(left, "bounds", "<i8")
         meta = pa.ipc.open_stream(left.column("meta")[0].as_buffer()).read_all() if left.num_rows else None
         if meta is None:
             return schema.empty_table()
         gone = np.zeros(len(data) + 1, np.int32)
-        if right.num_rows:
-            b, low, high = (right.column(c).to_numpy().astype(np.int64) for c in ("anchor", "low", "high"))
+        for level in np.unique(right.column("level").to_numpy()):
+            b, low, high = (c.astype(np.int64) for c in _settled(right.filter(pc.equal(right.column("level"), level)))[0])
             np.add.at(gone, b - high, 1)
             np.add.at(gone, b - low + window, -1)
-        stay = np.cumsum(gone)[: len(data)] == 0
+        stay = np.cumsum(gone, dtype=np.int32)[: len(data)] == 0
         del gone
         n, removed, spans, kept = [], [], [], []
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
@@ -302,32 +415,32 @@ def remove_repeats(df: DataFrame, text: str = "text", carry: tuple[str, ...] = (
         raise ValueError("window is too short for this slide")
     source = df.select(F.col(text).cast("string").alias("_text"), *carry)
     shards = keep_bucketed(source.mapInArrow(_build(window, slide, list(carry), shard_bytes), SHARD), "shard")
-    total = F.sum(F.col("hi") - F.col("lo")).over(Window.partitionBy("block"))
-    repeated = lambda live: keep(live.withColumn("total", total).where("total > 1").drop("total"))
-    live = repeated(shards.select("shard", "firsts").mapInArrow(_first, LIVE))
+    parts = width(df.sparkSession)
+    merged = lambda sent: keep(sent.groupBy("part").applyInArrow(_merge, HELD))
+    live = merged(shards.select("shard", "bwt", "before", "step").mapInArrow(_first(parts), SENT))
     rounds = []
     while not live.isEmpty():
         rounds.append(live)
-        moved = shards.select("shard", "bwt", "before", "step").groupBy("shard").cogroup(live.where(f"front and without_last < {need - 1}").groupBy("shard"))
-        live = repeated(moved.applyInArrow(_extend(need, 1 if len(rounds) < 6 else 16), LIVE))  # few intervals live on past that, in runs of short phrases
+        moved = shards.select("shard", "bwt", "before", "step").groupBy("shard").cogroup(live.groupBy("shard"))
+        live = merged(moved.applyInArrow(_extend(need, 1 if len(rounds) < 6 else 16, parts), SENT))  # few intervals live on past that, in runs of short phrases
     reached = live
     for x in rounds:
         reached = reached.unionByName(x)
-    reached = reached.where(f"length >= {need}").select("shard", "lo", "hi")
-    cells = keep(shards.select("shard", "sa", "cells").groupBy("shard").cogroup(reached.groupBy("shard")).applyInArrow(_live_cells, RANGE))
+    body = shards.select("shard", "text", "bounds", "sa", "ranges").groupBy("shard")
+    asked = keep(body.cogroup(reached.groupBy("shard")).applyInArrow(_live_cells(need, window, parts), SENT))
     free(live, *rounds)
-    spans = []
-    for grid, finer in zip(GRID, (*GRID[1:], None), strict=True):
-        done, look = _settle(cells, grid == 1)
-        spans.append(done)
-        free(cells)
+    spans = None
+    for level, finer in enumerate((*GRID[1:], None)):
+        answers = keep(asked.where("part >= 0").groupBy("part").applyInArrow(_judge(finer is None), HELD))
+        told = asked.where("part < 0").select("shard", F.lit(0).alias("kind"), "pack").unionByName(answers)
+        told_at = told.withColumn("level", F.lit(level))
+        spans = told_at if spans is None else spans.unionByName(told_at)
         if finer:
-            cells = keep(shards.select("shard", "text", "bounds").groupBy("shard").cogroup(look.groupBy("shard")).applyInArrow(_finer(window, finer), RANGE))
-    covered = spans[0].unionByName(spans[1]).unionByName(spans[2])
+            asked = keep(shards.select("shard", "text", "bounds").groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_finer(window, finer, parts), SENT))
     out = source.select(*carry, *(F.lit(0).cast("long").alias(c) for c in ("n_bytes", "n_removed", "n_spans")), F.lit(b"").alias("kept")).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    return shards.select("shard", "meta", "text", "bounds").groupBy("shard").cogroup(covered.groupBy("shard")).applyInArrow(_strip(window, to_arrow_schema(out)), out)
+    return shards.select("shard", "meta", "text", "bounds").groupBy("shard").cogroup(spans.groupBy("shard")).applyInArrow(_strip(window, to_arrow_schema(out)), out)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
