@@ -34,21 +34,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """df written as Parquet into the shared folder and read again."""
+def keep(df: DataFrame, *by: str) -> DataFrame:
+    """df written as Parquet into the shared folder, in folders of the columns by, and read again."""
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/factweave-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_at = path
     return out
 
 
-def free(*frames: DataFrame) -> None:
-    """Delete tables of keep() that nothing reads any more."""
+def free(*frames: DataFrame, part: str = "") -> None:
+    """Delete tables of keep(), or one folder of them, that nothing reads any more."""
     for df in frames:
         if path := getattr(df, "_kept_at", None):
             jvm = df.sparkSession._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
+            at = jvm.org.apache.hadoop.fs.Path(f"{path}/{part}" if part else path)
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 

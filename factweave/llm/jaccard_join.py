@@ -1,8 +1,9 @@
 """Exact Jaccard join of word n-gram sets: size-banded tiles, bitmap bounds, sorted-array intersection.
 
-A text's set is split by hash into as many buckets as two linked sets of its size band can differ in elements,
-plus one, so that linked sets agree on a whole bucket: the tile (band, bucket, content) holds both.  A set near
-a band's lower end also enters the tiles of the band below.  Tiles meet in two steps: each map task compares its
+A text's set is split by hash into more buckets than two linked sets of its size band can differ in elements, so
+that linked sets agree on a whole bucket: the tile (band, bucket, content) holds both.  There are a few spare
+buckets, and a set with no more empty buckets than spare ones skips those: it agrees with any partner on one that
+holds something.  A set near a band's lower end also enters the tiles of the band below.  Tiles meet in two steps: each map task compares its
 own members and sends one member of each tile on, so that no reducer sees more rows of a tile than there are
 map tasks, however common its content is.  Within a tile only (member, smallest member) pairs are tried first:
 a hashed bitmap of each set bounds their overlap from above by bit counts, and what remains is decided by
@@ -31,12 +32,13 @@ _LOWER[65:91] += 32
 
 
 def bands(percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lowest set size and number of buckets of each size band (sizes up to half as much again as the lowest)."""
+    """Lowest set size of each size band (sizes up to half as much again as the lowest), and the most elements
+    in which two linked sets can differ if the smaller is of the band."""
     low = [1]
     while low[-1] < 2**40:
         low.append(max(low[-1] + 1, low[-1] * 3 // 2))
     top = np.array(low[1:]) - 1
-    return np.array(low[:-1]), (top + top * 100 // percent) * (100 - percent) // (100 + percent) + 1
+    return np.array(low[:-1]), (top + top * 100 // percent) * (100 - percent) // (100 + percent)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, words: int, roll: Rolling):
@@ -94,17 +96,19 @@ def bitmap(s: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def _tiles(s: np.ndarray, low: np.ndarray, buckets: np.ndarray, percent: int) -> np.ndarray:
+def _tiles(s: np.ndarray, low: np.ndarray, differ: np.ndarray, percent: int) -> np.ndarray:
     t = int(np.searchsorted(low, len(s), "right")) - 1
     out = []
     for tile in (t, t - 1) if t and -(-len(s) * percent // 100) < low[t] else (t,):
-        m = int(buckets[tile])
+        spare = 1 + int(differ[tile]) // 6
+        m = int(differ[tile]) + 1 + spare
         part = (s % U64(m)).astype(np.int64)
         order = np.argsort(part)
         cut = np.flatnonzero(np.diff(part[order], prepend=-1))
         total = np.zeros(m, U64)
         total[part[order][cut]] = np.add.reduceat(mix(s[order] ^ M1), cut)
-        out.append(mix(total + mix(np.arange(m, dtype=U64) + U64(tile << 40))))
+        made = mix(total + mix(np.arange(m, dtype=U64) + U64(tile << 40)))
+        out.append(made[part[order][cut]] if m - len(cut) <= spare else made)
     return np.concatenate(out)
 
 
@@ -113,7 +117,7 @@ PASS = "kind int, doc_id long, n long, key long, bits binary, tile long, part in
 
 def _pass(words: int, percent: int, parts: int):
     def rows(batches):
-        low, buckets = bands(percent)
+        low, differ = bands(percent)
         roll = Rolling(17)
         names = ["kind", "doc_id", "n", "key", "bits", "tile", "part", "pack"]
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
@@ -148,7 +152,7 @@ def _pass(words: int, percent: int, parts: int):
                 keys.append(_set_key(s))
                 maps.append(bitmap(s) if len(s) else None)
                 if len(s):
-                    tiles.append(_tiles(s, low, buckets, percent))
+                    tiles.append(_tiles(s, low, differ, percent))
                     owners.append(np.full(len(tiles[-1]), keys[-1], np.int64))
                     held += len(tiles[-1])
                 if held > 2_000_000:
@@ -261,11 +265,13 @@ def jaccard_components(df: DataFrame, id: str = "doc_id", text: str = "text", wo
     spark = df.sparkSession
     parts = width(spark)
     source = df.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    first = keep(source.mapInArrow(_pass(words, percent, parts), PASS))
+    first = keep(source.mapInArrow(_pass(words, percent, parts), PASS), "kind")
     docs = first.where("kind = 0").select("doc_id", "n", "key", "bits")
     sets = docs.where("n > 0").groupBy("key").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("doc_id").alias("doc_id"))
     met = first.where("kind = 1").select("part", "pack").groupBy("part").applyInArrow(_meet, MEMBER)
     members = keep(met.unionByName(first.where("kind = 2").select("tile", "key")).distinct())
+    free(first, part="kind=1")
+    free(first, part="kind=2")
     # pairs of each tile's smallest member and the others
     pivot = members.groupBy("tile").agg(F.min("key").alias("b"))
     star = members.join(pivot, "tile").where("key <> b").groupBy(F.col("key").alias("a"), "b").agg(F.count("*").alias("votes"))

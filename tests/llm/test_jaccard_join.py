@@ -57,7 +57,7 @@ def test_against_brute_force(spark):
 def test_every_link_meets_in_a_tile():
     rng = np.random.default_rng(1)
     for percent in (80, 90):
-        low, buckets = J.bands(percent)
+        low, differ = J.bands(percent)
         for _ in range(300):
             n = int(rng.integers(1, 400))
             a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
@@ -65,7 +65,7 @@ def test_every_link_meets_in_a_tile():
             b = np.unique(np.concatenate([a[drop:], rng.integers(0, 2**63, int(rng.integers(0, n // 8 + 1)), dtype=np.uint64)]))
             both = len(np.intersect1d(a, b))
             if 100 * both >= percent * (len(a) + len(b) - both):
-                assert np.intersect1d(J._tiles(a, low, buckets, percent), J._tiles(b, low, buckets, percent)).size
+                assert np.intersect1d(J._tiles(a, low, differ, percent), J._tiles(b, low, differ, percent)).size
 
 
 def test_big_tile_in_blocks(spark, monkeypatch):
