@@ -100,7 +100,9 @@ def train(text: pa.Array, source: pa.Array, lang: pa.Array, n_chars: pa.Array, l
     known = rng.permutation(np.flatnonzero(label >= 0))
     if not len(known) or len(np.unique(label[known])) < 2:
         return {"text": None, "prior": float(label[known].mean()) if len(known) else 0.5}
-    words = text_view(text)
+    _, offsets = byte_column(text)  # block by block: a view's byte-wise arrays are many times its text
+    blocks = [(lo, text_view(text.slice(lo, hi - lo))) for lo, hi in row_blocks(offsets, 1 << 20)]
+    words = (np.concatenate([(v[0] + lo).astype(np.int32) for lo, v in blocks]), np.concatenate([v[1].astype(np.int32) for _, v in blocks]), *(np.concatenate([v[k] for _, v in blocks]) for k in (2, 3)))
     ids = meta_view(source, lang, n_chars)
     meta = np.repeat(np.arange(len(ids)), 5), ids.ravel(), np.ones((len(ids), 1)), np.full(len(ids), 5)
     mean, spread = words[2].mean(0), words[2].std(0) + 1e-6
