@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from factweave.llm.common import U64, Rolling, byte_column, row_blocks
 
 LABELLED, POOL, ROUNDS, TABLE, META = 6000, 6000, 4, 1 << 15, 1 << 12
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES, SLICE = 4 << 20, 1 << 20
 _KIND = np.zeros(256, np.uint8)  # 1 letter, 2 capital, 3 digit, 4 symbol, 5 space, 6 line end, 7 other bytes
 _KIND[33:127], _KIND[128:] = 4, 7
 _KIND[97:123], _KIND[65:91], _KIND[48:58], _KIND[[9, 11, 12, 13, 32]], _KIND[10] = 1, 2, 3, 5, 6
@@ -63,20 +63,33 @@ def meta_view(source: pa.Array, lang: pa.Array, n_chars: pa.Array) -> np.ndarray
 
 
 class Logistic:
-    """Logistic regression on averaged hashed features and dense ones, by full-batch Adam."""
+    """Logistic regression on averaged hashed features and dense ones, by full-batch Adam.
+
+    A view is (row, hashed id, share of the row's features) of its entries and the dense features by row.
+    """
 
     def __init__(self, table: int, dense: int):
         self.hashed, self.dense = np.zeros(table), np.zeros(dense)
 
-    def score(self, row, word, dense, count):
-        return np.bincount(row, self.hashed[word], len(dense)) / np.maximum(count, 1) + dense @ self.dense
-
-    def fit(self, row, word, dense, count, y, weight, steps: int = 80):
-        each = 1 / np.maximum(count, 1)
+    def score(self, row, word, share, dense):
+        out = dense @ self.dense
+        for k in range(0, len(row), SLICE):
+            s = slice(k, k + SLICE)
+            out += np.bincount(row[s], self.hashed[word[s]] * share[s], len(dense))
+        return out
+
+    def gradient(self, g, row, word, share):
+        out = np.zeros_like(self.hashed)
+        for k in range(0, len(row), SLICE):
+            s = slice(k, k + SLICE)
+            out += np.bincount(word[s], g[row[s]] * share[s], len(out))
+        return out
+
+    def fit(self, row, word, share, dense, y, weight, steps: int = 80):
         state = [np.zeros_like(x) for x in (self.hashed, self.hashed, self.dense, self.dense)]
         for k in range(1, steps + 1):
-            g = weight * (1 / (1 + np.exp(-np.clip(self.score(row, word, dense, count), -30, 30))) - y) / weight.sum()
-            grads = np.bincount(word, (g * each)[row], len(self.hashed)) + 1e-6 * self.hashed, dense.T @ g + 1e-5 * self.dense
+            g = weight * (1 / (1 + np.exp(-np.clip(self.score(row, word, share, dense), -30, 30))) - y) / weight.sum()
+            grads = self.gradient(g, row, word, share) + 1e-6 * self.hashed, dense.T @ g + 1e-5 * self.dense
             for i, (w, grad) in enumerate(zip((self.hashed, self.dense), grads, strict=True)):
                 m, v = state[2 * i], state[2 * i + 1]
                 m += 0.1 * (grad - m)
@@ -86,41 +99,60 @@ class Logistic:
 
 
 def _take(view, rows):
-    """The part of a text view over the given rows, numbered anew."""
-    row, word, dense, count = view
-    new = np.full(len(dense), -1)
+    """The part of a view over the given rows, numbered anew."""
+    row, word, share, dense = view
+    new = np.full(len(dense), -1, np.int32)
     new[rows] = np.arange(len(rows))
     on = new[row] >= 0
-    return new[row[on]], word[on], dense[rows], count[rows]
+    return new[row[on]], word[on], share[on], dense[rows]
+
+
+def _features(batches):
+    """What the training needs of each chosen row: its distinct word ids, their counts, statistics, metadata ids."""
+    for batch in batches:
+        _, offsets = byte_column(batch.column(1))
+        for lo, hi in row_blocks(offsets, 1 << 20):
+            part = batch.slice(lo, hi - lo)
+            row, word, stats, _ = text_view(part.column(1))
+            pairs, times = np.unique(row * TABLE + word, return_counts=True)
+            cuts = np.searchsorted(pairs, np.arange(len(stats) + 1) * TABLE)
+            ids = meta_view(*(part.column(k) for k in (2, 3, 4)))
+            each = lambda x, t: pa.array([x[i:j].astype(t).tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+            made = [each(pairs % TABLE, np.int32), each(times, np.int32), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (stats, ids))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(5), part.column(6), *made], names=FEATURES)
 
 
-def train(text: pa.Array, source: pa.Array, lang: pa.Array, n_chars: pa.Array, label: np.ndarray, seed: int = 0) -> dict:
-    """The combined model from rows with labels 1, 0 or -1 (unlabelled)."""
+FEATURES = ["doc_id", "quality", "o", "words", "times", "stats", "meta"]
+
+
+def train(words: pa.Array, times: pa.Array, stats: pa.Array, meta: pa.Array, label: np.ndarray, seed: int = 0) -> dict:
+    """The combined model from rows of _features() with labels 1, 0 or -1 (unlabelled)."""
     rng = np.random.default_rng(seed)
     known = rng.permutation(np.flatnonzero(label >= 0))
     if not len(known) or len(np.unique(label[known])) < 2:
         return {"text": None, "prior": float(label[known].mean()) if len(known) else 0.5}
-    _, offsets = byte_column(text)  # block by block: a view's byte-wise arrays are many times its text
-    blocks = [(lo, text_view(text.slice(lo, hi - lo))) for lo, hi in row_blocks(offsets, 1 << 20)]
-    words = (np.concatenate([(v[0] + lo).astype(np.int32) for lo, v in blocks]), np.concatenate([v[1].astype(np.int32) for _, v in blocks]), *(np.concatenate([v[k] for _, v in blocks]) for k in (2, 3)))
-    ids = meta_view(source, lang, n_chars)
-    meta = np.repeat(np.arange(len(ids)), 5), ids.ravel(), np.ones((len(ids), 1)), np.full(len(ids), 5)
-    mean, spread = words[2].mean(0), words[2].std(0) + 1e-6
+    whole = lambda col, t: np.frombuffer(b"".join(x.as_buffer() for x in col), t)
+    n = np.array([len(x.as_buffer()) // 4 for x in words])
+    row = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    count = whole(times, np.int32)
+    total = np.maximum(np.bincount(row, count, len(n)), 1)
+    dense = whole(stats, np.float64).reshape(len(n), -1)
+    mean, spread = dense.mean(0), dense.std(0) + 1e-6
     mean[-1], spread[-1] = 0, 1
-    words = words[0], words[1], (words[2] - mean) / spread, words[3]
+    text = row, whole(words, np.int32), (count / total[row]).astype(np.float32), (dense - mean) / spread
+    views, models = (text, _meta_entries(whole(meta, np.int64).reshape(-1, 5))), [None, None]
     held, own = known[: len(known) // 4], known[len(known) // 4 :]
     pool, rate = np.flatnonzero(label < 0), label[own].mean()
     given = [dict(zip(own.tolist(), label[own].tolist(), strict=True)) for _ in range(2)]
-    views, models = (words, meta), [None, None]
     for turn in range(ROUNDS + 1):
         for i, view in enumerate(views):
             rows = np.array(list(given[i]))
             y = np.array([given[i][r] for r in rows.tolist()])
             weight = np.where(np.isin(rows, own), 1.0, 0.5) * np.where(y == 1, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3))
-            models[i] = Logistic(TABLE if i == 0 else META, view[2].shape[1]).fit(*_take(view, rows), y, weight)
+            models[i] = Logistic(TABLE if i == 0 else META, view[3].shape[1]).fit(*_take(view, rows), y, weight)
         if turn < ROUNDS and len(pool):
             for i, view in enumerate(views):
-                s = models[i].score(*_take(view, pool))
+                s = models[i].score(*view)[pool]
                 order, share = np.argsort(s, kind="stable"), max(1, len(pool) // (5 * ROUNDS))
                 bad = max(1, int(share * (1 - rate)))
                 other = given[1 - i]
@@ -128,7 +160,7 @@ def train(text: pa.Array, source: pa.Array, lang: pa.Array, n_chars: pa.Array, l
                     other.setdefault(r, 0)
                 for r in pool[order[len(order) - max(1, share - bad) :]].tolist():
                     other.setdefault(r, 1)
-    scores = np.stack([m.score(*_take(v, held)) for m, v in zip(models, views, strict=True)], 1)
+    scores = np.stack([m.score(*v)[held] for m, v in zip(models, views, strict=True)], 1)
     y, calibration = label[held], []
     for k in range(2):
         calibration.append(_line(scores[:, [k]], y))
@@ -136,6 +168,10 @@ def train(text: pa.Array, source: pa.Array, lang: pa.Array, n_chars: pa.Array, l
     return {"text": models[0], "meta": models[1], "mean": mean, "spread": spread, "calibration": calibration, "mix": _line(logits, y), "prior": float(rate)}
 
 
+def _meta_entries(ids: np.ndarray):
+    return np.repeat(np.arange(len(ids)), 5), ids.ravel(), np.full(ids.size, 0.2), np.ones((len(ids), 1))
+
+
 def _line(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights and offset of a small logistic model, by Newton steps."""
     x = np.concatenate([x, np.ones((len(x), 1))], 1)
@@ -151,9 +187,8 @@ def predict(model: dict, text, source, lang, n_chars) -> tuple[np.ndarray, np.nd
     if model["text"] is None:
         return (np.full(len(text), model["prior"]),) * 3
     row, word, stats, count = text_view(text)
-    ids = meta_view(source, lang, n_chars)
-    s = model["text"].score(row, word, (stats - model["mean"]) / model["spread"], count)
-    m = model["meta"].score(np.repeat(np.arange(len(ids)), 5), ids.ravel(), np.ones((len(ids), 1)), np.full(len(ids), 5))
+    s = model["text"].score(row, word, 1 / np.maximum(count, 1)[row], (stats - model["mean"]) / model["spread"])
+    m = model["meta"].score(*_meta_entries(meta_view(source, lang, n_chars)))
     logits = [x * c[0] + c[1] for x, c in zip((s, m), model["calibration"], strict=True)]
     both = logits[0] * model["mix"][0] + logits[1] * model["mix"][1] + model["mix"][2]
     return tuple(1 / (1 + np.exp(-np.clip(x, -30, 30))) for x in (*logits, both))
@@ -175,7 +210,8 @@ def quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool:
     """doc_id, p_text, p_meta, score, keep of every row of docs (doc_id, text, lang, source, n_chars).
 
     score is the combined probability of quality 1 and keep says whether it reaches threshold.  Nulls count as
-    values of their own, a null text as empty; of repeated labels the lowest counts; rows may repeat.  Without
+    values of their own, a null text as empty; of repeated labels the lowest counts; rows may
+    repeat, and of rows of one id the training takes one.  Without
     labels of both classes every score is the labels' mean, or 0.5.
     """
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars")]
@@ -184,9 +220,11 @@ def quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool:
     order = F.xxhash64("doc_id", F.lit(7))
     chosen = rows.select("doc_id").join(known, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), order.alias("o")).distinct()
     some = chosen.where("quality >= 0").orderBy("o").limit(labelled).unionByName(chosen.where("quality < 0").orderBy("o").limit(pool))
-    taken = rows.join(F.broadcast(some), "doc_id").orderBy("o", "n_chars").toArrow().combine_chunks()
-    c = {n: taken.column(n).combine_chunks() if taken.num_rows else pa.array([], taken.schema.field(n).type) for n in taken.column_names}
-    model = train(c["text"], c["source"], c["lang"], c["n_chars"], c["quality"].to_numpy())
+    seen = rows.join(F.broadcast(some), "doc_id").select("doc_id", "text", "source", "lang", "n_chars", "quality", "o")
+    seen = seen.mapInArrow(_features, "doc_id long, quality int, o long, words binary, times binary, stats binary, meta binary")
+    one = seen.groupBy("doc_id").agg(F.min(F.struct(*FEATURES[1:])).alias("x"))  # repeated rows count once
+    taken = one.select("doc_id", "x.*").orderBy("o", "doc_id").toArrow().combine_chunks()
+    model = train(*(taken.column(c) for c in FEATURES[3:]), taken.column("quality").to_numpy())
     shared = docs.sparkSession.sparkContext.broadcast(model)
     out = rows.mapInArrow(_score(shared), "doc_id long, p_text double, p_meta double, score double")
     return out.withColumn("keep", F.col("score") >= threshold)
