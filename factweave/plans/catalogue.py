@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factweave.operators import estimate as E
 from factweave.operators import lineage as L
 from factweave.operators import reconcile as R
+from factweave.operators import triage
 from factweave.plans.bindings import bound, table, with_sql
 
 QUERIES: dict = {}
@@ -316,3 +317,81 @@ def version_history(spark, d):
 def retention(spark, d):
     p = bound(spark, d, "revs").groupBy("label").agg(F.count("*").alias("stored"), F.max("body_len").alias("denominator"))
     return p.where("denominator > 0 and stored <= denominator").withColumn("retention", F.col("stored").cast("double") / F.col("denominator"))
+
+
+_MESSAGES = "SELECT conv_id, turn, role, text, turn % 3 = 0 AS calls FROM conversations"
+
+
+def _label_sql() -> str:
+    has = lambda p: "regexp_matches(text, '" + p.replace("'", "''") + "')"
+    truthy = lambda k: f"coalesce(CASE WHEN json_valid(text) THEN json_extract_string(text, '$.{k}') END, '') NOT IN ('', 'false', '0')"
+    said = " ".join(f"WHEN {has(p)} THEN '{label}'" for label, p in triage.CASCADE.items())
+    return f"""SELECT conv_id, turn, role, lower(text) AS haystack, CASE WHEN role = 'tool' THEN CASE WHEN NOT calls THEN 'no_write_claim' WHEN {has(triage.FAILED)} THEN 'reports_failed_write'
+        WHEN {truthy('accepted')} OR {truthy('event_id')} THEN 'claims_completed_write' ELSE 'insufficient_context' END
+        WHEN {has(triage.CUT_SHORT)} THEN 'insufficient_context' WHEN NOT {has(triage.MENTIONS)} AND NOT calls THEN 'no_write_claim' {said} WHEN calls THEN 'plans_write' ELSE 'no_write_claim' END AS label
+        FROM (SELECT conv_id, turn, role, coalesce(text, '') AS text, calls FROM ({_MESSAGES}))"""
+
+
+def _labelled(spark, d):
+    x = table(spark, d, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    return x.select("conv_id", "turn", "role", F.lower("text").alias("haystack"), triage.write_claim(F.col("role"), F.col("text"), F.col("turn") % 3 == 0).alias("label"))
+
+
+@query(f"SELECT conv_id, turn, label FROM ({_label_sql()})")
+def write_claim_labels(spark, d):
+    return _labelled(spark, d).select("conv_id", "turn", "label")
+
+
+@query(f"SELECT conv_id, turn, role, label FROM ({_label_sql()}) WHERE role = 'user' AND label <> 'insufficient_context' AND contains(haystack, 'the')")
+def queue_filter(spark, d):
+    return _labelled(spark, d).where("role = 'user' and label <> 'insufficient_context' and contains(haystack, 'the')").select("conv_id", "turn", "role", "label")
+
+
+@query("""WITH q AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS words FROM documents),
+    s AS (SELECT doc_id, 3 * len(list_intersect(words, ['the', 'of', 'and', 'que', 'der'])) / 5.0::DOUBLE AS score, CASE WHEN len(words) >= 50 THEN 0.8::DOUBLE ELSE 0.4::DOUBLE END AS confidence FROM q)
+    SELECT doc_id, CASE WHEN score IS NULL THEN 'unscored' WHEN score >= 1.5 THEN 'review' WHEN score >= 0.5 AND confidence < 0.5 THEN 'uncertain' ELSE 'background' END AS disposition FROM s""")
+def search_dispositions(spark, d):
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
+    score = F.when(F.col("text").isNotNull(), 3 * F.size(F.array_intersect(words, F.array(*map(F.lit, ("the", "of", "and", "que", "der"))))) / F.lit(5.0))
+    confidence = F.when(F.size(words) >= 50, 0.8).otherwise(0.4)
+    return table(spark, d, "documents").select("doc_id", triage.search_disposition(score, confidence).alias("disposition"))
+
+
+@query(with_sql("ledger", "population") + """, m AS (SELECT ns, count(*) AS measured FROM ledger WHERE token_sha IS NOT NULL OR ns <> 'P' GROUP BY ns)
+    SELECT p.ns AS name, p.n AS published, m.measured, CASE WHEN NOT p.complete THEN 'not_computable' WHEN p.n = m.measured THEN 'exact' ELSE 'differs' END AS status FROM population p LEFT JOIN m ON m.ns = p.ns""")
+def fact_audit(spark, d):
+    m = bound(spark, d, "ledger").where("token_sha is not null or ns <> 'P'").groupBy("ns").agg(F.count("*").alias("measured"))
+    status = F.when(~F.col("complete"), "not_computable").when(F.col("n") == F.col("measured"), "exact").otherwise("differs")
+    return bound(spark, d, "population").join(m, "ns", "left").select(F.col("ns").alias("name"), F.col("n").alias("published"), "measured", status.alias("status"))
+
+
+@query("""SELECT sha256(text) AS sha, count(*) AS copies, count(DISTINCT source) AS domains, CASE WHEN count(DISTINCT source) > 1 THEN 'rejected' WHEN count(*) > 1 THEN 'repeated' ELSE 'accepted' END AS status
+    FROM documents WHERE text IS NOT NULL GROUP BY sha256(text)""")
+def trust_domains(spark, d):
+    x = table(spark, d, "documents").where("text is not null").groupBy(F.sha2("text", 256).alias("sha"), "source").agg(F.count("*").alias("m"))  # a hot text is pre-aggregated
+    y = x.groupBy("sha").agg(F.sum("m").alias("copies"), F.count("source").alias("domains"))
+    return y.withColumn("status", F.when(F.col("domains") > 1, "rejected").when(F.col("copies") > 1, "repeated").otherwise("accepted"))
+
+
+@query("""WITH a AS (SELECT sha256(q.text) AS request, min(r.text) AS answer FROM conversations q JOIN conversations r ON r.conv_id = q.conv_id AND r.turn = q.turn + 1 WHERE q.role = 'user' AND r.role = 'assistant' GROUP BY 1)
+    SELECT c.conv_id, c.turn, CASE WHEN a.answer IS NULL THEN 'unavailable' ELSE 'replayed' END AS status, sha256(a.answer) AS answer_sha FROM conversations c LEFT JOIN a ON a.request = sha256(c.text) WHERE c.role = 'user'""")
+def replay(spark, d):
+    c = table(spark, d, "conversations").withColumn("request", F.sha2("text", 256))
+    r = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    asked = c.where("role = 'user'").select("conv_id", "turn", "request")
+    a = asked.join(r, ["conv_id", "turn"]).where("request is not null").groupBy("request").agg(F.min("answer").alias("answer"))
+    return asked.join(a, "request", "left").select("conv_id", "turn", F.when(F.col("answer").isNull(), "unavailable").otherwise("replayed").alias("status"), F.sha2("answer", 256).alias("answer_sha"))
+
+
+@query(_ladder_sql() + """SELECT l.ns, count(*) AS records, count(*) FILTER (a.outcome = 'supported') AS supported, count(*) FILTER (c.event_id IS NOT NULL) AS accept_all
+    FROM ledger l LEFT JOIN answers a ON a.event_id = l.event_id LEFT JOIN (SELECT DISTINCT event_id FROM claims) c ON c.event_id = l.event_id GROUP BY l.ns""")
+def accept_all_control(spark, d):
+    claimed = bound(spark, d, "claims").select("event_id").distinct().withColumn("claimed", F.lit(True))
+    x = bound(spark, d, "ledger").select("ns", "event_id").join(_answers(spark, d).select("event_id", "outcome"), "event_id", "left").join(claimed, "event_id", "left")
+    return x.groupBy("ns").agg(F.count("*").alias("records"), F.count_if(F.col("outcome") == "supported").alias("supported"), F.count("claimed").alias("accept_all"))
+
+
+@query(_ladder_sql() + "SELECT l.event_id, l.name, a.outcome FROM ledger l JOIN answers a ON a.event_id = l.event_id WHERE a.outcome = 'supported' AND l.name ILIKE '%urgent%'")
+def relation_browse(spark, d):
+    x = bound(spark, d, "ledger").where(F.col("name").ilike("%urgent%")).select("event_id", "name")
+    return x.join(_answers(spark, d).where("outcome = 'supported'").select("event_id", "outcome"), "event_id").select("event_id", "name", "outcome")
