@@ -42,3 +42,20 @@ def class_scores(rows: DataFrame) -> DataFrame:
     both = rows.select(F.explode(F.array(F.struct(F.col("truth").alias("label"), F.lit(1).alias("t"), F.lit(0).alias("p"), (F.col("truth") == F.col("pred")).cast("int").alias("h")), F.struct(F.col("pred").alias("label"), F.lit(0).alias("t"), F.lit(1).alias("p"), F.lit(0).alias("h")))).alias("x")).select("x.*")
     t, p, h = F.sum("t"), F.sum("p"), F.sum("h")
     return both.groupBy("label").agg(F.try_divide(h.cast("double"), p.cast("double")).alias("precision"), F.try_divide(h.cast("double"), t.cast("double")).alias("recall"), t.alias("support"))
+
+
+def bootstrap_mean(rows: DataFrame, value: str, key: str, draws: int = 100, seed: int = 0) -> DataFrame:
+    """(key, mean, lower, upper): the mean of a column and the central 95 % of its means over Poisson resamples.
+
+    A row weighs in each draw as often as it would be drawn; sums are combined before they are shuffled, so what
+    moves is one row for each key and draw.  Null values take no part; a key without values has null bounds.
+    """
+    x = rows.where(F.col(value).isNotNull()).select(key, F.col(value).alias("v")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws)))).withColumn("u", F.rand(seed))
+    bound, p, weight = 0.0, np.exp(-1.0), F.lit(0)
+    for k in range(1, 12):  # one more for each step of the Poisson distribution of mean 1 that u passes
+        bound, p = bound + p, p / k
+        weight = weight + F.when(F.col("u") >= bound, 1).otherwise(0)
+    w = F.when(F.col("draw") == 0, 1).otherwise(weight)  # draw 0 is the rows as they are
+    means = x.withColumn("w", w).groupBy(key, "draw").agg(F.try_divide(F.sum(F.col("v") * F.col("w")), F.sum("w").cast("double")).alias("m"))
+    again = F.when(F.col("draw") > 0, F.col("m"))
+    return means.groupBy(key).agg(F.max(F.when(F.col("draw") == 0, F.col("m"))).alias("mean"), F.percentile(again, 0.025).alias("lower"), F.percentile(again, 0.975).alias("upper"))
