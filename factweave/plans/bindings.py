@@ -34,10 +34,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The evidence table of that name."""
+def bound(spark: SparkSession, sf_dir: str, name: str, rows: DataFrame | None = None) -> DataFrame:
+    """The evidence table of that name, over rows (a stream, say) instead of the source table if given."""
     source = _FROM[name]
-    return spark.sql(SQL[name].replace(f"FROM {source}", "FROM {source}"), source=table(spark, sf_dir, source))
+    return spark.sql(SQL[name].replace(f"FROM {source}", "FROM {source}"), source=table(spark, sf_dir, source) if rows is None else rows)
 
 
 def with_sql(*names: str) -> str:

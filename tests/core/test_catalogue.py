@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from factweave.operators import reconcile as R
+from factweave.plans import evidence  # noqa: F401  (adds its queries)
 from factweave.plans.catalogue import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
