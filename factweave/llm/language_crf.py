@@ -2,6 +2,8 @@
 
 A word's features are hashed byte n-grams with its boundaries, affixes, the word itself and its membership in
 lexicons drawn from the training texts; transitions between neighbouring words' languages are learned with them.
+A run without ASCII white space of more than RUN bytes is cut between characters into several words that cover it
+whole, so texts written without spaces are read to their end.
 The field is fitted by gradient steps on forward-backward marginals, on a bounded sample of whole labelled
 texts whose spans are spliced into code-switched sequences.  All texts are labelled by forward-backward over all
 their words; a text's language is the one of the most expected words.
@@ -18,8 +20,28 @@ from pyspark.sql import functions as F
 from factweave.llm.common import M1, U64, Rolling, byte_column, row_blocks
 
 BLOCK_BYTES = 8 << 20
+WORD_BYTES = 1 << 18
 TABLE = 1 << 18
 LEXICON = 4000
+RUN = 48
+
+
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts and the offsets of each text's own; runs of over RUN bytes are cut into words."""
+    split = pc.ascii_split_whitespace(texts)
+    data, offsets = byte_column(split.flatten())
+    pieces = np.maximum(-(-np.diff(offsets) // RUN), 1)
+    before = np.concatenate([[0], np.cumsum(pieces)])
+    word = np.repeat(np.arange(len(pieces)), pieces)
+    begin = offsets[word] + (np.arange(len(word)) - before[word]) * RUN
+    for _ in range(3):  # back to the first byte of a character
+        inside = np.flatnonzero(begin > offsets[word])
+        inside = inside[(data[begin[inside]] & 0xC0) == 0x80]
+        begin[inside] -= 1
+    ends = np.append(begin, offsets[-1])
+    words = pa.Array.from_buffers(pa.large_string(), len(word), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
+    lists = split.offsets.to_numpy().astype(np.int64)
+    return words.cast(pa.string()), before[lists - lists[0]]
 
 
 class Features:
@@ -47,7 +69,7 @@ class Features:
             ids.append(((value + U64(kind * int(M1) % 2**64)) >> U64(20)) % U64(TABLE))
 
         for n in (2, 3, 4):  # n-grams; the first and last hold the boundary
-            count = np.clip(size - n + 1, 0, 40)
+            count = np.maximum(size - n + 1, 0)
             owner = np.repeat(index, count)
             at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + start[owner]
             add(owner, self.roll.of(sums, at, at + n), n)
@@ -65,13 +87,12 @@ class Features:
         return owner[order], ids[order]
 
     def emissions(self, words: pa.Array, weights: np.ndarray) -> np.ndarray:
-        """Scores (word, language)."""
+        """Scores (word, language), over blocks of words of WORD_BYTES."""
         out = np.zeros((len(words), weights.shape[1]), np.float32)
-        for k in range(0, len(words), 50_000):
-            part = words.slice(k, 50_000)
-            owner, ids = self.of(part)
-            first = np.searchsorted(owner, np.arange(len(part)))  # every word has a feature
-            out[k : k + len(part)] = np.add.reduceat(weights[ids], first, axis=0)
+        for lo, hi in row_blocks(byte_column(words)[1], WORD_BYTES):
+            owner, ids = self.of(words.slice(lo, hi - lo))
+            first = np.searchsorted(owner, np.arange(hi - lo))  # every word has a feature
+            out[lo:hi] = np.add.reduceat(weights[ids], first, axis=0)
         return out
 
 
@@ -115,11 +136,10 @@ def train(texts: list[str], langs: list[str], steps: int = 240, batch: int = 96,
     if not names:
         return {"names": [], "weights": None, "transition": None, "lexicons": []}
     rng = np.random.default_rng(seed)
-    split = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
-    flat = split.flatten().dictionary_encode()
+    flat, ends = tokens(pa.array(texts, pa.string()))
+    flat = flat.dictionary_encode()
     words, code = flat.dictionary, flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    label = np.array([names.index(x) for x in langs])[pc.list_parent_indices(split).to_numpy(zero_copy_only=False)]
-    ends = split.offsets.to_numpy()
+    label = np.repeat(np.array([names.index(x) for x in langs]), np.diff(ends))
     counts = np.zeros((len(words), len(names)))
     np.add.at(counts, (code, label), 1)
     rate = (counts + 0.1) / counts.sum(0)
@@ -182,11 +202,11 @@ def _label(model, detail: bool):
                 text = pc.fill_null(batch.column(1).slice(lo, hi - lo), "")
                 has = pc.match_substring_regex(text, r"\p{L}").to_numpy(zero_copy_only=False) if names else np.zeros(hi - lo, bool)
                 share = np.zeros((hi - lo, max(1, len(names))))
-                split = pc.ascii_split_whitespace(text)
-                flat = split.flatten().dictionary_encode()
+                words, ends = tokens(text)
+                flat = words.dictionary_encode()
                 best = np.zeros(0, np.int64)
                 if names and len(flat):
-                    row = pc.list_parent_indices(split).to_numpy(zero_copy_only=False)
+                    row = np.repeat(np.arange(hi - lo), np.diff(ends))
                     code = flat.indices.to_numpy(zero_copy_only=False)
                     counts = pc.match_substring_regex(flat.dictionary, r"\p{L}").to_numpy(zero_copy_only=False)[code]
                     gamma, _ = forward_backward(features.emissions(flat.dictionary, m["weights"])[code], row, hi - lo, m["transition"])
@@ -201,7 +221,7 @@ def _label(model, detail: bool):
                 out = [batch.column(0).slice(lo, hi - lo), lang, score]
                 if detail:
                     tags = pa.array(np.array(names or ["und"], object)[best], pa.string()) if names else pa.array(["und"] * len(flat), pa.string())
-                    out += [split, pa.ListArray.from_arrays(pc.subtract(split.offsets, split.offsets[0]), tags)]
+                    out += [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in (words, tags)]
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "lang_pred", "score", "words", "word_langs"][: len(out)])
 
     return rows
@@ -217,7 +237,7 @@ def sample(df: DataFrame, per_lang: int, id: str = "doc_id", text: str = "text",
 
 
 def label_texts(df: DataFrame, model: dict, id: str = "doc_id", text: str = "text", detail: bool = False) -> DataFrame:
-    """doc_id, lang_pred, score of every row; with detail also its words and the language of each.
+    """doc_id, lang_pred, score of every row; with detail also its words (see tokens()) and the language of each.
 
     score is the share of the text's lettered words that the field expects to be of lang_pred.  A null text, one
     without a letter, and any text under a model without languages is `und` with score 0.  Ties go to the first

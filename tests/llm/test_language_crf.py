@@ -49,3 +49,25 @@ def test_edges(spark):
     empty = L.train([], [])
     assert {r.lang_pred for r in L.label_texts(df, empty).collect()} == {"und"}
     assert L.label_texts(df.limit(0), model).collect() == []
+
+
+def test_texts_without_spaces_are_read_to_their_end(spark):
+    """A run's start may not decide for all of it, and its words cover every byte."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    ja, zh = ("".join(chr(c) for c in range(a, a + 60)) for a in (0x3041, 0x4E00))
+    made = lambda letters, n: "".join(letters[i] for i in rng.integers(0, len(letters), n))
+    model = L.train([made(ja, 120) for _ in range(40)] + [made(zh, 120) for _ in range(40)], ["ja"] * 40 + ["zh"] * 40, steps=60)
+    mixed = made(ja, 16) + made(zh, 4000)
+    joined = "\u3000".join([made(ja, 10)] + [made(zh, 10) for _ in range(40)])
+    df = spark.createDataFrame([(1, mixed), (2, joined), (3, made(ja, 4000))], "doc_id long, text string")
+    got = {r.doc_id: r for r in L.label_texts(df, model, detail=True).collect()}
+    assert [got[k].lang_pred for k in (1, 2, 3)] == ["zh", "zh", "ja"] and all(r.score > 0.9 for r in got.values())
+    assert all("".join(got[r.doc_id].words) == r.text for r in df.collect()) and set(got[1].word_langs) == {"ja", "zh"}
+    words, ends = L.tokens(pa.array(["a b", "", " " + "\u00e4" * 1000 + "x c", "y" * 48, "\U0001f600" * 100]).slice(1))
+    assert max(len(w.encode()) for w in words.to_pylist()) <= L.RUN + 3 and list(np.diff(ends))[0] == 1
+    assert "".join(words.to_pylist()) == "\u00e4" * 1000 + "xc" + "y" * 48 + "\U0001f600" * 100
+    word = "ab" * 23 + "Q"  # 47 bytes: whole, and its last letters count
+    features = L.Features([])
+    assert len(features.of(pa.array([word]))[0]) == 48 + 47 + 46 + 4 + 1
