@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.llm.common import M1, M2, U64, Rolling, byte_column, components, free, keep, mix, row_blocks, width
@@ -112,15 +112,15 @@ def _tiles(s: np.ndarray, low: np.ndarray, differ: np.ndarray, percent: int) ->
     return np.concatenate(out)
 
 
-PASS = "kind int, doc_id long, n long, key long, bits binary, tile long, part int, pack binary"
+PASS = "kind int, doc_id long, row long, n long, key long, bits binary, tile long, part int, pack binary"
 
 
 def _pass(words: int, percent: int, parts: int):
     def rows(batches):
         low, differ = bands(percent)
         roll = Rolling(17)
-        names = ["kind", "doc_id", "n", "key", "bits", "tile", "part", "pack"]
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
+        names = ["kind", "doc_id", "row", "n", "key", "bits", "tile", "part", "pack"]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
 
         def made(k: int, **x):
             n = len(next(iter(x.values())))
@@ -158,7 +158,7 @@ def _pass(words: int, percent: int, parts: int):
                 if held > 2_000_000:
                     yield from packs(tiles, owners)
                     tiles, owners, held = [], [], 0
-            yield made(0, doc_id=batch.column(0), n=n, key=keys, bits=maps)
+            yield made(0, doc_id=batch.column(0), row=batch.column(2), n=n, key=keys, bits=maps)
         if held:
             yield from packs(tiles, owners)
 
@@ -253,21 +253,21 @@ def _shingle_sets(words: int):
     return rows
 
 
-def jaccard_components(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id (long) for every row of df, linking rows whose sets of distinct
-    word n-grams have 100 * intersection >= percent * union.
+def _row_key(*columns: Column) -> Column:
+    """A 64-bit hash of a row's columns that tells nulls from values."""
+    return F.xxhash64(*columns, *(c.isNull() for c in columns))
 
-    Words are runs of other bytes than ASCII white space, after A-Z are lower-cased; a text with fewer than
-    words words is one shingle; a null or blank text has no shingles and links with nothing (component_id: its
-    own id).  Rows may repeat; ids should be unique, and a null id belongs to the component of its set.  An
-    empty df gives no rows.  Shingles and sets are told apart by 64-bit hashes.
+
+def _rooted(source: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, row, n, root of every row of source (doc_id, text, row), where row is equal only for equal ids and texts.
+
+    Linked sets have one root.
     """
-    spark = df.sparkSession
+    spark = source.sparkSession
     parts = width(spark)
-    source = df.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     first = keep(source.mapInArrow(_pass(words, percent, parts), PASS), "kind")
-    docs = first.where("kind = 0").select("doc_id", "n", "key", "bits")
-    sets = docs.where("n > 0").groupBy("key").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("doc_id").alias("doc_id"))
+    docs = first.where("kind = 0").select("doc_id", "row", "n", "key", "bits")
+    sets = docs.where("n > 0").groupBy("key").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("row").alias("row"))
     met = first.where("kind = 1").select("part", "pack").groupBy("part").applyInArrow(_meet, MEMBER)
     members = keep(met.unionByName(first.where("kind = 2").select("tile", "key")).distinct())
     free(first, part="kind=1")
@@ -278,8 +278,7 @@ def jaccard_components(df: DataFrame, id: str = "doc_id", text: str = "text", wo
     known = keep(members.select("key").distinct().join(sets, "key"))
     side = lambda x: known.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
     pairs = keep(star.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bound(percent), "a long, b long, votes long"))
-    want = known.select("key", F.col("doc_id").alias("of"))
-    text_of = source.join(want, F.col("doc_id").eqNullSafe(F.col("of"))).select("key", "text")
+    text_of = source.join(known.select("key", "row"), "row").select("key", "text")
     arrays = keep(text_of.mapInArrow(_shingle_sets(words), "key long, elements binary").groupBy("key").agg(F.min("elements").alias("elements")))
 
     def linked(some: DataFrame) -> DataFrame:
@@ -309,9 +308,23 @@ def jaccard_components(df: DataFrame, id: str = "doc_id", text: str = "text", wo
     if not more.isEmpty():
         links = links.unionByName(linked(more))
         comp = keep(components(links))
-    root = docs.select("doc_id", "n", "key").join(comp.select(F.col("v").alias("key"), "component"), "key", "left").select("doc_id", "n", F.coalesce("component", "key").alias("root"))
-    least = root.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     free(pairs, arrays, more)
+    joined = docs.select("doc_id", "row", "n", "key").join(comp.select(F.col("v").alias("key"), "component"), "key", "left")
+    return joined.select("doc_id", "row", "n", F.coalesce("component", "key").alias("root"))
+
+
+def jaccard_components(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles, component_id (long) for every row of df, linking rows whose sets of distinct
+    word n-grams have 100 * intersection >= percent * union.
+
+    Words are runs of other bytes than ASCII white space, after A-Z are lower-cased; a text with fewer than
+    words words is one shingle; a null or blank text has no shingles and links with nothing (component_id: its
+    own id).  Rows may repeat; ids should be unique, and a null id belongs to the component of its set.  An
+    empty df gives no rows.  Shingles and sets are told apart by 64-bit hashes.
+    """
+    source = df.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    root = _rooted(source.withColumn("row", _row_key(F.col("doc_id"), F.col("text"))), words, percent)
+    least = root.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = root.join(least, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -322,9 +335,18 @@ def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of every group that five-word shingles link at 80 %, the document of the smallest id."""
-    kept = jaccard_components(docs, words=5, percent=80).where("doc_id = component_id or component_id is null").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text", "lang", "source", "n_chars")
+    """Pipeline stage: of every group that five-word shingles link at 80 %, the document of the smallest id.
+
+    Rows are told apart by all their columns: null ids come after all others, and between texts of one id a hash
+    decides, so each group keeps exactly one row.  Texts without shingles link with nothing and all stay.
+    """
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    rows = docs.select(*columns).withColumn("row", _row_key(*map(F.col, columns)))
+    found = keep(_rooted(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "row"), 5, 80))
+    one = found.where("n > 0").groupBy("root").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "row"))["row"].alias("row")).select("row", F.lit(False).alias("blank"))
+    kept = one.unionByName(found.where("n = 0").select("row", F.lit(True).alias("blank")).distinct())
+    copy = F.row_number().over(Window.partitionBy("row").orderBy("row"))  # rows of one key are equal in all columns
+    return rows.join(kept, "row").withColumn("copy", copy).where("blank or copy = 1").select(*columns)
 
 
 __all__ = ["jaccard_components", "op3_ngram_jaccard_join", "one_of_each_stage"]

@@ -192,7 +192,7 @@ def train(texts: list[str], langs: list[str], steps: int = 240, batch: int = 96,
     return {"names": names, "weights": weights, "transition": transition, "lexicons": lexicons}
 
 
-def _label(model, detail: bool):
+def _label(model, detail: bool, carry: dict[str, int]):
     def rows(batches):
         m = model.value
         names, features = m["names"], Features(m["lexicons"])
@@ -222,7 +222,8 @@ def _label(model, detail: bool):
                 if detail:
                     tags = pa.array(np.array(names or ["und"], object)[best], pa.string()) if names else pa.array(["und"] * len(flat), pa.string())
                     out += [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in (words, tags)]
-                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "lang_pred", "score", "words", "word_langs"][: len(out)])
+                names_out = ["doc_id", "lang_pred", "score", "words", "word_langs"][: len(out)] + list(carry)
+                yield pa.RecordBatch.from_arrays(out + [batch.column(k).slice(lo, hi - lo) for k in carry.values()], names=names_out)
 
     return rows
 
@@ -236,16 +237,21 @@ def sample(df: DataFrame, per_lang: int, id: str = "doc_id", text: str = "text",
     return [r.t for r in rows], [r.l for r in rows]
 
 
-def label_texts(df: DataFrame, model: dict, id: str = "doc_id", text: str = "text", detail: bool = False) -> DataFrame:
+def label_texts(df: DataFrame, model: dict, id: str = "doc_id", text: str = "text", detail: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang_pred, score of every row; with detail also its words (see tokens()) and the language of each.
 
     score is the share of the text's lettered words that the field expects to be of lang_pred.  A null text, one
     without a letter, and any text under a model without languages is `und` with score 0.  Ties go to the first
     language by name.  Rows may repeat; an empty df gives no rows.
+    carry names further columns of df that each row keeps; text goes to Python once.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     schema = "doc_id long, lang_pred string, score double" + ", words array<string>, word_langs array<string>" * detail
-    return df.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_label(shared, detail), schema)
+    more = [c for c in carry if c != text]
+    given = df.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *(F.col(c).alias(f"carry_{c}") for c in more))
+    types = dict(zip(more, (f.dataType.simpleString() for f in given.schema[2:]), strict=True)) | {text: "string"}
+    at = {c: 1 if c == text else 2 + more.index(c) for c in carry}
+    return given.mapInArrow(_label(shared, detail, at), schema + "".join(f", `{c}` {types[c]}" for c in carry))
 
 
 PER_LANG = 300
@@ -267,9 +273,12 @@ def op7_language_crf(spark, sf_dir: str) -> DataFrame:
 
 
 def known_language_stage(spark, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
-    """Pipeline stage: documents of a learned language with a score of least or more; lang becomes the prediction."""
-    found = label_texts(docs, _model(docs)).where(f"lang_pred <> 'und' and score >= {least}").select("doc_id", "lang_pred").dropDuplicates(["doc_id"])
-    return docs.join(found, "doc_id").select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
+    """Pipeline stage: documents of a learned language with a score of least or more; lang becomes the prediction.
+
+    Each row is judged by its own text, whatever its id: null and repeated ids stay.
+    """
+    found = label_texts(docs, _model(docs), carry=("text", "source", "n_chars")).where(f"lang_pred <> 'und' and score >= {least}")
+    return found.select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
 __all__ = ["train", "sample", "label_texts", "forward_backward", "op7_language_crf", "known_language_stage"]
