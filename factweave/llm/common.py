@@ -26,14 +26,6 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df after checkpoint(): its lineage ends at replicated files, and its partitioning is kept."""
-    shared_dir(df.sparkSession)
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
-
-
 def keep(df: DataFrame, *by: str) -> DataFrame:
     """df written as Parquet into the shared folder, in folders of the columns by, and read again."""
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/factweave-{uuid.uuid4().hex}"
@@ -56,6 +48,12 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def parts_for(df: DataFrame, text: str, each: int = 64 << 20) -> int:
+    """How many parts to deal what derives from df's texts into: one for each of so many bytes, width() at least."""
+    total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(width(df.sparkSession), -(-total // each))
+
+
 def per_worker(key: str, make):
     """make(), once for each Python worker: tasks that reuse the worker share it."""
     import sys
@@ -146,7 +144,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         root = root.join(step.select(F.col("v").alias("root"), F.col("root").alias("up")), "root", "left").select("v", F.coalesce("up", "root").alias("root"))
     root = keep(root)
     free(*maps, live)
-    least = root.groupBy("root").agg(F.min(F.least("v", "root")).alias("component"))
+    least = keep(root.groupBy("root").agg(F.min(F.least("v", "root")).alias("component")))  # kept: a join of two tables can be split where skewed
     return root.join(least, "root").select("v", "component")
 
 

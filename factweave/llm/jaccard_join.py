@@ -8,23 +8,24 @@ own members and sends one member of each tile on, so that no reducer sees more r
 map tasks, however common its content is.  Within a tile only (member, smallest member) pairs are tried first:
 a hashed bitmap of each set bounds their overlap from above by bit counts, and what remains is decided by
 intersecting the sorted arrays.  Linked sets are contracted to components.  Only tiles that still hold several
-components go on to the exact rest: their members are compared block by block through the bitmaps, pairs of the
-same component are skipped, and what the bound leaves is intersected.  So no link is lost, and no group's pairs
-are written out.
+components go on to the exact rest, block by block: a first pass names the members whose bitmaps allow a link to
+another component, a second one has their arrays at hand, intersects what the bound leaves and returns a spanning
+forest of the links.  So no link is lost, and no group's pairs are written out.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factweave.llm.common import M1, M2, U64, Rolling, byte_column, components, free, keep, mix, row_blocks, width
+from factweave.llm.common import M1, M2, U64, Rolling, byte_column, components, free, keep, keep_bucketed, mix, parts_for, row_blocks
 
-BITS = 2048
+BITS, BITS_EACH, MOST_BITS, LISTED = 2048, 4, 1 << 16, 256
 BLOCK_BYTES = 2 << 20
-TILE_BLOCK = 512
+TILE_BLOCK, TILE_ELEMENTS = 512, 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -91,15 +92,18 @@ def _set_key(s: np.ndarray) -> int:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, bool)
-    bits[(s >> U64(40)) % U64(BITS)] = True
+    """BITS_EACH bits for each element, rounded up to a power of two between BITS and MOST_BITS."""
+    size = min(max(BITS, 1 << (len(s) * BITS_EACH - 1).bit_length()), MOST_BITS)
+    bits = np.zeros(size, bool)
+    bits[(s >> U64(40)) % U64(size)] = True
     return np.packbits(bits).tobytes()
 
 
 def _tiles(s: np.ndarray, low: np.ndarray, differ: np.ndarray, percent: int) -> np.ndarray:
     t = int(np.searchsorted(low, len(s), "right")) - 1
+    least = int(np.searchsorted(low, max(1, -(-len(s) * percent // 100)), "right")) - 1  # the smallest partner's band
     out = []
-    for tile in (t, t - 1) if t and -(-len(s) * percent // 100) < low[t] else (t,):
+    for tile in range(t, least - 1, -1):
         spare = 1 + int(differ[tile]) // 6
         m = int(differ[tile]) + 1 + spare
         part = (s % U64(m)).astype(np.int64)
@@ -193,15 +197,25 @@ def _could_link(na, nb, a, b, percent: int) -> np.ndarray:
     return 100 * most >= percent * (na + nb - most)
 
 
-def _words(col) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_buffer() for x in col) if len(col) else b"", U64).reshape(len(col), -1) if len(col) else np.zeros((0, BITS // 64), U64)
+def _words(col, size: int | None = None) -> np.ndarray:
+    """Bitmaps as rows of 64-bit words, folded to the shortest one or to size bytes."""
+    raw = [np.frombuffer(x.as_buffer(), U64) for x in col]
+    size = (size or min((x.nbytes for x in raw), default=8)) // 8
+    return np.stack([x if len(x) == size else np.bitwise_or.reduce(x.reshape(-1, size)) for x in raw]) if raw else np.zeros((0, size), U64)
 
 
 def _bound(percent: int):
     def rows(batches):
         for x in batches:
-            ok = _could_link(x.column("na").to_numpy(), x.column("nb").to_numpy(), _words(x.column("bits_a")), _words(x.column("bits_b")), percent) if x.num_rows else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([x.column("a").filter(pa.array(ok)), x.column("b").filter(pa.array(ok)), x.column("votes").filter(pa.array(ok))], names=["a", "b", "votes"])
+            na, nb = x.column("na").to_numpy(), x.column("nb").to_numpy()
+            size = np.minimum(*(pc.binary_length(x.column(c)).to_numpy() for c in ("bits_a", "bits_b")))
+            ok = np.zeros(x.num_rows, bool)
+            for one in np.unique(size):
+                at = np.flatnonzero(size == one)
+                for k in range(0, len(at), max(1, (8 << 20) // int(one))):
+                    i = at[k : k + max(1, (8 << 20) // int(one))]
+                    ok[i] = _could_link(na[i], nb[i], *(_words(x.column(c).take(pa.array(i)), int(one)) for c in ("bits_a", "bits_b")), percent)
+            yield pa.RecordBatch.from_arrays([x.column(c).filter(pa.array(ok)) for c in ("a", "b", "votes")], names=["a", "b", "votes"])
 
     return rows
 
@@ -221,22 +235,69 @@ def _intersect(percent: int):
     return rows
 
 
-def _tile_block(percent: int):
-    def pairs(x: pa.Table) -> pa.Table:
-        """Pairs of one block pair of a tile that the bound leaves, of different components."""
-        side = x.column("side").to_numpy()
-        key, comp, n = (x.column(c).to_numpy() for c in ("key", "comp", "n"))
-        bits = _words(x.column("bits").combine_chunks())
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+SUSPECT = "tile long, i int, j int, side int, key long, comp long, n long, tiles array<long>, bits binary"
+
+
+def _earlier(x: pa.Table) -> np.ndarray:
+    """For each member, which tiles before this one it lists, as rows of packed bits.
+
+    A member lists its LISTED smallest tiles, so that a pair of very long sets may be compared in several tiles;
+    none is left out.
+    """
+    lists = x.column("tiles").combine_chunks()
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    at = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
+    inside = np.zeros((len(lists), at.max() + 1 if len(at) else 1), bool)
+    inside[row, at] = True
+    return np.packbits(inside, axis=1)
+
+
+def _candidates(x: pa.Table, percent: int):
+    """(member, the other members of its block pair that the bound leaves, that another component holds, and that
+    it meets in no tile before this one)."""
+    side, key, comp, n = (x.column(c).to_numpy() for c in ("side", "key", "comp", "n"))
+    bits, earlier = _words(x.column("bits").combine_chunks()), _earlier(x)
+    right, block = np.flatnonzero(side != 0), 1 + (4 << 20) // (8 * bits.shape[1])
+    for i in np.flatnonzero(side != 1):
+        other = right[(comp[right] != comp[i]) & ((key[right] > key[i]) | (side[i] == 0))]
+        other = other[~(earlier[other] & earlier[i]).any(1)]
+        for k in range(0, len(other), block):
+            some = other[k : k + block]
+            yield i, some[_could_link(n[i], n[some], bits[i], bits[some], percent)]
+
+
+def _suspects(percent: int):
+    def members(x: pa.Table) -> pa.Table:
+        """The rows that might link with another component's."""
+        on = np.zeros(x.num_rows, bool)
+        for i, other in _candidates(x, percent):
+            on[other] = True
+            on[i] |= len(other) > 0
+        x = x.set_column(x.column_names.index("tiles"), "tiles", x.column("tiles").cast(pa.list_(pa.field("element", pa.int64()))))
+        return x.select([c.split()[0] for c in SUSPECT.split(", ")]).filter(pa.array(on))
+
+    return members
+
+
+def _forest(percent: int):
+    def links(x: pa.Table) -> pa.Table:
+        """Links of one block pair of a tile that connect its components, none that others make needless."""
+        key, comp = x.column("key").to_numpy(), x.column("comp").to_numpy()
+        sets = [np.frombuffer(v.as_buffer(), U64) for v in x.column("elements").combine_chunks()]
+        root = np.unique(comp, return_inverse=True)[1]
         a, b = [], []
-        for i in left:
-            other = right[(comp[right] != comp[i]) & ((key[right] > key[i]) | (side[i] == 0))]
-            ok = other[_could_link(n[i], n[other], bits[i], bits[other], percent)]
-            a += [key[i]] * len(ok)
-            b += key[ok].tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "votes": pa.array([0] * len(a), pa.int64())})
+        for i, other in _candidates(x, percent):
+            for j in other.tolist():
+                if root[i] == root[j]:
+                    continue
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    a.append(key[i])
+                    b.append(key[j])
+                    root[root == root[j]] = root[i]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return pairs
+    return links
 
 
 def _shingle_sets(words: int):
@@ -263,8 +324,9 @@ def _rooted(source: DataFrame, words: int, percent: int) -> DataFrame:
 
     Linked sets have one root.
     """
-    spark = source.sparkSession
-    parts = width(spark)
+    if not 1 <= percent <= 100 or words < 1:
+        raise ValueError("percent is a whole number from 1 to 100, words is at least 1")
+    parts = parts_for(source, "text")
     first = keep(source.mapInArrow(_pass(words, percent, parts), PASS), "kind")
     docs = first.where("kind = 0").select("doc_id", "row", "n", "key", "bits")
     sets = docs.where("n > 0").groupBy("key").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("row").alias("row"))
@@ -279,7 +341,7 @@ def _rooted(source: DataFrame, words: int, percent: int) -> DataFrame:
     side = lambda x: known.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
     pairs = keep(star.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bound(percent), "a long, b long, votes long"))
     text_of = source.join(known.select("key", "row"), "row").select("key", "text")
-    arrays = keep(text_of.mapInArrow(_shingle_sets(words), "key long, elements binary").groupBy("key").agg(F.min("elements").alias("elements")))
+    arrays = keep_bucketed(text_of.mapInArrow(_shingle_sets(words), "key long, elements binary").groupBy("key").agg(F.min("elements").alias("elements")), "key")
 
     def linked(some: DataFrame) -> DataFrame:
         x = some.select("a", "b").join(arrays.select(F.col("key").alias("a"), F.col("elements").alias("set_a")), "a")
@@ -298,17 +360,21 @@ def _rooted(source: DataFrame, words: int, percent: int) -> DataFrame:
     comp = keep(components(links))
     # the exact rest: tiles that hold several components
     inside = members.join(comp.select(F.col("v").alias("key"), "component"), "key", "left").select("tile", "key", F.coalesce("component", "key").alias("comp"))
-    size = inside.groupBy("tile").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).where("x < y and m > 2").select("tile", "m")
-    rest = inside.join(size, "tile").withColumn("blocks", F.ceil(F.col("m") / TILE_BLOCK).cast("int"))
-    rest = rest.withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    inside = inside.join(known.select("key", "n"), "key")
+    size = inside.groupBy("tile").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m"), F.sum("n").alias("sum")).where("x < y and m > 2")
+    size = keep(size.select("tile", F.greatest(F.ceil(F.col("m") / TILE_BLOCK), F.ceil(F.col("sum") / TILE_ELEMENTS)).cast("int").alias("blocks")))
+    mixed = keep(inside.join(size, "tile"))
+    tiles = mixed.groupBy("key").agg(F.slice(F.array_sort(F.collect_set("tile")), 1, LISTED).alias("tiles"))
+    rest = mixed.withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     rest = rest.select("tile", "key", "comp", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rest = rest.select("tile", "key", "comp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"))
-    more = rest.join(known.select("key", "n", "bits"), "key").groupBy("tile", "i", "j").applyInArrow(_tile_block(percent), "a long, b long, votes long")
-    more = keep(more.distinct())
+    rest = rest.join(tiles.join(known.select("key", "n", "bits"), "key"), "key").withColumn("tiles", F.filter("tiles", lambda t: t < F.col("tile")))
+    suspects = keep(rest.groupBy("tile", "i", "j").applyInArrow(_suspects(percent), SUSPECT))
+    more = keep(suspects.join(arrays, "key").groupBy("tile", "i", "j").applyInArrow(_forest(percent), "a long, b long"))
     if not more.isEmpty():
-        links = links.unionByName(linked(more))
+        links = links.unionByName(more)
         comp = keep(components(links))
-    free(pairs, arrays, more)
+    free(pairs, suspects, size, mixed, members)
     joined = docs.select("doc_id", "row", "n", "key").join(comp.select(F.col("v").alias("key"), "component"), "key", "left")
     return joined.select("doc_id", "row", "n", F.coalesce("component", "key").alias("root"))
 
@@ -324,7 +390,8 @@ def jaccard_components(df: DataFrame, id: str = "doc_id", text: str = "text", wo
     """
     source = df.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     root = _rooted(source.withColumn("row", _row_key(F.col("doc_id"), F.col("text"))), words, percent)
-    least = root.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
+    root = keep(root)
+    least = keep(root.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least")))
     out = root.join(least, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
