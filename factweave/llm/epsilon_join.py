@@ -28,15 +28,20 @@ def _moments(dim: int):
         for batch in batches:
             if batch.num_rows:
                 x = matrix(batch.column(0))
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                x = _unit(x)
                 total += x.T @ x
         yield pa.RecordBatch.from_pydict({"cell": np.arange(dim * dim), "v": total.ravel()})
 
     return rows
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times a power of two (exact) that brings its largest component near 1."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x = _scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -94,56 +99,71 @@ def _compare(cosine: float, axes: np.ndarray):
         at = range(0, len(p), SLICE)
         return np.array([p[k : k + SLICE].min(0) for k in at]), np.array([p[k : k + SLICE].max(0) for k in at])
 
-    def rows(batches):
-        for batch in batches:
-            for x in batch.to_pylist():
-                same = x["x"] == x["y"]
-                reps, weights, full = ([np.frombuffer(x[f"{c}_{s}"], t) for s in "xy"] for c, t in (("reps", "<i8"), ("weights", "<i8"), ("rows", "<f8")))
-                full = [r.reshape(len(i), -1) for r, i in zip(full, reps, strict=True)]
-                unit = [_unit(r) for r in full]
-                single = [u.astype(np.float32) for u in unit]
-                (al, ah), (bl, bh) = (slices(u @ axes) for u in unit)
-                hits_a, hits_b = [], []
-                for i in range(len(al)):
-                    gap = np.maximum(0, np.maximum(al[i] - bh, bl - ah[i]))
-                    for j in np.flatnonzero((gap * gap).sum(1) <= eps * eps):
-                        if same and j < i:
-                            continue
-                        a, b = np.nonzero(single[0][i * SLICE : (i + 1) * SLICE] @ single[1][j * SLICE : (j + 1) * SLICE].T >= cosine - SLACK)
-                        a, b = a + i * SLICE, b + j * SLICE
-                        if same:
-                            a, b = a[a < b], b[a < b]
-                        hits_a.append(a)
-                        hits_b.append(b)
-                a, b = (np.concatenate(h) if h else np.zeros(0, np.int64) for h in (hits_a, hits_b))
-                ok = np.empty(len(a), bool)
-                for k in range(0, len(a), 100_000):
-                    va, vb = full[0][a[k : k + 100_000]], full[1][b[k : k + 100_000]]
-                    ok[k : k + 100_000] = (va * vb).sum(1) / (np.sqrt((va * va).sum(1)) * np.sqrt((vb * vb).sum(1))) >= cosine
-                a, b = a[ok], b[ok]
-                if not len(a):
+    def compare(x: dict, y: dict, same: bool):
+        """(members' rep, links, root) of a block pair, or None."""
+        (al, ah), (bl, bh) = ((v["slice_low"], v["slice_high"]) for v in (x, y))
+        hits_a, hits_b = [], []
+        for i in range(len(al)):
+            gap = np.maximum(0, np.maximum(al[i] - bh, bl - ah[i]))
+            for j in np.flatnonzero((gap * gap).sum(1) <= eps * eps):
+                if same and j < i:
                     continue
-                base = 0 if same else len(reps[0])
-                both, weight = (reps[0], weights[0]) if same else (np.concatenate(reps), np.concatenate(weights))
-                n = np.bincount(a, weight[b + base], len(both)) + np.bincount(b + base, weight[a], len(both))
-                root = local_roots(a, b + base, len(both))
-                on = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(both[on]), pa.array(n[on].astype(np.int64)), pa.array(both[root[on]])], names=["rep", "links", "root"])
-
-    return rows
+                a, b = np.nonzero(x["single"][i * SLICE : (i + 1) * SLICE] @ y["single"][j * SLICE : (j + 1) * SLICE].T >= cosine - SLACK)
+                a, b = a + i * SLICE, b + j * SLICE
+                if same:
+                    a, b = a[a < b], b[a < b]
+                hits_a.append(a)
+                hits_b.append(b)
+        a, b = (np.concatenate(h) if h else np.zeros(0, np.int64) for h in (hits_a, hits_b))
+        ok = np.empty(len(a), bool)
+        for k in range(0, len(a), 100_000):
+            va, vb = x["full"][a[k : k + 100_000]], y["full"][b[k : k + 100_000]]
+            ok[k : k + 100_000] = (va * vb).sum(1) / (np.sqrt((va * va).sum(1)) * np.sqrt((vb * vb).sum(1))) >= cosine
+        a, b = a[ok], b[ok]
+        if not len(a):
+            return None
+        base = 0 if same else len(x["reps"])
+        both, weight = (x["reps"], x["weights"]) if same else (np.concatenate([x["reps"], y["reps"]]), np.concatenate([x["weights"], y["weights"]]))
+        n = np.bincount(a, weight[b + base], len(both)) + np.bincount(b + base, weight[a], len(both))
+        root = local_roots(a, b + base, len(both))
+        on = np.flatnonzero(n)
+        return both[on], n[on].astype(np.int64), both[root[on]]
+
+    def opened(block: int, raw: dict) -> dict:
+        reps, weights = (np.frombuffer(raw[c], "<i8") for c in ("reps", "weights"))
+        full = _scaled(np.frombuffer(raw["rows"], "<f8").reshape(len(reps), -1))
+        unit = _unit(full)
+        low, high = slices(unit @ axes)
+        return {"block": block, "reps": reps, "weights": weights, "full": full, "single": unit.astype(np.float32), "slice_low": low, "slice_high": high}
+
+    def tile(t: pa.Table) -> pa.Table:
+        """Links of all pairs of a block of node x and one of node y."""
+        out, sides = [], [[], []]
+        for raw in t.to_pylist():
+            for k in (0, 1):
+                if raw["node"] == raw["xy"[k]]:
+                    sides[k].append(opened(raw["block"], raw))
+        for x in sides[0]:
+            for y in sides[1]:
+                if t.column("x")[0].as_py() != t.column("y")[0].as_py() or x["block"] <= y["block"]:
+                    out.append(compare(x, y, x["block"] == y["block"]))
+        out = [o for o in out if o]
+        return pa.table({c: pa.array(np.concatenate([o[k] for o in out]) if out else [], pa.int64()) for k, c in enumerate(("rep", "links", "root"))})
+
+    return tile
 
 
 def _pairs(blocks: DataFrame, eps: float) -> DataFrame:
-    """(x, y) with x <= y: the blocks whose boxes lie within eps, found by splitting intervals."""
+    """(x, y) with x <= y: the nodes (eight blocks each) whose boxes lie within eps, found by splitting intervals."""
     top = blocks.agg(F.max("block")).first()[0] or 0
-    levels = 0
+    levels = 1
     while top >> (3 * levels):
         levels += 1
     node = lambda level: blocks.select(F.shiftright("block", 3 * level).alias("node"), F.posexplode(F.arrays_zip("low", "high")).alias("d", "b")).groupBy("node", "d").agg(F.min("b.low").alias("low"), F.max("b.high").alias("high")).groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "low", "high"))), lambda s: s["low"]).alias("low"), F.transform(F.array_sort(F.collect_list(F.struct("d", "low", "high"))), lambda s: s["high"]).alias("high"))
     test = _near(eps)
     pairs = keep(blocks.sparkSession.range(1).select(F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y")))
-    for level in range(levels - 1, -1, -1):
-        nodes = keep(node(level)) if level else blocks.select(F.col("block").alias("node"), "low", "high")
+    for level in range(levels - 1, 0, -1):
+        nodes = keep(node(level))
         side = lambda s: nodes.select(F.shiftright("node", 3).alias(s), F.col("node").alias(f"new_{s}"), F.col("low").alias(f"low_{s}"), F.col("high").alias(f"high_{s}"))  # noqa: E731, B023
         split = pairs.join(side("x"), "x").join(side("y"), "y").where("new_x <= new_y").where(test(F.col("low_x"), F.col("high_x"), F.col("low_y"), F.col("high_y")))
         pairs = keep(split.select(F.col("new_x").alias("x"), F.col("new_y").alias("y")))
@@ -171,8 +191,10 @@ def cosine_components(df: DataFrame, cosine: float = 0.95, id: str = "vec_id", v
         ordered = own.mapInArrow(_cells(axes, eps), "rep long, weight long, key binary, cell binary").repartitionByRange(max(2, n // 4), "cell", "rep").sortWithinPartitions("cell", "rep")
         blocks = keep(ordered.select("rep", "weight", "key").mapInArrow(_blocks(axes), BLOCKS))
         pairs = _pairs(blocks.select("block", "low", "high"), eps)
-        side = lambda s: blocks.select(F.col("block").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("reps", "weights", "rows")))  # noqa: E731, B023
-        made = keep(pairs.repartition(n, "x", "y").join(side("x"), "x").join(side("y"), "y").mapInArrow(_compare(cosine, axes), LINKS))
+        # a task meets the eight blocks of either node once, not once for each pair of blocks
+        ends = pairs.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("node"))
+        given = blocks.select(F.shiftright("block", 3).alias("node"), "block", "reps", "weights", "rows")
+        made = keep(ends.join(given, "node").groupBy("x", "y").applyInArrow(_compare(cosine, axes), LINKS))
         found = made if found is None else found.unionByName(made)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))

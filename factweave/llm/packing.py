@@ -208,7 +208,7 @@ def op8_sum_of_squares_packing(spark, sf_dir: str) -> DataFrame:
 
 
 def pack_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the pieces of every document, packed."""
+    """Pipeline stage: the pieces of every row, null and repeated ids too, packed; a null text is one piece of one token."""
     return pack(docs).drop("ids")
 
 

@@ -21,7 +21,11 @@ IPV4 = _B + r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![.][0-9])" + _E
 DATE = _B + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})" + _E
 SSN = _B + r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?!-[0-9])" + _E
 PHONE = r"(?<![\p{L}0-9_+(])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}" + _E
-CARD = _B + r"[0-9](?:[ -]?[0-9]){12,18}" + _E
+CARD = _B + r"[0-9](?:[ -]?[0-9]){12,}+" + _E
+#: What a run of digit groups that is no card as a whole may hold: dates, numbers and phones as above, cards in blocks.
+BLOCKS = r"[2-6][0-9]{3}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{4}|3[0-9]{3}([ -])[0-9]{6}\3[0-9]{4,5}|[2-6][0-9]{12,18}"
+INSIDE = rf"(?<![0-9])(?=((?:{BLOCKS}|[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}|[2-9][0-9]{{2}}[ -][2-9][0-9]{{2}}[ -][0-9]{{4}})(?![0-9])))"
+LONGER = r"(?<![0-9])(?=([2-6][0-9]{3}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{4}\2[0-9]{3})(?![0-9]))"
 ANY = "|".join((EMAIL, IBAN, IPV4, DATE, SSN, PHONE, CARD))
 #: The Gregorian calendar repeats after 146,097 = 189 * 773 days; pseudonyms of dates stay in one such period.
 FIRST_DAY, DAYS = "1800-01-01", (189, 773)
@@ -77,7 +81,18 @@ def _card(m: Column, key: Column) -> Column:
         return F.transform(F.array(body), lambda b: F.concat(b, F.pmod(-luhn_sum(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))[0]
 
     d = _only_digits(m)
-    return F.when((luhn_sum(d) % 10 == 0) & (F.translate(d, "0", "") != ""), _relay(m, new(d)))
+    return F.when(F.length(d).between(13, 19) & (luhn_sum(d) % 10 == 0) & (F.translate(d, "0", "") != ""), _relay(m, new(d)))
+
+
+def _inside(m: Column, key: Column) -> Column:
+    """struct(text, n): a run of digit groups with the n valid values in it replaced."""
+    full = lambda c, p: c.rlike(f"^(?:{p})$")
+    one = lambda c: F.when(full(c, "[0-9]{4}-[0-9]{2}-[0-9]{2}"), _date(c, key)).when(full(c, "[0-9]{3}-[0-9]{2}-[0-9]{4}"), _ssn(c, key)).when(F.length(_only_digits(c)) == 10, _phone(c, key)).otherwise(_card(c, key))
+    found = F.transform(F.array_distinct(F.concat(F.regexp_extract_all(m, F.lit(LONGER), F.lit(1)), F.regexp_extract_all(m, F.lit(INSIDE), F.lit(1)))), lambda c: F.struct(c.alias("old"), one(c).alias("new")))
+    start = F.struct(m.alias("text"), F.lit(0).alias("n"))
+    # of overlapping values the first counts: what it replaces is no longer there to be found
+    put = lambda s, p: F.when(F.contains(s["text"], p["old"]), F.struct(F.replace(s["text"], p["old"], p["new"]).alias("text"), (s["n"] + 1).alias("n"))).otherwise(s)
+    return F.aggregate(F.filter(found, lambda p: p["new"].isNotNull()), start, put)
 
 
 def _phone(m: Column, key: Column) -> Column:
@@ -175,25 +190,29 @@ def _iban(m: Column, key: Column) -> Column:
 
 
 def _pseudonym(m: Column, key: Column) -> Column:
-    """The pseudonym of a candidate, or null where it isn't valid."""
+    """struct(text, n): the candidate's pseudonym and the number of values in it, or n = 0 where it holds none."""
     full = lambda p: m.rlike(f"^(?:{p})$")
-    case = F.when(m.contains("@"), _email(m, key)).when(m.rlike("^[A-Z]"), _iban(m, key)).when(full(IPV4), _ipv4(m, key))
-    return case.when(full(DATE), _date(m, key)).when(full(SSN), _ssn(m, key)).when(full(PHONE), _phone(m, key)).otherwise(_card(m, key))
+    whole = lambda text: F.struct(text.alias("text"), text.isNotNull().cast("int").alias("n"))
+    case = F.when(m.contains("@"), whole(_email(m, key))).when(m.rlike("^[A-Z]"), whole(_iban(m, key))).when(full(IPV4), whole(_ipv4(m, key)))
+    case = case.when(full(DATE), whole(_date(m, key))).when(full(SSN), whole(_ssn(m, key))).when(full(PHONE), whole(_phone(m, key)))
+    card = F.transform(F.array(_card(m, key)), lambda c: F.when(c.isNotNull(), whole(c)).otherwise(_inside(m, key)))[0]
+    return case.otherwise(card)
 
 
 def pseudonymise(df: DataFrame, key: str, text: str = "text", found: str = "n_pseudonyms") -> DataFrame:
     """df with the valid values in its text column replaced and their number in a long column of the name found.
 
-    A null text stays null with a count of 0; invalid look-alikes, and text without such values, stay byte for
-    byte.  Other columns are untouched, except that a column named found is replaced.  E-mail names are compared
-    without regard to case; a repeated value has one pseudonym wherever it stands.
+    A run of digit groups that is no card as a whole is searched for cards in their usual blocks, social security
+    numbers, phones and dates.  A null text stays null with a count of 0; invalid look-alikes, and text without such
+    values, stay byte for byte.  Other columns are untouched, except that a column named found is replaced.  E-mail
+    names are compared without regard to case; a repeated value has one pseudonym wherever it stands.
     """
     t, k = F.col(text), F.lit(key)
     hits = F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))
     out = df.withColumn("__new", F.transform(hits, lambda m: F.struct(m.alias("old"), _pseudonym(m, k).alias("new"))))
-    out = out.withColumn(found, F.coalesce(F.size(F.filter("__new", lambda x: x["new"].isNotNull())), F.lit(0)).cast("long"))
+    out = out.withColumn(found, F.coalesce(F.aggregate("__new", F.lit(0), lambda s, x: s + x["new"]["n"]), F.lit(0)).cast("long"))
     gaps = F.split(t, ANY, -1)
-    values = F.concat(F.transform("__new", lambda x: F.coalesce(x["new"], x["old"])), F.array(F.lit("")))
+    values = F.concat(F.transform("__new", lambda x: F.when(x["new"]["n"] > 0, x["new"]["text"]).otherwise(x["old"])), F.array(F.lit("")))
     made = F.array_join(F.zip_with(gaps, values, lambda a, b: F.concat(a, b)), "")
     return out.withColumn(text, F.when(F.col(found) > 0, made).otherwise(t)).drop("__new")
 
@@ -207,7 +226,7 @@ def op9_feistel_pseudonyms(spark, sf_dir: str) -> DataFrame:
 
 
 def pseudonym_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document, with pseudonyms."""
+    """Pipeline stage: every row, null and repeated ids and null texts too, with pseudonyms; n_chars is counted anew."""
     out = pseudonymise(docs.select("doc_id", "text", "lang", "source"), KEY)
     return out.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
 

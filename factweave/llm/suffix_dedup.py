@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.common import M1, U64, Rolling, byte_column, free, keep, keep_bucketed, mix, row_blocks, width
+from factweave.llm.common import M1, U64, Rolling, byte_column, free, keep, keep_bucketed, mix, parts_for, row_blocks
 
 GRAM, SLIDE, GRID = 16, 128, (64, 8, 1)
 SHARD_BYTES = 16 << 20
@@ -415,7 +415,7 @@ def remove_repeats(df: DataFrame, text: str = "text", carry: tuple[str, ...] = (
         raise ValueError("window is too short for this slide")
     source = df.select(F.col(text).cast("string").alias("_text"), *carry)
     shards = keep_bucketed(source.mapInArrow(_build(window, slide, list(carry), shard_bytes), SHARD), "shard")
-    parts = width(df.sparkSession)
+    parts = parts_for(source, "_text")  # so that what one reducer reads doesn't grow with the corpus
     merged = lambda sent: keep(sent.groupBy("part").applyInArrow(_merge, HELD))
     live = merged(shards.select("shard", "bwt", "before", "step").mapInArrow(_first(parts), SENT))
     rounds = []
@@ -443,18 +443,25 @@ def remove_repeats(df: DataFrame, text: str = "text", carry: tuple[str, ...] = (
     return shards.select("shard", "meta", "text", "bounds").groupBy("shard").cogroup(spans.groupBy("shard")).applyInArrow(_strip(window, to_arrow_schema(out)), out)
 
 
+def _kept_text():
+    """kept as a string; where a cut parts a character, its bytes become U+FFFD."""
+    valid = F.expr("try_validate_utf8(cast(kept as string))")
+    return F.when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(F.coalesce(valid, F.expr("make_valid_utf8(cast(kept as string))")))
+
+
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document, for strings of 400 bytes."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept text of every document, for strings of 400 bytes."""
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), _kept_text().alias("text"))
 
 
 def strip_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents without repeated strings; bytes of a cut character go too."""
+    """Pipeline stage: the documents without repeated strings; what a cut leaves of a character becomes U+FFFD.
+
+    Every row stays, null and repeated ids too; a null text becomes an empty one, and n_chars is counted anew.
+    """
     out = remove_repeats(docs, carry=("doc_id", "lang", "source"))
-    text = F.expr("try_validate_utf8(cast(kept as string))")
-    text = F.when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(F.coalesce(text, F.expr("make_valid_utf8(cast(kept as string))")))
-    return out.select("doc_id", text.alias("text"), "lang", "source").select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
+    return out.select("doc_id", _kept_text().alias("text"), "lang", "source").withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 __all__ = ["remove_repeats", "op1_suffix_dedup", "strip_stage"]

@@ -48,6 +48,8 @@ def test_values(spark):
         5: ("4111111111111112 0000000000000000 x4111111111111111", None, 0),
         6: ("born 1984-02-29 or 29.02.1984, 03/04/2001; 1983-02-29 1700-01-01 99/99/1999", f"born {iso} or {dmy}, {us}; 1983-02-29 1700-01-01 99/99/1999", 3),
         7: ("+1 (743) 555-3824!", f"+1 ({x + 200}) {str(y + 2000000)[:3]}-{str(y + 2000000)[3:]}!", 1),
+        9: (f"{c1} 12/26 4111111111111111 123, 2 {c1}; {c1} 5500 0000 0000 0004", f"{card(c1)} 12/26 {card('4111111111111111')} 123, 2 {card(c1)}; {card(c1)} {card('5500 0000 0000 0004')}", 5),
+        10: (f"{c1} 743-555-3824 3782 822463 10005 7", f"{card(c1)} {x + 200}-{str(y + 2000000)[:3]}-{str(y + 2000000)[3:]} {card('3782 822463 10005')} 7", 3),
         8: ("000-12-3456 666-12-3456 1.2.3.4.5 256.1.1.1", None, 0),
     }
     df = spark.createDataFrame([(i, t, "n") for i, (t, _, _) in rows.items()], "doc_id long, text string, old string")
