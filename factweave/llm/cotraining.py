@@ -1,10 +1,13 @@
 """Quality classifier by co-training on two views of a document: its text and its metadata.
 
 The text view averages hashed word weights and adds a few shape statistics; the metadata view knows source,
-language, length and their pairs.  Each view's logistic model is fitted on the labelled sample, and in every
-round it names its most confident documents of an unlabelled pool, in the proportion of the classes, as training
-rows for the other.  Both views are then calibrated and combined by a logistic model on labelled rows that no
-view was fitted on.  The samples are bounded by LABELLED and POOL; the models score every document.
+language, length and their pairs.  A view's weights start from sums that Spark takes over all documents known to it
+(log odds of counts by class) and are refined by logistic steps on a sample of LABELLED labelled documents.  In each
+round each view scores all unlabelled documents, names the most confident of them, in the proportion of the classes
+and by quantiles over all, and Spark adds them to the other view's sums beside all labelled documents.  What one view
+names grows with the rounds, up to one in SHARE.  Both views are then calibrated and combined by a logistic model on
+CALIBRATION labelled documents at most, of a quarter that no view was fitted on.  The driver sees sums of a fixed
+size, quantiles and those samples.
 """
 
 from __future__ import annotations
@@ -15,20 +18,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.common import U64, Rolling, byte_column, row_blocks
+from factweave.llm.common import U64, Rolling, byte_column, keep, row_blocks
 
-LABELLED, POOL, ROUNDS, TABLE, META = 6000, 6000, 4, 1 << 15, 1 << 12
-BLOCK_BYTES, SLICE = 4 << 20, 1 << 20
+LABELLED, CALIBRATION, ROUNDS, SHARE, TABLE, META = 6000, 4000, 4, 5, 1 << 15, 1 << 12
+BLOCK_BYTES, CHUNK, PSEUDO = 1 << 20, 1 << 10, 0.5
 _KIND = np.zeros(256, np.uint8)  # 1 letter, 2 capital, 3 digit, 4 symbol, 5 space, 6 line end, 7 other bytes
 _KIND[33:127], _KIND[128:] = 4, 7
 _KIND[97:123], _KIND[65:91], _KIND[48:58], _KIND[[9, 11, 12, 13, 32]], _KIND[10] = 1, 2, 3, 5, 6
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-STATS = 12
+STATS = 11
+CELLS = 2 * (TABLE + META)
 
 
 def text_view(text: pa.Array):
-    """(row of each word, its hashed id, statistics by row) of a column of texts."""
+    """(row of each word, its hashed id, statistics by row, words by row) of a column of texts."""
     roll = Rolling(29)
     data, offsets = byte_column(text)
     data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
@@ -48,7 +52,7 @@ def text_view(text: pa.Array):
     pairs = np.unique(row * TABLE + word) // TABLE
     distinct = np.bincount(pairs, minlength=n) / np.maximum(count, 1)
     length = np.bincount(row, last - first, n) / np.maximum(count, 1)
-    stats = np.stack([*share, distinct, np.log1p(length), np.log1p(count), np.sqrt(share[2]), count == 0, np.ones(n)], 1)
+    stats = np.stack([*share, distinct, np.log1p(length), np.log1p(count), np.sqrt(share[2]), count == 0], 1)
     return row, word, stats, count
 
 
@@ -62,34 +66,47 @@ def meta_view(source: pa.Array, lang: pa.Array, n_chars: pa.Array) -> np.ndarray
     return np.array([[feature("s", a), feature("l", b), feature("n", c), feature("sl", a, b), feature("ln", b, c)] for a, b, c in zip(s, g, size, strict=True)], np.int64).reshape(-1, 5)
 
 
-class Logistic:
-    """Logistic regression on averaged hashed features and dense ones, by full-batch Adam.
+FEATURES = "doc_id long, words binary, times binary, stats binary, meta binary"
+NAMES = [c.split()[0] for c in FEATURES.split(", ")]
 
-    A view is (row, hashed id, share of the row's features) of its entries and the dense features by row.
-    """
 
-    def __init__(self, table: int, dense: int):
-        self.hashed, self.dense = np.zeros(table), np.zeros(dense)
+def _features(batches):
+    """A row's distinct word ids, their counts, statistics and metadata ids: all that any later step reads."""
+    for batch in batches:
+        _, offsets = byte_column(batch.column(1))
+        for lo, hi in row_blocks(offsets, BLOCK_BYTES):
+            part = batch.slice(lo, hi - lo)
+            row, word, stats, _ = text_view(part.column(1))
+            pairs, times = np.unique(row * TABLE + word, return_counts=True)
+            cuts = np.searchsorted(pairs, np.arange(len(stats) + 1) * TABLE)
+            ids = meta_view(*(part.column(k) for k in (2, 3, 4)))
+            each = lambda x, t: pa.array([x[i:j].astype(t).tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())  # noqa: B023, E731
+            made = [each(pairs % TABLE, "<u2"), each(times, "<i4"), *(pa.array([r.astype(t).tobytes() for r in x], pa.binary()) for x, t in ((stats, "<f4"), (ids, "<u2")))]
+            yield pa.RecordBatch.from_arrays([part.column(0), *made], names=NAMES)
+
+
+def _opened(batch: pa.RecordBatch):
+    """(row of each distinct word, id, count; statistics; metadata ids) of feature rows."""
+    whole = lambda name, t: np.frombuffer(b"".join(x.as_buffer() for x in batch.column(name)), t)
+    n = pc.binary_length(batch.column("words")).to_numpy() // 2
+    return np.repeat(np.arange(batch.num_rows), n), whole("words", "<u2").astype(np.int64), whole("times", "<i4").astype(np.float64), whole("stats", "<f4").reshape(-1, STATS).astype(np.float64), whole("meta", "<u2").reshape(-1, 5).astype(np.int64)
+
+
+class Logistic:
+    """A logistic model on weighted hashed entries (row, id, weight) and dense columns, refined by full-batch Adam."""
+
+    def __init__(self, hashed: np.ndarray, dense: np.ndarray):
+        self.hashed, self.dense = hashed, dense
 
     def score(self, row, word, share, dense):
-        out = dense @ self.dense
-        for k in range(0, len(row), SLICE):
-            s = slice(k, k + SLICE)
-            out += np.bincount(row[s], self.hashed[word[s]] * share[s], len(dense))
-        return out
-
-    def gradient(self, g, row, word, share):
-        out = np.zeros_like(self.hashed)
-        for k in range(0, len(row), SLICE):
-            s = slice(k, k + SLICE)
-            out += np.bincount(word[s], g[row[s]] * share[s], len(out))
-        return out
-
-    def fit(self, row, word, share, dense, y, weight, steps: int = 80):
+        return dense @ self.dense + np.bincount(row, self.hashed[word] * share, len(dense))
+
+    def fit(self, row, word, share, dense, y, steps: int = 60):
+        weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3)) / len(y)
         state = [np.zeros_like(x) for x in (self.hashed, self.hashed, self.dense, self.dense)]
         for k in range(1, steps + 1):
-            g = weight * (1 / (1 + np.exp(-np.clip(self.score(row, word, share, dense), -30, 30))) - y) / weight.sum()
-            grads = self.gradient(g, row, word, share) + 1e-6 * self.hashed, dense.T @ g + 1e-5 * self.dense
+            g = weight * (1 / (1 + np.exp(-np.clip(self.score(row, word, share, dense), -30, 30))) - y)
+            grads = np.bincount(word, g[row] * share, len(self.hashed)) + 1e-6 * self.hashed, dense.T @ g + 1e-5 * self.dense
             for i, (w, grad) in enumerate(zip((self.hashed, self.dense), grads, strict=True)):
                 m, v = state[2 * i], state[2 * i + 1]
                 m += 0.1 * (grad - m)
@@ -98,135 +115,138 @@ class Logistic:
         return self
 
 
-def _take(view, rows):
-    """The part of a view over the given rows, numbered anew."""
-    row, word, share, dense = view
-    new = np.full(len(dense), -1, np.int32)
-    new[rows] = np.arange(len(rows))
-    on = new[row] >= 0
-    return new[row[on]], word[on], share[on], dense[rows]
+def _entries(opened, mean, spread):
+    """Both views of feature rows, each as Logistic takes it."""
+    row, word, times, stats, meta = opened
+    total = np.maximum(np.bincount(row, times, len(stats)), 1)
+    one = np.ones((len(stats), 1))
+    return (row, word, times / total[row], np.concatenate([(stats - mean) / spread, one], 1)), (np.repeat(np.arange(len(meta)), 5), meta.ravel(), np.full(meta.size, 0.2), one)
 
 
-def _features(batches):
-    """What the training needs of each chosen row: its distinct word ids, their counts, statistics, metadata ids."""
-    for batch in batches:
-        _, offsets = byte_column(batch.column(1))
-        for lo, hi in row_blocks(offsets, 1 << 20):
-            part = batch.slice(lo, hi - lo)
-            row, word, stats, _ = text_view(part.column(1))
-            pairs, times = np.unique(row * TABLE + word, return_counts=True)
-            cuts = np.searchsorted(pairs, np.arange(len(stats) + 1) * TABLE)
-            ids = meta_view(*(part.column(k) for k in (2, 3, 4)))
-            each = lambda x, t: pa.array([x[i:j].astype(t).tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
-            made = [each(pairs % TABLE, np.int32), each(times, np.int32), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (stats, ids))]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(5), part.column(6), *made], names=FEATURES)
-
-
-FEATURES = ["doc_id", "quality", "o", "words", "times", "stats", "meta"]
-
-
-def train(words: pa.Array, times: pa.Array, stats: pa.Array, meta: pa.Array, label: np.ndarray, seed: int = 0) -> dict:
-    """The combined model from rows of _features() with labels 1, 0 or -1 (unlabelled)."""
-    rng = np.random.default_rng(seed)
-    known = rng.permutation(np.flatnonzero(label >= 0))
-    if not len(known) or len(np.unique(label[known])) < 2:
-        return {"text": None, "prior": float(label[known].mean()) if len(known) else 0.5}
-    whole = lambda col, t: np.frombuffer(b"".join(x.as_buffer() for x in col), t)
-    n = np.array([len(x.as_buffer()) // 4 for x in words])
-    row = np.repeat(np.arange(len(n), dtype=np.int32), n)
-    count = whole(times, np.int32)
-    total = np.maximum(np.bincount(row, count, len(n)), 1)
-    dense = whole(stats, np.float64).reshape(len(n), -1)
-    mean, spread = dense.mean(0), dense.std(0) + 1e-6
-    mean[-1], spread[-1] = 0, 1
-    text = row, whole(words, np.int32), (count / total[row]).astype(np.float32), (dense - mean) / spread
-    views, models = (text, _meta_entries(whole(meta, np.int64).reshape(-1, 5))), [None, None]
-    held, own = known[: len(known) // 4], known[len(known) // 4 :]
-    pool, rate = np.flatnonzero(label < 0), label[own].mean()
-    given = [dict(zip(own.tolist(), label[own].tolist(), strict=True)) for _ in range(2)]
-    for turn in range(ROUNDS + 1):
-        for i, view in enumerate(views):
-            rows = np.array(list(given[i]))
-            y = np.array([given[i][r] for r in rows.tolist()])
-            weight = np.where(np.isin(rows, own), 1.0, 0.5) * np.where(y == 1, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3))
-            models[i] = Logistic(TABLE if i == 0 else META, view[3].shape[1]).fit(*_take(view, rows), y, weight)
-        if turn < ROUNDS and len(pool):
-            for i, view in enumerate(views):
-                s = models[i].score(*view)[pool]
-                order, share = np.argsort(s, kind="stable"), max(1, len(pool) // (5 * ROUNDS))
-                bad = max(1, int(share * (1 - rate)))
-                other = given[1 - i]
-                for r in pool[order[:bad]].tolist():
-                    other.setdefault(r, 0)
-                for r in pool[order[len(order) - max(1, share - bad) :]].tolist():
-                    other.setdefault(r, 1)
-    scores = np.stack([m.score(*v)[held] for m, v in zip(models, views, strict=True)], 1)
-    y, calibration = label[held], []
-    for k in range(2):
-        calibration.append(_line(scores[:, [k]], y))
-    logits = np.stack([scores[:, k] * c[0] + c[1] for k, c in enumerate(calibration)], 1)
-    return {"text": models[0], "meta": models[1], "mean": mean, "spread": spread, "calibration": calibration, "mix": _line(logits, y), "prior": float(rate)}
-
-
-def _meta_entries(ids: np.ndarray):
-    return np.repeat(np.arange(len(ids)), 5), ids.ravel(), np.full(ids.size, 0.2), np.ones((len(ids), 1))
+def views(sums: np.ndarray, sample, y: np.ndarray) -> dict:
+    """Both views' models from sums (by class: words, then metadata features) and the labelled sample."""
+    bad, good = sums.reshape(2, -1)
+    mean, spread = sample[3].mean(0), sample[3].std(0) + 1e-6
+    models = []
+    for entries, part in zip(_entries(sample, mean, spread), (slice(0, TABLE), slice(TABLE, TABLE + META)), strict=True):
+        rate = [np.log(x[part] + 0.5) - np.log(x[part].sum() + 0.5 * len(x[part])) for x in (bad, good)]
+        start = Logistic(rate[1] - rate[0], np.zeros(entries[3].shape[1]))
+        start.hashed *= max(_line(start.score(*entries)[:, None], y)[0], 0)
+        models.append(start.fit(*entries, y))
+    return {"models": models, "mean": mean, "spread": spread}
 
 
-def _line(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights and offset of a small logistic model, by Newton steps."""
-    x = np.concatenate([x, np.ones((len(x), 1))], 1)
-    w = np.zeros(x.shape[1])
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= np.linalg.solve((x.T * (p * (1 - p))) @ x + 1e-2 * np.eye(len(w)), x.T @ (p - y) + 1e-2 * w)
-    return w
+def view_scores(model: dict, opened) -> np.ndarray:
+    """(row, view): log odds by the text and by the metadata."""
+    return np.stack([m.score(*e) for m, e in zip(model["models"], _entries(opened, model["mean"], model["spread"]), strict=True)], 1)
+
+
+def _summed(shared):
+    """Sums over labelled rows and, where there are models, over what each view names for the other."""
+
+    def rows(batches):
+        model, cuts = shared.value
+        sums = np.zeros((2, CELLS // 2))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            opened = _opened(batch)
+            row, word, times, stats, meta = opened
+            label, held = batch.column("quality").to_numpy(), batch.column("held").to_numpy(zero_copy_only=False)
+            score = view_scores(model, opened) if model else None
+            for c in (0, 1):
+                own = ((label == c) & ~held).astype(float)
+                text, other = own, own
+                if model:  # the metadata view names rows for the text view and the other way round
+                    named = [(label < 0) & ((s >= hi) & (s > lo) if c else (s <= lo) & (s < hi)) for s, (lo, hi) in zip(score.T, cuts, strict=True)]
+                    text, other = own + PSEUDO * named[1], own + PSEUDO * named[0]
+                sums[c, :TABLE] += np.bincount(word, times * text[row] / np.maximum(np.bincount(row, times, len(stats)), 40)[row], TABLE)
+                sums[c, TABLE:] += np.bincount(meta.ravel(), np.repeat(other, 5), META)
+        flat = sums.ravel()
+        on = [k for k in range(0, CELLS, CHUNK) if flat[k : k + CHUNK].any()]
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(on, pa.int64()), "part": pa.array([flat[k : k + CHUNK].tobytes() for k in on], pa.binary())})
+
+    return rows
 
 
-def predict(model: dict, text, source, lang, n_chars) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(probability by text, by metadata, combined) that a row's quality is 1."""
-    if model["text"] is None:
-        return (np.full(len(text), model["prior"]),) * 3
-    row, word, stats, count = text_view(text)
-    s = model["text"].score(row, word, 1 / np.maximum(count, 1)[row], (stats - model["mean"]) / model["spread"])
-    m = model["meta"].score(*_meta_entries(meta_view(source, lang, n_chars)))
-    logits = [x * c[0] + c[1] for x, c in zip((s, m), model["calibration"], strict=True)]
-    both = logits[0] * model["mix"][0] + logits[1] * model["mix"][1] + model["mix"][2]
-    return tuple(1 / (1 + np.exp(-np.clip(x, -30, 30))) for x in (*logits, both))
+def _add(t: pa.Table) -> pa.Table:
+    total = np.sum([np.frombuffer(x.as_buffer(), np.float64) for x in t.column("part")], axis=0)
+    return pa.table({"chunk": t.column("chunk").slice(0, 1), "part": pa.array([total.tobytes()], pa.binary())})
 
 
-def _score(shared):
+def _scored(shared):
     def rows(batches):
         for batch in batches:
-            _, offsets = byte_column(batch.column(1))
-            for lo, hi in row_blocks(offsets, BLOCK_BYTES):
-                part = batch.slice(lo, hi - lo)
-                p = predict(shared.value, *(part.column(k) for k in range(1, 5)))
-                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, p)], names=["doc_id", "p_text", "p_meta", "score"])
+            s = view_scores(shared.value, _opened(batch)) if batch.num_rows else np.zeros((0, 2))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "quality", "held")] + [pa.array(s[:, 0]), pa.array(s[:, 1])], names=["doc_id", "quality", "held", "s_text", "s_meta"])
 
     return rows
 
 
-def quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, threshold: float = 0.5) -> DataFrame:
+SCORED = "doc_id long, quality int, held boolean, s_text double, s_meta double"
+
+
+def _line(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights and offset of a small logistic model, by Newton steps."""
+    x = np.concatenate([x, np.ones((len(x), 1))], 1)
+    w = np.zeros(x.shape[1])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w -= np.linalg.solve((x.T * (p * (1 - p))) @ x + 1e-2 * np.eye(len(w)), x.T @ (p - y) + 1e-2 * w)
+    return w
+
+
+def quality(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, threshold: float = 0.5) -> DataFrame:
     """doc_id, p_text, p_meta, score, keep of every row of docs (doc_id, text, lang, source, n_chars).
 
     score is the combined probability of quality 1 and keep says whether it reaches threshold.  Nulls count as
-    values of their own, a null text as empty; of repeated labels the lowest counts; rows may
-    repeat, and of rows of one id the training takes one.  Without
-    labels of both classes every score is the labels' mean, or 0.5.
+    values of their own, a null text as empty; of repeated labels the lowest counts; rows may repeat, and each
+    counts in the sums.  Without labels of both classes, in the part that is fitted and in the quarter held back for
+    calibration, every score is the labels' mean, or 0.5.  An empty docs gives no rows.
     """
+    spark = docs.sparkSession
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars")]
-    rows = docs.select(*columns)
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
+    given = docs.select(*columns).mapInArrow(_features, FEATURES).join(known, "doc_id", "left")
     order = F.xxhash64("doc_id", F.lit(7))
-    chosen = rows.select("doc_id").join(known, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), order.alias("o")).distinct()
-    some = chosen.where("quality >= 0").orderBy("o").limit(labelled).unionByName(chosen.where("quality < 0").orderBy("o").limit(pool))
-    seen = rows.join(F.broadcast(some), "doc_id").select("doc_id", "text", "source", "lang", "n_chars", "quality", "o")
-    seen = seen.mapInArrow(_features, "doc_id long, quality int, o long, words binary, times binary, stats binary, meta binary")
-    one = seen.groupBy("doc_id").agg(F.min(F.struct(*FEATURES[1:])).alias("x"))  # repeated rows count once
-    taken = one.select("doc_id", "x.*").orderBy("o", "doc_id").toArrow().combine_chunks()
-    model = train(*(taken.column(c) for c in FEATURES[3:]), taken.column("quality").to_numpy())
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = rows.mapInArrow(_score(shared), "doc_id long, p_text double, p_meta double, score double")
+    rows = keep(given.withColumn("quality", F.coalesce("quality", F.lit(-1))).withColumn("held", F.pmod(order, F.lit(4)) == 0))
+    count = {(r["quality"], r["held"]): r["n"] for r in rows.where("quality >= 0").groupBy("quality", "held").agg(F.count("*").alias("n")).collect()}
+    if len(count) < 4:
+        rate = sum(n for (q, _), n in count.items() if q) / sum(count.values()) if count else 0.5
+        plain = [F.lit(float(rate)).alias(c) for c in ("p_text", "p_meta", "score")]
+        return rows.select("doc_id", *plain).withColumn("keep", F.col("score") >= threshold)
+    rate = count[1, False] / (count[0, False] + count[1, False])
+
+    def sums(model, cuts) -> np.ndarray:
+        out = np.zeros(-(-CELLS // CHUNK) * CHUNK)
+        shared = spark.sparkContext.broadcast((model, cuts))
+        for r in rows.mapInArrow(_summed(shared), "chunk long, part binary").groupBy("chunk").applyInArrow(_add, "chunk long, part binary").collect():
+            x = np.frombuffer(r["part"], np.float64)
+            out[r["chunk"] : r["chunk"] + len(x)] = x
+        return out[:CELLS]
+
+    def scored(model) -> DataFrame:
+        return rows.mapInArrow(_scored(spark.sparkContext.broadcast(model)), SCORED)
+
+    some = rows.where("quality >= 0 and not held").orderBy(order, "doc_id", "words").limit(LABELLED).toArrow().combine_chunks().to_batches()[0]
+    sample, y = _opened(some), some.column("quality").to_numpy()
+    model = views(sums(None, None), sample, y)
+    for turn in range(rounds):
+        share = (turn + 1) / (SHARE * rounds)
+        at = [share * (1 - rate), 1 - share * rate]
+        cut = scored(model).where("quality < 0").agg(*(F.percentile_approx(c, at, 10_000).alias(c) for c in ("s_text", "s_meta"))).first()
+        if cut["s_text"] is None:  # no unlabelled row
+            break
+        model = views(sums(model, [tuple(cut["s_text"]), tuple(cut["s_meta"])]), sample, y)
+    final = keep(scored(model))
+    sample = final.where("quality >= 0 and held").orderBy(order, "doc_id").limit(CALIBRATION).select("quality", "s_text", "s_meta").toPandas()
+    y, s = sample.quality.to_numpy(), sample[["s_text", "s_meta"]].to_numpy()
+    lines = [_line(s[:, [k]], y) for k in range(2)]
+    both = _line(np.stack([s[:, k] * c[0] + c[1] for k, c in enumerate(lines)], 1), y)
+    chance = lambda x: 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), x))))
+    logit = [F.col(c) * float(w[0]) + float(w[1]) for c, w in zip(("s_text", "s_meta"), lines, strict=True)]
+    mixed = logit[0] * float(both[0]) + logit[1] * float(both[1]) + float(both[2])
+    out = final.select("doc_id", chance(logit[0]).alias("p_text"), chance(logit[1]).alias("p_meta"), chance(mixed).alias("score"))
     return out.withColumn("keep", F.col("score") >= threshold)
 
 
@@ -235,4 +255,4 @@ def op6_cotraining_quality(spark, sf_dir: str) -> DataFrame:
     return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-__all__ = ["train", "predict", "quality", "op6_cotraining_quality"]
+__all__ = ["views", "view_scores", "quality", "op6_cotraining_quality"]
