@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -26,10 +27,23 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+@contextlib.contextmanager
+def _tidy(spark: SparkSession):
+    """Within it, a query's shuffle files go as soon as it has written its result."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 def keep(df: DataFrame, *by: str) -> DataFrame:
     """df written as Parquet into the shared folder, in folders of the columns by, and read again."""
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/factweave-{uuid.uuid4().hex}"
-    df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
+    with _tidy(spark):
+        df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_at = path
     return out
@@ -152,5 +166,6 @@ def keep_bucketed(df: DataFrame, key: str) -> DataFrame:
     """df written into the shared folder in buckets of key: later groupings by key move none of its rows."""
     spark, name, n = df.sparkSession, f"factweave_{uuid.uuid4().hex}", width(df.sparkSession)
     path = f"{shared_dir(spark)}/{name}"
-    df.repartition(n, key).write.option("path", path).option("compression", "zstd").option("parquet.block.size", 16 << 20).bucketBy(n, key).saveAsTable(name)
+    with _tidy(spark):
+        df.repartition(n, key).write.option("path", path).option("compression", "zstd").option("parquet.block.size", 16 << 20).bucketBy(n, key).saveAsTable(name)
     return spark.table(name)

@@ -1,10 +1,13 @@
 """Largest-inner-product neighbours through a graph that NN-descent builds and a greedy search walks.
 
 Equal vectors are one node.  The first graph joins each node with the others of its blocks in a few random
-one-dimensional orders.  A round of NN-descent brings, by joins on both edge directions, every node's neighbours
-together in one place, compares the pairs that hold a new edge, and keeps each node's best.  Joined rows carry
-vectors as 8-bit codes, so the rounds are cheap; scores that leave the operator are exact.  A query starts at
-its own node and repeatedly expands its best unexpanded nodes.  Results are expanded from nodes to rows, of
+one-dimensional orders, whose cells grow in number with the table.  A round of NN-descent brings, by joins on both
+edge directions, every node's neighbours together in one place, compares the pairs that hold a new edge, proposes
+each member's PROPOSED best partners there, and keeps each node's DEGREE best; rounds go on until fewer than one in
+1 / DELTA edges are new.  Joined rows carry vectors as 4-bit codes, so the rounds are cheap; scores that leave the
+operator are exact.  A query starts at its own node and expands the unexpanded ones among its FRONT best nodes,
+EXPAND at a step, until there are none.  Then the recall of PROBES queries is measured against all vectors, and as long
+as it is below RECALL the front is doubled and the search goes on, so the effort follows the data.  Results are expanded from nodes to rows, of
 which a node keeps as many smallest ids as a result can hold, so ties stay exact under any number of copies.
 """
 
@@ -18,28 +21,29 @@ from pyspark.sql import functions as F
 from factweave.llm.common import free, keep, width
 from factweave.llm.vectors import matrix, usable
 
-DEGREE, REVERSE, TREES, BLOCK, ROUNDS = 24, 12, 4, 128, 3
-STEPS, EXPAND, BEAM = 4, 16, 96
+DEGREE, REVERSE, TREES, BLOCK, PROPOSED, DELTA = 40, 20, 4, 128, 10, 0.04
+FRONT, EXPAND, PROBES, RECALL = 48, 16, 64, 0.93
 
 EDGE = "u long, v long, s float"
 
 
-def _encode(dim: int):
-    """Adds an order key for each random direction and the 8-bit code (scale, then components)."""
+def _encode(dim: int, signs: int):
+    """Adds an order key for each random direction and the 4-bit code (scale, then components)."""
 
     def rows(batches):
-        axes = np.random.default_rng(5).normal(size=(dim, TREES * 12))
+        axes = np.random.default_rng(5).normal(size=(dim, TREES * signs))
         for batch in batches:
             if batch.num_rows:
                 x = matrix(batch.column(1))
                 p = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ axes
                 gray = []
                 for t in range(TREES):  # nearby in the order: the same signs in most directions
-                    bits = (p[:, t * 12 : (t + 1) * 12] > 0).astype(np.int64)
+                    bits = (p[:, t * signs : (t + 1) * signs] > 0).astype(np.int64)
                     flip = np.bitwise_xor.accumulate(bits, axis=1)
-                    gray.append(flip @ (1 << np.arange(11, -1, -1)) + 0.0)
-                scale = np.abs(x).max(1) / 127
-                code = np.round(x / scale[:, None]).astype(np.int8)
+                    gray.append(flip @ (1 << np.arange(signs - 1, -1, -1)) + 0.0)
+                scale = np.abs(x).max(1) / 7
+                code = (np.round(x / scale[:, None]) + 8).astype(np.uint8)
+                code = (code[:, ::2] << 4) | np.pad(code[:, 1::2], ((0, 0), (0, dim % 2)), constant_values=8)
                 raw = [np.float32(s).tobytes() + c.tobytes() for s, c in zip(scale, code, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary()), pa.array(list(np.stack(gray, 1)), pa.list_(pa.float64()))], names=["u", "code", "orders"])
 
@@ -47,8 +51,10 @@ def _encode(dim: int):
 
 
 def _decode(col) -> np.ndarray:
-    raw = np.frombuffer(b"".join(x.as_buffer() for x in col), np.int8).reshape(len(col), -1)
-    return np.ascontiguousarray(raw[:, :4]).view(np.float32) * raw[:, 4:].astype(np.float32)
+    """Vectors of 4-bit codes; an odd number of components gets a zero more."""
+    raw = np.frombuffer(b"".join(x.as_buffer() for x in col), np.uint8).reshape(len(col), -1)
+    code = np.stack([raw[:, 4:] >> 4, raw[:, 4:] & 15], 2).reshape(len(col), -1)
+    return np.ascontiguousarray(raw[:, :4]).view(np.float32) * (code.astype(np.float32) - 8)
 
 
 def _best(owner: np.ndarray, other: np.ndarray, score: np.ndarray, k: int):
@@ -114,7 +120,7 @@ def _local_join(batches):
             s = x[rows] @ x[rows].transpose(0, 2, 1)
             ok = (new[rows][:, :, None] | new[rows][:, None, :]) & (v[rows][:, :, None] != v[rows][:, None, :]) & (s > low[rows][:, :, None])
             s = np.where(ok, s, -np.inf)
-            k = min(6, n - 1)
+            k = min(PROPOSED, n - 1)
             at = np.argpartition(-s, k - 1, axis=2)[:, :, :k]
             best = np.take_along_axis(s, at, 2)
             hit = np.isfinite(best)
@@ -145,8 +151,8 @@ def build_graph(nodes: DataFrame) -> DataFrame:
         start = made if start is None else start.unionByName(made)
     best = lambda e: keep(e.repartition(n, "u").sortWithinPartitions("u").mapInArrow(_top(DEGREE), EDGE))
     graph = best(start)
-    old = graph.limit(0)
-    for _ in range(ROUNDS):
+    old, edges = graph.limit(0), graph.count()
+    while True:
         fresh = graph.join(old.select("u", "v", F.lit(True).alias("seen")), ["u", "v"], "left").select("u", "v", F.col("seen").isNull().alias("new"))
         rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("new"), F.xxhash64("u", "v")))
         back = fresh.select(F.col("v").alias("u"), F.col("u").alias("v"), "new").withColumn("rank", rank).where(f"rank <= {REVERSE}").drop("rank")
@@ -157,7 +163,8 @@ def build_graph(nodes: DataFrame) -> DataFrame:
         new = best(graph.unionByName(better))
         free(old)
         old, graph = graph, new
-    return graph
+        if graph.join(old.select("u", "v"), ["u", "v"], "left_anti").count() <= DELTA * edges:
+            return graph
 
 
 def _score(batches):
@@ -174,6 +181,27 @@ def _exact(batches):
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array((a * b).sum(1))], names=["u", "v", "score"])
 
 
+def _true(shared, k: int):
+    """The k best others of each probe among a task's vectors."""
+
+    def rows(batches):
+        u, x = shared.value
+        best = [np.zeros(0, np.int64)] * len(u), [np.zeros(0)] * len(u)
+        for batch in batches:
+            if batch.num_rows:
+                v, s = batch.column(0).to_numpy(), x @ matrix(batch.column(1)).T
+                for i in range(len(u)):
+                    at = np.argpartition(-s[i], min(k, len(v) - 1))[: k + 1]
+                    at = at[v[at] != u[i]]
+                    ids, score = np.concatenate([best[0][i], v[at]]), np.concatenate([best[1][i], s[i][at]])
+                    top = np.argsort(-score, kind="stable")[:k]
+                    best[0][i], best[1][i] = ids[top], score[top]
+        for i in range(len(u)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best[0][i]), u[i])), pa.array(best[0][i]), pa.array(best[1][i])], names=["u", "v", "score"])
+
+    return rows
+
+
 def search(df: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each row of df that meets queries.
 
@@ -193,7 +221,9 @@ def search(df: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, id: str
     n = width(df.sparkSession)
     for size in sizes:
         own = nodes.where(F.col("size") == size)
-        codes = keep(own.select("u", "key").mapInArrow(_encode(size // 8), "u long, code binary, orders array<double>"))
+        own_count = own.count()
+        signs = min(50, max(12, (own_count // BLOCK).bit_length() + 4))
+        codes = keep(own.select("u", "key").mapInArrow(_encode(size // 8, signs), "u long, code binary, orders array<double>"))
         graph = build_graph(codes)
         turned = F.row_number().over(Window.partitionBy("u").orderBy(F.xxhash64("u", "v")))
         back = graph.select(F.col("v").alias("u"), F.col("u").alias("v")).withColumn("rank", turned).where(f"rank <= {REVERSE}").drop("rank")
@@ -202,18 +232,27 @@ def search(df: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, id: str
         # beam rows: query node u, reached node v, score s, expanded or not
         q = keep(asked.select("u").distinct().join(codes.select("u", F.col("code").alias("q_code")), "u"))
         beam = q.select("u", F.col("u").alias("v"), "q_code", F.col("q_code").alias("code")).mapInArrow(_score, EDGE).withColumn("done", F.lit(False))
-        for step in range(STEPS):
-            order = F.row_number().over(Window.partitionBy("u").orderBy("done", F.desc("s"), "v"))
-            front = beam.withColumn("rank", order).withColumn("go", ~F.col("done") & (F.col("rank") <= (EXPAND if step > 1 else DEGREE + REVERSE))).drop("rank")
-            front = keep(front)
+        probes = q.select("u").orderBy(F.xxhash64("u")).limit(PROBES).join(own, "u").select("u", "key").toArrow()
+        shared = df.sparkSession.sparkContext.broadcast((probes.column("u").to_numpy(), matrix(probes.column("key"))))
+        nearest = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("score"), "v"))
+        true = keep(own.select("u", "key").mapInArrow(_true(shared, k), "u long, v long, score double").withColumn("rank", nearest).where(f"rank <= {k}").select("u", "v"))
+        total, wide = true.count(), FRONT
+        while True:
+            order = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("s"), "v"))
+            first_open = F.sum(F.when(~F.col("done"), 1).otherwise(0)).over(Window.partitionBy("u").orderBy(F.desc("s"), "v"))
+            front = keep(beam.withColumn("rank", order).withColumn("nth", first_open).withColumn("go", ~F.col("done") & (F.col("rank") <= wide) & (F.col("nth") <= EXPAND)).drop("rank", "nth"))
+            if front.where("go").isEmpty():
+                if wide >= own_count or true.join(front, ["u", "v"], "left_semi").count() >= RECALL * total:
+                    break
+                wide *= 2
+                continue
             next_ = front.where("go").select("u", F.col("v").alias("w")).join(ways.withColumnRenamed("u", "w"), "w").select("u", "v").distinct()
             next_ = next_.join(front.select("u", "v"), ["u", "v"], "left_anti").join(code, "v").join(q, "u").select("u", "v", "q_code", "code").mapInArrow(_score, EDGE)
             merged = front.select("u", "v", "s", (F.col("done") | F.col("go")).alias("done")).unionByName(next_.withColumn("done", F.lit(False)))
-            best = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("s"), "v"))
-            beam = keep(merged.withColumn("rank", best).where(f"rank <= {BEAM}").drop("rank"))
+            beam = keep(merged.withColumn("rank", order).where(f"rank <= {max(2 * wide, 4 * k)}").drop("rank"))
             free(front)
         last = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("s"), "v"))
-        near = beam.withColumn("rank", last).where(f"rank <= {3 * k}").select("u", "v")
+        near = beam.withColumn("rank", last).where(f"rank <= {4 * k}").select("u", "v")
         key = own.select(F.col("u").alias("v"), "key")
         exact = near.join(key, "v").join(key.select(F.col("v").alias("u"), F.col("key").alias("q_key")), "u").select("u", "v", "q_key", "key").mapInArrow(_exact, "u long, v long, score double")
         found = exact if found is None else found.unionByName(exact)
