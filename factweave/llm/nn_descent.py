@@ -6,8 +6,7 @@ edge directions, every node's neighbours together in one place, compares the pai
 each member's PROPOSED best partners there, and keeps each node's DEGREE best; rounds go on until fewer than one in
 1 / DELTA edges are new.  Joined rows carry vectors as 4-bit codes, so the rounds are cheap; scores that leave the
 operator are exact.  A query starts at its own node and expands the unexpanded ones among its FRONT best nodes,
-EXPAND at a step, until there are none.  Then the recall of PROBES queries is measured against all vectors, and as long
-as it is below RECALL the front is doubled and the search goes on, so the effort follows the data.  Results are expanded from nodes to rows, of
+EXPAND at a step, until there are none.  Results are expanded from nodes to rows, of
 which a node keeps as many smallest ids as a result can hold, so ties stay exact under any number of copies.
 """
 
@@ -21,10 +20,10 @@ from pyspark.sql import functions as F
 from factweave.llm.common import free, keep, width
 from factweave.llm.vectors import matrix, usable
 
-DEGREE, REVERSE, TREES, BLOCK, PROPOSED, DELTA = 40, 20, 4, 128, 10, 0.04
-FRONT, EXPAND, PROBES, RECALL = 48, 16, 64, 0.93
+DEGREE, REVERSE, TREES, BLOCK, PROPOSED, DELTA = 44, 24, 4, 128, 12, 0.03
+FRONT, EXPAND, BEAM = 96, 32, 128
 
-EDGE = "u long, v long, s float"
+EDGE, MARKED = "u long, v long, s float", "u long, v long, s float, new boolean"
 
 
 def _encode(dim: int, signs: int):
@@ -57,14 +56,12 @@ def _decode(col) -> np.ndarray:
     return np.ascontiguousarray(raw[:, :4]).view(np.float32) * (code.astype(np.float32) - 8)
 
 
-def _best(owner: np.ndarray, other: np.ndarray, score: np.ndarray, k: int):
-    """Indices of each owner's k best different others."""
-    order = np.lexsort((other, -score, owner))
-    owner, other = owner[order], other[order]
-    _, first = np.unique(np.stack([owner, other], 1), axis=0, return_index=True)
-    first.sort()
-    order, owner = order[first], owner[first]
-    at = np.arange(len(owner)) - np.searchsorted(owner, owner)
+def _best(owner: np.ndarray, other: np.ndarray, score: np.ndarray, k: int, new: np.ndarray | None = None):
+    """Indices of each owner's k best different others; of equal pairs one that isn't new."""
+    order = np.lexsort((new if new is not None else score, other, owner))
+    order = order[np.concatenate([[True], (np.diff(owner[order]) != 0) | (np.diff(other[order]) != 0)])]
+    order = order[np.lexsort((other[order], -score[order], owner[order]))]
+    at = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
     return order[at < k]
 
 
@@ -134,9 +131,9 @@ def _local_join(batches):
 def _top(k: int):
     def rows(batches):
         for t in _groups(batches, 60_000):
-            u, v, s = (t.column(c).to_numpy() for c in ("u", "v", "s"))
-            i = _best(u, v, s, k)
-            yield _edges(u[i], v[i], s[i])
+            u, v, s, new = (t.column(c).to_numpy(zero_copy_only=False) for c in ("u", "v", "s", "new"))
+            i = _best(u, v, s, k, new)
+            yield pa.RecordBatch.from_arrays([*_edges(u[i], v[i], s[i]).columns, pa.array(new[i])], names=["u", "v", "s", "new"])
 
     return rows
 
@@ -149,22 +146,19 @@ def build_graph(nodes: DataFrame) -> DataFrame:
         order = nodes.select("u", "code", F.col("orders")[t].alias("o"))
         made = order.repartitionByRange(max(2, n // 4), "o", "u").sortWithinPartitions("o", "u").select("u", "code").mapInArrow(_block_edges, EDGE)
         start = made if start is None else start.unionByName(made)
-    best = lambda e: keep(e.repartition(n, "u").sortWithinPartitions("u").mapInArrow(_top(DEGREE), EDGE))
-    graph = best(start)
-    old, edges = graph.limit(0), graph.count()
-    while True:
-        fresh = graph.join(old.select("u", "v", F.lit(True).alias("seen")), ["u", "v"], "left").select("u", "v", F.col("seen").isNull().alias("new"))
-        rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("new"), F.xxhash64("u", "v")))
-        back = fresh.select(F.col("v").alias("u"), F.col("u").alias("v"), "new").withColumn("rank", rank).where(f"rank <= {REVERSE}").drop("rank")
-        both = fresh.unionByName(back).groupBy("u", "v").agg(F.max("new").alias("new"))
+    best = lambda e: keep(e.repartition(n, "u").sortWithinPartitions("u").mapInArrow(_top(DEGREE), MARKED))
+    graph = best(start.withColumn("new", F.lit(True)))
+    edges = graph.count()
+    while graph.where("new").count() > DELTA * edges:
+        back = graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "new").withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("new"), F.xxhash64("u", "v"))))
+        both = graph.select("u", "v", "new").unionByName(back.where(f"rank <= {REVERSE}").drop("rank")).groupBy("u", "v").agg(F.max("new").alias("new"))
         low = graph.groupBy("u").agg(F.when(F.count("*") < DEGREE, F.lit(float("-inf"))).otherwise(F.min("s")).cast("float").alias("low"))
         member = nodes.select(F.col("u").alias("v"), "code").join(low.withColumnRenamed("u", "v"), "v")
         better = both.join(member, "v").repartition(n, "u").sortWithinPartitions("u").mapInArrow(_local_join, EDGE)
-        new = best(graph.unionByName(better))
-        free(old)
-        old, graph = graph, new
-        if graph.join(old.select("u", "v"), ["u", "v"], "left_anti").count() <= DELTA * edges:
-            return graph
+        next_ = best(graph.withColumn("new", F.lit(False)).unionByName(better.withColumn("new", F.lit(True))))
+        free(graph)
+        graph = next_
+    return graph.drop("new")
 
 
 def _score(batches):
@@ -181,27 +175,6 @@ def _exact(batches):
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array((a * b).sum(1))], names=["u", "v", "score"])
 
 
-def _true(shared, k: int):
-    """The k best others of each probe among a task's vectors."""
-
-    def rows(batches):
-        u, x = shared.value
-        best = [np.zeros(0, np.int64)] * len(u), [np.zeros(0)] * len(u)
-        for batch in batches:
-            if batch.num_rows:
-                v, s = batch.column(0).to_numpy(), x @ matrix(batch.column(1)).T
-                for i in range(len(u)):
-                    at = np.argpartition(-s[i], min(k, len(v) - 1))[: k + 1]
-                    at = at[v[at] != u[i]]
-                    ids, score = np.concatenate([best[0][i], v[at]]), np.concatenate([best[1][i], s[i][at]])
-                    top = np.argsort(-score, kind="stable")[:k]
-                    best[0][i], best[1][i] = ids[top], score[top]
-        for i in range(len(u)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best[0][i]), u[i])), pa.array(best[0][i]), pa.array(best[1][i])], names=["u", "v", "score"])
-
-    return rows
-
-
 def search(df: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each row of df that meets queries.
 
@@ -221,8 +194,7 @@ def search(df: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, id: str
     n = width(df.sparkSession)
     for size in sizes:
         own = nodes.where(F.col("size") == size)
-        own_count = own.count()
-        signs = min(50, max(12, (own_count // BLOCK).bit_length() + 4))
+        signs = min(50, max(12, (own.count() // BLOCK).bit_length() + 4))
         codes = keep(own.select("u", "key").mapInArrow(_encode(size // 8, signs), "u long, code binary, orders array<double>"))
         graph = build_graph(codes)
         turned = F.row_number().over(Window.partitionBy("u").orderBy(F.xxhash64("u", "v")))
@@ -231,26 +203,18 @@ def search(df: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, id: str
         code = codes.select(F.col("u").alias("v"), "code")
         # beam rows: query node u, reached node v, score s, expanded or not
         q = keep(asked.select("u").distinct().join(codes.select("u", F.col("code").alias("q_code")), "u"))
-        beam = q.select("u", F.col("u").alias("v"), "q_code", F.col("q_code").alias("code")).mapInArrow(_score, EDGE).withColumn("done", F.lit(False))
-        probes = q.select("u").orderBy(F.xxhash64("u")).limit(PROBES).join(own, "u").select("u", "key").toArrow()
-        shared = df.sparkSession.sparkContext.broadcast((probes.column("u").to_numpy(), matrix(probes.column("key"))))
-        nearest = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("score"), "v"))
-        true = keep(own.select("u", "key").mapInArrow(_true(shared, k), "u long, v long, score double").withColumn("rank", nearest).where(f"rank <= {k}").select("u", "v"))
-        total, wide = true.count(), FRONT
-        while True:
-            order = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("s"), "v"))
-            first_open = F.sum(F.when(~F.col("done"), 1).otherwise(0)).over(Window.partitionBy("u").orderBy(F.desc("s"), "v"))
-            front = keep(beam.withColumn("rank", order).withColumn("nth", first_open).withColumn("go", ~F.col("done") & (F.col("rank") <= wide) & (F.col("nth") <= EXPAND)).drop("rank", "nth"))
-            if front.where("go").isEmpty():
-                if wide >= own_count or true.join(front, ["u", "v"], "left_semi").count() >= RECALL * total:
-                    break
-                wide *= 2
-                continue
+        by_score = Window.partitionBy("u").orderBy(F.desc("s"), "v")
+        open_ = (~F.col("done") & (F.row_number().over(by_score) <= FRONT)).alias("open")
+        beam = keep(q.select("u", F.col("u").alias("v"), "q_code", F.col("q_code").alias("code")).mapInArrow(_score, EDGE).withColumn("done", F.lit(False)).withColumn("open", F.lit(True)))
+        while not beam.where("open").isEmpty():
+            nth = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("open"), F.desc("s"), "v"))
+            front = beam.select("u", "v", "s", "done", (F.col("open") & (nth <= EXPAND)).alias("go"))
             next_ = front.where("go").select("u", F.col("v").alias("w")).join(ways.withColumnRenamed("u", "w"), "w").select("u", "v").distinct()
-            next_ = next_.join(front.select("u", "v"), ["u", "v"], "left_anti").join(code, "v").join(q, "u").select("u", "v", "q_code", "code").mapInArrow(_score, EDGE)
+            next_ = next_.join(beam.select("u", "v"), ["u", "v"], "left_anti").join(code, "v").join(q, "u").select("u", "v", "q_code", "code").mapInArrow(_score, EDGE)
             merged = front.select("u", "v", "s", (F.col("done") | F.col("go")).alias("done")).unionByName(next_.withColumn("done", F.lit(False)))
-            beam = keep(merged.withColumn("rank", order).where(f"rank <= {max(2 * wide, 4 * k)}").drop("rank"))
-            free(front)
+            reached = keep(merged.withColumn("rank", F.row_number().over(by_score)).where(f"rank <= {BEAM}").select("u", "v", "s", "done", open_))
+            free(beam)
+            beam = reached
         last = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("s"), "v"))
         near = beam.withColumn("rank", last).where(f"rank <= {4 * k}").select("u", "v")
         key = own.select(F.col("u").alias("v"), "key")
