@@ -110,3 +110,35 @@ def save_stage(df: DataFrame, path: str, stage: str) -> None:
 def load_graph(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """All stages of a graph table with the column stage."""
     return spark.read.schema(f"{schema}, stage string").parquet(path)
+
+
+def address(text: str) -> Column:
+    """An IPv4 address as a number; null where it isn't one."""
+    parts = [F.split_part(F.col(text), F.lit("."), F.lit(k)).try_cast("long") for k in (1, 2, 3, 4)]
+    value = parts[0] * 16777216 + parts[1] * 65536 + parts[2] * 256 + parts[3]
+    return F.when((F.greatest(*parts) < 256) & F.col(text).rlike(r"^\d+(\.\d+){3}$"), value)
+
+
+def network(text: str) -> Column:
+    """struct(lo, hi) of an IPv4 network in prefix notation."""
+    size = F.expr(f"shiftleft(1L, 32 - cast(split_part({text}, '/', 2) as int))")
+    parts = [F.split_part(F.split_part(F.col(text), F.lit("/"), F.lit(1)), F.lit("."), F.lit(k)).try_cast("long") for k in (1, 2, 3, 4)]
+    value = parts[0] * 16777216 + parts[1] * 65536 + parts[2] * 256 + parts[3]
+    lo = value - value % size
+    return F.struct(lo.alias("lo"), (lo + size - 1).alias("hi"))
+
+
+def read_log(rows: DataFrame) -> DataFrame:
+    """(read_id, status, digest): what was served, by digest; a payload leaves the log here."""
+    return rows.select("read_id", "status", F.sha2("payload", 256).alias("digest"))
+
+
+def refresh_log(rows: DataFrame) -> DataFrame:
+    """(refresh, digest) of the rows that commit to a digest."""
+    return rows.where(F.col("digest").rlike("^[0-9a-f]{64}$")).select("refresh", "digest")
+
+
+def artifacts(spark: SparkSession, path: str) -> DataFrame:
+    """(name, status) of content-addressed files: ok where the name is the digest of the bytes."""
+    f = inventory(spark, path)
+    return f.select("name", F.when(F.col("name") == F.col("sha256"), "ok").otherwise("digest_differs").alias("status"))
