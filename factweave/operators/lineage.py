@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,8 +13,8 @@ def reproduced(texts: DataFrame) -> DataFrame:
     x = texts.select("rev", F.sha2("text", 256).alias("exact"), F.sha2(plain, 256).alias("loose"))
 
     def star(digest: str, method: str):
-        w = Window.partitionBy(digest)
-        y = x.withColumn("first", F.min("rev").over(w))
+        first = x.groupBy(digest).agg(F.min("rev").alias("first"))  # added up before the shuffle, so a hot digest is a row a task
+        y = x.join(first, digest)
         return y.where("rev > first").select("rev", "first", F.lit(method).alias("method"))
 
     exact, loose = star("exact", "exact_bytes"), star("loose", "normalised")
@@ -30,8 +30,8 @@ def built_on(revs: DataFrame) -> DataFrame:
 def label_star(revs: DataFrame, key: str, id: str) -> DataFrame:
     """(key, first, other): every id of a key to its smallest."""
     x = revs.where(F.col(key).isNotNull() & (F.trim(F.col(key)) != "")).select(key, id).distinct()
-    least = F.min(id).over(Window.partitionBy(key))
-    return x.withColumn("first", least).where(F.col(id) > F.col("first")).select(key, "first", F.col(id).alias("other"))
+    least = x.groupBy(key).agg(F.min(id).alias("first"))
+    return x.join(least, key).where(F.col(id) > F.col("first")).select(key, "first", F.col(id).alias("other"))
 
 
 def prefix_star(revs: DataFrame) -> DataFrame:

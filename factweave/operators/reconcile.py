@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factweave.operators.checks import population_status
+
 
 def binding(token: Column, commitment: Column) -> Column:
     """unavailable: no commitment; unbound: no token; bound: the token's digest is the commitment; else mismatch."""
@@ -64,11 +66,18 @@ def outcome_of(method: Column) -> Column:
     return F.when(bad, "contradicted").when(good, "supported").when(method == "key_and_version", "unmatched").when(method == "clock_bound_missing", "not_assessable").otherwise("ambiguous")
 
 
-def absent_claims(claims: DataFrame, records: DataFrame, population: DataFrame, bound: str = "365 days") -> DataFrame:
-    """Claims that name no record, judged where exactly one population of their namespace is declared."""
+def absent_claims(claims: DataFrame, records: DataFrame, population: DataFrame, bound: str = "365 days", declared: DataFrame | None = None) -> DataFrame:
+    """Claims that name no record, judged where exactly one population of their namespace is declared.
+
+    With declared, the ids (ns, event_id) of the populations, a population counts as complete only if those are the
+    records' ids, none twice, and its count n is theirs; without it the flag complete is taken at its word.
+    """
     once = population.withColumn("declared", F.count("*").over(Window.partitionBy("ns"))).where("declared = 1").drop("declared")
+    if declared is not None:
+        status = population_status(declared, once, records).select("ns", F.col("complete").alias("equal"))
+        once = once.join(status, "ns").withColumn("complete", F.col("complete") & F.col("equal")).drop("equal")
     b = F.expr(f"interval {bound}")
-    gone = claims.join(records.select("event_id").distinct(), "event_id", "left_anti").join(F.broadcast(once), "ns")
+    gone = claims.join(records.select("event_id").distinct(), "event_id", "left_anti").join(once, "ns")
     sure = F.col("complete") & (F.col("t0") - b >= F.col("started_at")) & (F.col("t1") + b <= F.col("stopped_at")) & F.col("indep")
     return gone.select("cid", "ns", F.when(sure, "contradicted").otherwise("not_assessable").alias("outcome"))
 

@@ -25,7 +25,7 @@ SQL = {
         CASE WHEN event_id%8=0 THEN NULL ELSE CAST(floor(value) AS BIGINT)%3 END AS output FROM events WHERE event_type='view'""",
     "refreshes": "SELECT event_id AS refresh, ts, event_type AS route, sha2(props,256) AS digest FROM events WHERE event_type='signup' AND event_id%10<3",
     "reads": "SELECT event_id AS read_id, ts, CASE WHEN event_id%9=0 THEN 403 ELSE 200 END AS status, sha2(props,256) AS digest FROM events WHERE event_type='purchase'",
-    "ranges": "SELECT p_partkey AS range_id, p_brand AS list, p_partkey*2097152 AS lo, p_partkey*2097152 + p_size*65536 AS hi FROM part WHERE p_partkey<2048",
+    "ranges": "SELECT p_partkey AS range_id, p_brand AS list, p_partkey%2048*2097152 AS lo, p_partkey%2048*2097152 + p_size*65536 AS hi FROM part",
 }
 _FROM = {"ledger": "orders", "claims": "lineitem", "population": "orders", "revs": "documents", "tools": "events", "execs": "events", "refreshes": "events", "reads": "events", "ranges": "part"}
 

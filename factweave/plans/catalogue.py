@@ -80,7 +80,9 @@ def reconcile_idempotent(spark, d):
 @query(with_sql("ledger", "claims", "population") + """ SELECT cid, c.ns, CASE WHEN complete AND t0 - interval '365 days' >= started_at AND t1 + interval '365 days' <= stopped_at AND indep THEN 'contradicted' ELSE 'not_assessable' END AS outcome
     FROM claims c JOIN population p ON p.ns = c.ns WHERE NOT EXISTS (SELECT 1 FROM ledger l WHERE l.event_id = c.event_id)""")
 def lq5_absent_claims(spark, d):
-    return R.absent_claims(bound(spark, d, "claims"), bound(spark, d, "ledger"), bound(spark, d, "population"))
+    records = bound(spark, d, "ledger")
+    declared = records.where("ns <> 'P' or event_id % 10 <> 0").select("ns", "event_id")  # P's declaration leaves ids out
+    return R.absent_claims(bound(spark, d, "claims"), records, bound(spark, d, "population"), declared=declared)
 
 
 @query(with_sql("ledger", "claims") + """, x AS (SELECT cid, c.event_id, indep, CASE WHEN token_sha IS NULL THEN 'unavailable' WHEN token IS NULL THEN 'unbound' WHEN sha256(token) = token_sha THEN 'bound' ELSE 'mismatch' END AS bind FROM claims c JOIN ledger l ON l.event_id = c.event_id)
@@ -120,15 +122,18 @@ def identity_prefixes(spark, d):
     return L.prefix_star(bound(spark, d, "revs"))
 
 
-_IP = r"(?:^|[^0-9.])([0-9]{1,3})\.([0-9]{1,3})\.[0-9]{1,3}\.[0-9]{1,3}(?:[^0-9.]|$)"
-
-
-@query(with_sql("ranges") + f""", ips AS (SELECT doc_id AS span_id, CAST(regexp_extract(text, '{_IP}', 1) AS BIGINT) * 16777216 + CAST(regexp_extract(text, '{_IP}', 2) AS BIGINT) * 65536 AS lo FROM documents WHERE regexp_matches(text, '{_IP}'))
+@query(with_sql("ranges") + """, t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9][0-9.]*[0-9]')) AS ip FROM documents),
+    p AS (SELECT DISTINCT doc_id, CAST(split_part(ip, '.', 1) AS BIGINT) AS a, CAST(split_part(ip, '.', 2) AS BIGINT) AS b FROM t WHERE regexp_full_match(ip, '[0-9]{1,3}([.][0-9]{1,3}){3}')),
+    ips AS (SELECT doc_id || '/' || a || '.' || b AS span_id, a * 16777216 + b * 65536 AS lo FROM p WHERE a < 256 AND b < 256)
     SELECT span_id, list, count(*) AS n, min(range_id) AS first FROM ips JOIN ranges r ON ips.lo <= r.hi AND r.lo <= ips.lo + 65535 GROUP BY span_id, list""")
 def prefix_overlap(spark, d):
-    part = lambda k: F.regexp_extract("text", _IP, k).cast("long")
-    ips = table(spark, d, "documents").where(F.col("text").rlike(_IP)).select(F.col("doc_id").alias("span_id"), (part(1) * 16777216 + part(2) * 65536).alias("lo"))
-    return L.range_overlap(ips.withColumn("hi", F.col("lo") + 65535), bound(spark, d, "ranges"))
+    """Every /16 that a text names, with the networks that overlap it."""
+    ips = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[0-9][0-9.]*[0-9]"), F.lit(0))).alias("ip"))
+    part = lambda k: F.split_part("ip", F.lit("."), F.lit(k)).cast("long")
+    ips = ips.where(F.col("ip").rlike("^[0-9]{1,3}([.][0-9]{1,3}){3}$")).select("doc_id", part(1).alias("a"), part(2).alias("b")).distinct().where("a < 256 and b < 256")
+    name = F.concat(F.col("doc_id").cast("string"), F.lit("/"), F.col("a").cast("string"), F.lit("."), F.col("b").cast("string"))
+    spans = ips.select(name.alias("span_id"), (F.col("a") * 16777216 + F.col("b") * 65536).alias("lo")).withColumn("hi", F.col("lo") + 65535)
+    return L.range_overlap(spans, bound(spark, d, "ranges"))
 
 
 @query(with_sql("revs") + """ SELECT wiki, count(*) AS n, count(DISTINCT page) AS pages, count(DISTINCT label) AS labels, min(t) AS first_t, max(t) AS last_t,

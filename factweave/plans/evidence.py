@@ -74,11 +74,11 @@ def src_registry(spark, d):
     payload = F.col("o_custkey").cast("string")
     rows = o.select(F.col("o_orderkey").alias("event_id"), payload.alias("payload"), F.when(F.col("o_orderkey") % 17 == 0, "0").otherwise(F.sha2(payload, 256)).alias("sha256"))
     rows.unionByName(rows.where("event_id % 23 = 0")).write.json(ledger)
-    # ids are declared by their number of each hundred, so a declaration stays small
-    declared = o.groupBy(F.col("o_orderstatus").alias("ns")).agg(F.collect_set(F.col("o_orderkey") % 100).alias("event_ids"), F.min("o_orderdate").alias("started_at"), F.max("o_orderdate").alias("stopped_at"))
-    declared.withColumn("n", F.size("event_ids") + F.when(F.col("ns") == "P", 1).otherwise(0)).write.json(population)
+    # a declaration is a row for each id, and its head; P names some ids twice
+    o.select(F.col("o_orderstatus").alias("ns"), F.col("o_orderkey").alias("event_id")).unionByName(o.where("o_orderstatus = 'P'").select(F.col("o_orderstatus").alias("ns"), F.col("o_orderkey").alias("event_id")).where("event_id % 3 = 0")).write.json(population)
+    heads = o.groupBy(F.col("o_orderstatus").alias("ns")).agg(F.count("*").alias("n"), F.min("o_orderdate").alias("started_at"), F.max("o_orderdate").alias("stopped_at"))
     a = files.checked_ledger(spark.read.schema("event_id long, payload string, sha256 string").json(ledger))
-    b = files.checked_population(spark.read.schema("ns string, n int, event_ids array<long>, started_at timestamp_ntz, stopped_at timestamp_ntz").json(population))
+    b = files.checked_declaration(spark.read.schema("ns string, event_id long").json(population), heads)
     count = lambda df, s: df.groupBy(F.lit(s).alias("source"), "status").agg(F.count("*").alias("n"))
     return count(a, "ledger").unionByName(count(b, "population"))
 

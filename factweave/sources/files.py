@@ -83,6 +83,13 @@ def checked_population(rows: DataFrame) -> DataFrame:
     return rows.select("ns", F.when(bad, "count_differs").when(F.col("started_at") > F.col("stopped_at"), "unordered").otherwise("ok").alias("status"))
 
 
+def checked_declaration(ids: DataFrame, heads: DataFrame) -> DataFrame:
+    """(ns, status) as checked_population() has it, for ids as rows (ns, event_id), so no namespace is one value."""
+    each = ids.groupBy("ns", "event_id").agg(F.count("*").alias("m")).groupBy("ns").agg(F.sum("m").alias("rows"), F.count("*").alias("ids"))
+    bad = (F.col("n") != F.coalesce("rows", F.lit(0))) | (F.col("rows") != F.col("ids"))
+    return heads.join(each, "ns", "left").select("ns", F.when(bad, "count_differs").when(F.col("started_at") > F.col("stopped_at"), "unordered").otherwise("ok").alias("status"))
+
+
 def entity_id(kind: Column, key: Column) -> Column:
     """Id of a node: recomputing it gives the same, null parts count as empty."""
     part = lambda c: F.coalesce(c.cast("string"), F.lit(""))
