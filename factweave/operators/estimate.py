@@ -44,13 +44,15 @@ def class_scores(rows: DataFrame) -> DataFrame:
     return both.groupBy("label").agg(F.try_divide(h.cast("double"), p.cast("double")).alias("precision"), F.try_divide(h.cast("double"), t.cast("double")).alias("recall"), t.alias("support"))
 
 
-def bootstrap_mean(rows: DataFrame, value: str, key: str, draws: int = 100, seed: int = 0) -> DataFrame:
+def bootstrap_mean(rows: DataFrame, value: str, key: str, draws: int = 100, seed: int = 0, id: list[str] | None = None) -> DataFrame:
     """(key, mean, lower, upper): the mean of a column and the central 95 % of its means over Poisson resamples.
 
     A row weighs in each draw as often as it would be drawn; sums are combined before they are shuffled, so what
-    moves is one row for each key and draw.  Null values take no part; a key without values has null bounds.
+    moves is one row for each key and draw.  A row's weights come from the hash of its id columns, so they are
+    the same however the rows are dealt out; without id they come from rand(seed), which depends on that.  Null values take no part; a key without values has null bounds.
     """
-    x = rows.where(F.col(value).isNotNull()).select(key, F.col(value).alias("v")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws)))).withColumn("u", F.rand(seed))
+    x = rows.where(F.col(value).isNotNull()).select(key, F.col(value).alias("v"), (F.xxhash64(*id) if id else F.lit(0)).alias("row"))
+    x = x.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws)))).withColumn("u", F.pmod(F.xxhash64("row", "draw", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53) if id else F.rand(seed))
     bound, p, weight = 0.0, np.exp(-1.0), F.lit(0)
     for k in range(1, 12):  # one more for each step of the Poisson distribution of mean 1 that u passes
         bound, p = bound + p, p / k

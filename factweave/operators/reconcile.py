@@ -89,9 +89,16 @@ def binding_checks(claims: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def corroborate(tools: DataFrame, execs: DataFrame, slack: str = "12 hours") -> DataFrame:
-    """Each tool call with every sandbox execution of its transcript within the window, and the pair's outcome."""
-    s = F.expr(f"interval {slack}")
-    e = execs.select(F.col("transcript").alias("e_transcript"), "exec", "t", F.col("cmd").alias("e_cmd"), F.col("output").alias("e_output"))
-    pair = tools.join(e, (F.col("transcript") == F.col("e_transcript")) & (F.col("t") >= F.col("t0") - s) & (F.col("t") <= F.col("t1") + s), "left")
+    """Each tool call with every sandbox execution of its transcript within the window, and the pair's outcome.
+
+    A call without an end meets its whole transcript.  Calls meet executions by transcript and day, so a long
+    transcript is no single group; tool is unique.
+    """
+    s, day = F.expr(f"interval {slack}"), lambda t: F.datediff(t.cast("date"), F.lit("1970-01-01"))
+    e = execs.select("transcript", "exec", "t", F.col("cmd").alias("e_cmd"), F.col("output").alias("e_output"), day(F.col("t")).alias("day"))
+    ended = tools.where("t1 is not null").select("tool", "transcript", "t0", "t1", F.explode(F.sequence(day(F.col("t0") - s), day(F.col("t1") + s))).alias("day"))
+    near = ended.join(e, ["transcript", "day"]).where((F.col("t") >= F.col("t0") - s) & (F.col("t") <= F.col("t1") + s))
+    open_ = tools.where("t1 is null").select("tool", "transcript").join(e, "transcript")
+    pair = tools.join(near.select("tool", "exec", "e_cmd", "e_output").unionByName(open_.select("tool", "exec", "e_cmd", "e_output")), "tool", "left")
     same = F.when(F.col("exec").isNull(), "no_pair").when(F.col("cmd") != F.col("e_cmd"), "unmatched").when(F.col("output").isNull() | F.col("e_output").isNull(), "not_assessable")
     return pair.select("tool", "exec", same.when(F.col("output") == F.col("e_output"), "supported").otherwise("contradicted").alias("outcome"))

@@ -12,6 +12,7 @@ from factweave.operators import lineage as L
 from factweave.operators import reconcile as R
 from factweave.operators import triage
 from factweave.plans import catalogue as C
+from factweave.plans import contracts  # noqa: F401  (the docket asks its queries)
 from factweave.plans.bindings import bound, table, with_sql
 from factweave.plans.catalogue import query
 from factweave.sources import files
@@ -293,7 +294,7 @@ def score_fabrication(spark, d):
 
 @query()
 def bootstrap_mean(spark, d):
-    return E.bootstrap_mean(table(spark, d, "lineitem"), "l_quantity", "l_returnflag")
+    return E.bootstrap_mean(table(spark, d, "lineitem"), "l_quantity", "l_returnflag", id=["l_orderkey", "l_linenumber"])
 
 
 _FACTS = {
@@ -420,6 +421,8 @@ def _docket_parts():
         "DQ7": ("retention", "retention >= 0.5", pick("retention", "retention >= 0.5")),
         "DQ8": ("limits", "false", pick("limits", "false")),
         "LQ1": ("lq1_attribution", None, said.format(own["lq1_attribution"])),
+        "LQ2": ("lq2_launches", None, said.format(own["lq2_launches"])),
+        "LQ3": ("lq3_named_outputs", "true", pick("lq3_named_outputs", "true")),
         "LQ4": ("version_history", None, said.format(own["version_history"])),
         "LQ5": ("lq5_absent_claims", None, said.format(own["lq5_absent_claims"])),
         "LQ6": ("coverage_records", "k > 0", pick("coverage_records", "k > 0")),
