@@ -68,6 +68,43 @@ def parts_for(df: DataFrame, text: str, each: int = 64 << 20) -> int:
     return max(width(df.sparkSession), -(-total // each))
 
 
+def _trim() -> None:
+    """Give memory that a Python worker no longer uses back to the machine; workers outlive their tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(rows):
+    """A mapInArrow function that leaves no unused memory behind when a task ends."""
+
+    def run(batches):
+        try:
+            yield from rows(batches)
+        finally:
+            _trim()
+
+    return run
+
+
+def lean_group(make):
+    """The same for an applyInArrow function, after each group; for groups of megabytes."""
+
+    def run(*tables):
+        try:
+            return make(*tables)
+        finally:
+            _trim()
+
+    return (lambda left, right: run(left, right)) if make.__code__.co_argcount == 2 else lambda table: run(table)
+
+
 def per_worker(key: str, make):
     """make(), once for each Python worker: tasks that reuse the worker share it."""
     import sys

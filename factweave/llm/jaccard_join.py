@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factweave.llm.common import M1, M2, U64, Rolling, byte_column, components, free, keep, keep_bucketed, mix, parts_for, row_blocks
+from factweave.llm.common import M1, M2, U64, Rolling, byte_column, components, free, keep, keep_bucketed, lean, mix, parts_for, row_blocks
 
 BITS, BITS_EACH, MOST_BITS, LISTED = 2048, 4, 1 << 16, 256
 BLOCK_BYTES = 2 << 20
@@ -159,7 +159,7 @@ def _pass(words: int, percent: int, parts: int):
                     tiles.append(_tiles(s, low, differ, percent))
                     owners.append(np.full(len(tiles[-1]), keys[-1], np.int64))
                     held += len(tiles[-1])
-                if held > 2_000_000:
+                if held > 1_000_000:
                     yield from packs(tiles, owners)
                     tiles, owners, held = [], [], 0
             yield made(0, doc_id=batch.column(0), row=batch.column(2), n=n, key=keys, bits=maps)
@@ -327,7 +327,7 @@ def _rooted(source: DataFrame, words: int, percent: int) -> DataFrame:
     if not 1 <= percent <= 100 or words < 1:
         raise ValueError("percent is a whole number from 1 to 100, words is at least 1")
     parts = parts_for(source, "text")
-    first = keep(source.mapInArrow(_pass(words, percent, parts), PASS), "kind")
+    first = keep(source.mapInArrow(lean(_pass(words, percent, parts)), PASS), "kind")
     docs = first.where("kind = 0").select("doc_id", "row", "n", "key", "bits")
     sets = docs.where("n > 0").groupBy("key").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("row").alias("row"))
     met = first.where("kind = 1").select("part", "pack").groupBy("part").applyInArrow(_meet, MEMBER)
@@ -341,7 +341,7 @@ def _rooted(source: DataFrame, words: int, percent: int) -> DataFrame:
     side = lambda x: known.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
     pairs = keep(star.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bound(percent), "a long, b long, votes long"))
     text_of = source.join(known.select("key", "row"), "row").select("key", "text")
-    arrays = keep_bucketed(text_of.mapInArrow(_shingle_sets(words), "key long, elements binary").groupBy("key").agg(F.min("elements").alias("elements")), "key")
+    arrays = keep_bucketed(text_of.mapInArrow(lean(_shingle_sets(words)), "key long, elements binary").groupBy("key").agg(F.min("elements").alias("elements")), "key")
 
     def linked(some: DataFrame) -> DataFrame:
         x = some.select("a", "b").join(arrays.select(F.col("key").alias("a"), F.col("elements").alias("set_a")), "a")

@@ -17,9 +17,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factweave.llm.common import M1, U64, Rolling, byte_column, row_blocks
+from factweave.llm.common import M1, U64, Rolling, byte_column, lean, row_blocks
 
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 3 << 19
 WORD_BYTES = 1 << 18
 TABLE = 1 << 18
 LEXICON = 4000
@@ -251,7 +251,7 @@ def label_texts(df: DataFrame, model: dict, id: str = "doc_id", text: str = "tex
     given = df.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *(F.col(c).alias(f"carry_{c}") for c in more))
     types = dict(zip(more, (f.dataType.simpleString() for f in given.schema[2:]), strict=True)) | {text: "string"}
     at = {c: 1 if c == text else 2 + more.index(c) for c in carry}
-    return given.mapInArrow(_label(shared, detail, at), schema + "".join(f", `{c}` {types[c]}" for c in carry))
+    return given.mapInArrow(lean(_label(shared, detail, at)), schema + "".join(f", `{c}` {types[c]}" for c in carry))
 
 
 PER_LANG = 300

@@ -17,9 +17,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.common import byte_column, keep, per_worker, row_blocks
+from factweave.llm.common import byte_column, keep, lean, lean_group, per_worker, row_blocks
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 4 << 20
 GROUP = 40_000
 
 
@@ -46,7 +46,7 @@ class _Words:
     letters is one unit to the tokenizer's model, so the steps before the model are skipped for it.
     """
 
-    def __init__(self, tokenizer, most: int = 1_000_000):
+    def __init__(self, tokenizer, most: int = 200_000):
         from array import array
 
         self.tokenizer, self.most, self.array = tokenizer, most, array
@@ -195,11 +195,11 @@ def pack(df: DataFrame, id: str = "doc_id", text: str = "text", size: int = 2048
     and ids are packed apart; an empty df gives no rows.  tokenizer: a file; by default the public word BPE.
     """
     source = df.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    pieces = keep(source.mapInArrow(_pieces(tokenizer, size, end_id, with_ids), PIECE))
+    pieces = keep(source.mapInArrow(lean(_pieces(tokenizer, size, end_id, with_ids)), PIECE))
     groups = -(-max(1, pieces.count()) // group_size)
     deal = F.xxhash64("doc_id", "piece")
     dealt = pieces.withColumn("deal", deal).withColumn("group", F.pmod("deal", F.lit(groups)))
-    return dealt.groupBy("group").applyInArrow(_pack(size), f"{PIECE}, sequence_id long, offset long")
+    return dealt.groupBy("group").applyInArrow(lean_group(_pack(size)), f"{PIECE}, sequence_id long, offset long")
 
 
 def op8_sum_of_squares_packing(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.common import M1, U64, Rolling, byte_column, free, keep, keep_bucketed, mix, parts_for, row_blocks
+from factweave.llm.common import M1, U64, Rolling, byte_column, free, keep, keep_bucketed, lean, lean_group, mix, parts_for, row_blocks
 
 GRAM, SLIDE, GRID = 16, 128, (64, 8, 1)
 SHARD_BYTES = 16 << 20
@@ -414,7 +414,7 @@ def remove_repeats(df: DataFrame, text: str = "text", carry: tuple[str, ...] = (
     if need < 1:
         raise ValueError("window is too short for this slide")
     source = df.select(F.col(text).cast("string").alias("_text"), *carry)
-    shards = keep_bucketed(source.mapInArrow(_build(window, slide, list(carry), shard_bytes), SHARD), "shard")
+    shards = keep_bucketed(source.mapInArrow(lean(_build(window, slide, list(carry), shard_bytes)), SHARD), "shard")
     parts = parts_for(source, "_text")  # so that what one reducer reads doesn't grow with the corpus
     merged = lambda sent: keep(sent.groupBy("part").applyInArrow(_merge, HELD))
     live = merged(shards.select("shard", "bwt", "before", "step").mapInArrow(_first(parts), SENT))
@@ -427,7 +427,7 @@ def remove_repeats(df: DataFrame, text: str = "text", carry: tuple[str, ...] = (
     for x in rounds:
         reached = reached.unionByName(x)
     body = shards.select("shard", "text", "bounds", "sa", "ranges").groupBy("shard")
-    asked = keep(body.cogroup(reached.groupBy("shard")).applyInArrow(_live_cells(need, window, parts), SENT))
+    asked = keep(body.cogroup(reached.groupBy("shard")).applyInArrow(lean_group(_live_cells(need, window, parts)), SENT))
     free(live, *rounds)
     spans = None
     for level, finer in enumerate((*GRID[1:], None)):
@@ -440,7 +440,7 @@ def remove_repeats(df: DataFrame, text: str = "text", carry: tuple[str, ...] = (
     out = source.select(*carry, *(F.lit(0).cast("long").alias(c) for c in ("n_bytes", "n_removed", "n_spans")), F.lit(b"").alias("kept")).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    return shards.select("shard", "meta", "text", "bounds").groupBy("shard").cogroup(spans.groupBy("shard")).applyInArrow(_strip(window, to_arrow_schema(out)), out)
+    return shards.select("shard", "meta", "text", "bounds").groupBy("shard").cogroup(spans.groupBy("shard")).applyInArrow(lean_group(_strip(window, to_arrow_schema(out))), out)
 
 
 def _kept_text():
