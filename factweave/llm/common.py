@@ -68,8 +68,8 @@ def parts_for(df: DataFrame, text: str, each: int = 64 << 20) -> int:
     return max(width(df.sparkSession), -(-total // each))
 
 
-def _trim() -> None:
-    """Give memory that a Python worker no longer uses back to the machine; workers outlive their tasks."""
+def trim() -> None:
+    """Give memory that this Python process no longer uses back to the machine; workers outlive their tasks."""
     import ctypes
     import gc
 
@@ -88,7 +88,7 @@ def lean(rows):
         try:
             yield from rows(batches)
         finally:
-            _trim()
+            trim()
 
     return run
 
@@ -100,7 +100,7 @@ def lean_group(make):
         try:
             return make(*tables)
         finally:
-            _trim()
+            trim()
 
     return (lambda left, right: run(left, right)) if make.__code__.co_argcount == 2 else lambda table: run(table)
 

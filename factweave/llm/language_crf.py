@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factweave.llm.common import M1, U64, Rolling, byte_column, lean, row_blocks
+from factweave.llm.common import M1, U64, Rolling, byte_column, lean, row_blocks, trim
 
 BLOCK_BYTES = 3 << 19
 WORD_BYTES = 1 << 18
@@ -147,8 +147,13 @@ def train(texts: list[str], langs: list[str], steps: int = 240, batch: int = 96,
     plain = Features([]).word_hash(words)
     lexicons = [np.sort(plain[np.argsort(-np.where(share[:, k] > 0.8, counts[:, k], 0), kind="stable")[:LEXICON]]) for k in range(len(names))]
     features = Features(lexicons)
-    owner, ids = features.of(words)
+    parts = []
+    for lo, hi in row_blocks(byte_column(words)[1], WORD_BYTES):  # in blocks: the driver's memory is small
+        owner, some = features.of(words.slice(lo, hi - lo))
+        parts.append(((owner + lo).astype(np.int32), some.astype(np.int32)))
+    owner, ids = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int32),) * 2
     begin = np.searchsorted(owner, np.arange(len(words) + 1))
+    del owner, parts
     shape = (TABLE, len(names))
     weights, mean, square = (np.zeros(shape, np.float32) for _ in range(3))
     transition = np.zeros((len(names), len(names)))
@@ -232,9 +237,9 @@ def sample(df: DataFrame, per_lang: int, id: str = "doc_id", text: str = "text",
     """per_lang whole texts at most of every non-null language, taken by the hash of their ids."""
     rank = F.row_number().over(Window.partitionBy(lang).orderBy(F.xxhash64(id), id))
     chosen = df.where(F.col(lang).isNotNull()).select(id, lang).withColumn("rank", rank).where(f"rank <= {int(per_lang)}").select(id).distinct()
-    rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).join(F.broadcast(chosen), id, "left_semi").select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(id).alias("h")).collect()
-    rows.sort(key=lambda r: (r.h, r.l, r.t))
-    return [r.t for r in rows], [r.l for r in rows]
+    rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).join(F.broadcast(chosen), id, "left_semi").select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(id).alias("h")).toArrow()
+    rows = rows.sort_by([("h", "ascending"), ("l", "ascending"), ("t", "ascending")])
+    return rows.column("t").to_pylist(), rows.column("l").to_pylist()
 
 
 def label_texts(df: DataFrame, model: dict, id: str = "doc_id", text: str = "text", detail: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -259,7 +264,9 @@ PER_LANG = 300
 
 def _model(docs: DataFrame) -> dict:
     """A field fitted on PER_LANG texts of each language whose crc32(doc_id) mod 4 isn't 2."""
-    return train(*sample(docs.where(_remainder() != 2), PER_LANG))
+    model = train(*sample(docs.where(_remainder() != 2), PER_LANG))
+    trim()
+    return model
 
 
 def _remainder():
