@@ -24,6 +24,11 @@ def same_version(pairs: DataFrame, record: str = "sha", claim: str = "attested")
     return pairs.where(F.col(record).isNull() | F.col(claim).isNull() | (F.col(record) == F.col(claim)))
 
 
+def repeated(rows: DataFrame, key: str) -> DataFrame:
+    """(key, n) of the keys that several rows carry: an error where they are to be ids."""
+    return rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+
+
 def previous_digest(records: DataFrame) -> DataFrame:
     """(event_id, parent): the first record (ns, event_id, sha) that holds a record's previous digest, itself excepted."""
     seen = records.groupBy("ns", F.col("sha").alias("previous")).agg(F.min("event_id").alias("parent"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,43 +15,86 @@ def binding(token: Column, commitment: Column) -> Column:
     return F.when(commitment.isNull(), "unavailable").when(token.isNull(), "unbound").when(F.sha2(token, 256) == commitment, "bound").otherwise("mismatch")
 
 
-def candidates(records: DataFrame, claims: DataFrame, bound: str) -> DataFrame:
-    """Each record with its claims by event id (or none), and what the ladder asks of each pair."""
-    named = claims.select(F.col("event_id").alias("claim_event"), "cid", "t0", "t1", "token", "authentic", "exclusive", "indep")
-    pair = records.select("event_id", "ns", "token_sha", "ts", "idem").join(named, F.col("event_id") == F.col("claim_event"), "left")
-    b = F.expr(f"interval {bound}")
+def clock_bound(bound: str | float | None, times: int = 1) -> Column | None:
+    """times the bound, given as an interval ('365 days') or in seconds; null for none.  It must be finite and not negative."""
+    if bound is None:
+        return None
+    if isinstance(bound, str):
+        if bound.strip().startswith("-"):
+            raise ValueError("a clock bound is finite and not negative")
+        return F.expr(f"{times} * interval {bound}")
+    if not math.isfinite(bound) or bound < 0:
+        raise ValueError("a clock bound is finite and not negative")
+    return F.expr(f"{times} * interval {float(bound):.6f} seconds")
+
+
+def candidates(records: DataFrame, claims: DataFrame, bound: str | float | None, keyed: bool = False, versions: bool = False, payloads: bool = False) -> DataFrame:
+    """Each record with its claims by event id (or none), and what the ladder asks of each pair.
+
+    keyed: a claim must also give the record's name (claim_name) and, where the record has one, its namespace
+    (claim_ns).  versions: a digest that the claim attests must be the record's where both are known.  These are
+    conditions of the one equi-join, never a join of their own.  A record's ts_lower, if it has the column, is the
+    earliest time it may have been made; without a value nothing is too early.
+    """
+    extra = ["claim_ns", "claim_name"] * keyed + ["attested"] * versions
+    named = claims.select(F.col("event_id").alias("claim_event"), "cid", "t0", "t1", "token", "authentic", "exclusive", "indep", *extra, *([F.col("payload").alias("claim_payload")] if payloads else []))
+    lower = [c for c in ("ts_lower",) if c in records.columns]
+    on = F.col("event_id") == F.col("claim_event")
+    if keyed:
+        on &= (F.col("name") == F.col("claim_name")) & (F.col("ns").isNull() | (F.col("ns") == F.col("claim_ns")))
+    if versions:
+        on &= F.col("sha").isNull() | F.col("attested").isNull() | (F.col("sha") == F.col("attested"))
+    given = records.select("event_id", "ns", "token_sha", "ts", "idem", *lower, *["name"] * keyed, *["sha"] * versions, *["payload"] * payloads)
+    pair = given.join(named, on, "left")
+    b = clock_bound(bound)
     has = F.col("cid").isNotNull()
     bind = F.when(has, binding(F.col("token"), F.col("token_sha")))
     kept = has & (bind != "mismatch")
-    late, early = F.col("t0") > F.col("ts") + b, F.col("t1") < F.col("ts") - b
+    if b is None:
+        late = early = F.lit(None).cast("boolean")
+    else:
+        late, early = F.col("t0") > F.col("ts") + b, F.col("t1") < F.col("ts") - b
+        if lower:
+            early = F.coalesce(F.col("t1") < F.col("ts_lower") - b, F.lit(False))
+    fit = kept & ~(late | early)
+    same = F.coalesce(F.col("claim_payload") == F.col("payload"), F.lit(False)) if payloads else F.lit(False)
+    other = F.coalesce(F.col("claim_payload") != F.col("payload"), F.lit(False)) if payloads else F.lit(False)
+    untimed = kept if b is None else kept & (F.col("t0").isNull() | F.col("t1").isNull() | F.col("ts").isNull())
     return pair.select(
         "*", has.alias("has"), bind.alias("bind"), kept.alias("rem"), (kept & late).alias("late"), (kept & (late | early)).alias("off"),
-        (kept & (F.col("t0").isNull() | F.col("t1").isNull() | F.col("ts").isNull())).alias("untimed"), (kept & ~(late | early)).alias("fit"),
+        untimed.alias("untimed"), fit.alias("fit"), (fit & same).alias("exact"), (fit & ~other).alias("close"),
     )
 
 
-def reconcile(records: DataFrame, claims: DataFrame, bound: str = "365 days", idempotent: bool = False) -> DataFrame:
+def reconcile(records: DataFrame, claims: DataFrame, bound: str | float | None = "365 days", idempotent: bool = False, keyed: bool = False, versions: bool = False, payloads: bool = False) -> DataFrame:
     """event_id, outcome, method, n_candidates and the claim (if supported) of every record.
 
     One shuffle on the event id serves the join and the aggregation; the rules are one CASE over its counts, so
     row order decides nothing.  idempotent: of several fitting claims of an idempotent record, the earliest
-    stands alone if it ended more than twice the bound before the next began.
+    stands alone if it ended more than twice the bound before the next began.  keyed and versions: see candidates();
+    a keyed record without a name can't be matched (field_check).  payloads: of several fitting claims, those with
+    another payload than the record's go where one has the same.  Without a bound nothing is timed
+    (clock_bound_missing).  Ids of claims are unique: see checks.repeated().
     """
-    x = candidates(records, claims, bound)
+    x = candidates(records, claims, bound, keyed, versions, payloads)
     n = lambda c: F.count_if(F.col(c))
     fits = F.array_sort(F.collect_list(F.when(F.col("fit"), F.struct("t0", "t1", "cid", "bind", "authentic", "exclusive")))) if idempotent else None
-    one = F.max(F.when(F.col("fit"), F.struct("cid", "bind", "authentic", "exclusive")))
+    best = lambda c: F.max(F.when(F.col(c), F.struct("cid", "bind", "authentic", "exclusive")))
     sums = x.groupBy("event_id").agg(
         n("has").alias("n_all"), n("rem").alias("n_rem"), n("untimed").alias("n_untimed"), n("late").alias("n_late"), n("off").alias("n_off"), n("fit").alias("n_fit"),
-        F.coalesce(F.bool_and("indep"), F.lit(False)).alias("independent"), one.alias("one"), F.first("ns").alias("ns"), F.first("idem").alias("idem"),
-        *([fits.alias("fits")] if idempotent else []),
+        F.coalesce(F.bool_and("indep"), F.lit(False)).alias("independent"), best("fit").alias("one"), F.first("ns").alias("ns"), F.first("idem").alias("idem"),
+        *([fits.alias("fits")] if idempotent else []), *([F.first("name").alias("name")] if keyed else []),
+        *([n("exact").alias("n_exact"), n("close").alias("n_close"), best("close").alias("near")] if payloads else []),
     )
-    if idempotent:
-        b2 = F.expr(f"2 * interval {bound}")
-        alone = F.col("idem") & (F.col("n_fit") > 1) & (F.get("fits", F.lit(0))["t1"] + b2 < F.get("fits", F.lit(1))["t0"])
+    if idempotent and bound is not None:
+        alone = F.col("idem") & (F.col("n_fit") > 1) & (F.get("fits", F.lit(0))["t1"] + clock_bound(bound, 2) < F.get("fits", F.lit(1))["t0"])
         first = F.get("fits", F.lit(0))
         sums = sums.withColumn("one", F.when(alone, F.struct(first["cid"].alias("cid"), first["bind"].alias("bind"), first["authentic"].alias("authentic"), first["exclusive"].alias("exclusive"))).otherwise(F.col("one"))).withColumn("n_fit", F.when(alone, F.lit(1)).otherwise(F.col("n_fit")))
-    rule = F.when((F.col("n_all") > 0) & (F.col("n_rem") == 0), "receipt_binding_mismatch").when(F.col("n_rem") == 0, "key_and_version")
+    if payloads:
+        told = (F.col("n_fit") > 1) & (F.col("n_exact") > 0)
+        sums = sums.withColumns({"one": F.when(told, F.col("near")).otherwise(F.col("one")), "n_fit": F.when(told, F.col("n_close")).otherwise(F.col("n_fit"))})
+    rule = F.when(F.col("name").isNull(), "field_check") if keyed else F.when(F.lit(False), "field_check")
+    rule = rule.when((F.col("n_all") > 0) & (F.col("n_rem") == 0), "receipt_binding_mismatch").when(F.col("n_rem") == 0, "key_and_version")
     rule = rule.when(F.col("n_untimed") > 0, "clock_bound_missing").when(F.col("n_late") == F.col("n_rem"), "contradiction_R3")
     rule = rule.when(F.col("n_off") == F.col("n_rem"), "execution_window_disjoint").when(F.col("ns").isNull(), "namespace_unknown")
     rule = rule.when(F.col("n_fit") > 1, "unseparated_candidates").when(~F.col("independent"), "trust_not_independent")
@@ -63,7 +108,7 @@ def reconcile(records: DataFrame, claims: DataFrame, bound: str = "365 days", id
 def outcome_of(method: Column) -> Column:
     bad = method.isin("receipt_binding_mismatch", "contradiction_R3", "execution_window_disjoint")
     good = method.isin("independent_receipt_binding", "independent_receipt")
-    return F.when(bad, "contradicted").when(good, "supported").when(method == "key_and_version", "unmatched").when(method == "clock_bound_missing", "not_assessable").otherwise("ambiguous")
+    return F.when(bad, "contradicted").when(good, "supported").when(method == "key_and_version", "unmatched").when(method.isin("clock_bound_missing", "field_check"), "not_assessable").otherwise("ambiguous")
 
 
 def absent_claims(claims: DataFrame, records: DataFrame, population: DataFrame, bound: str = "365 days", declared: DataFrame | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from factweave.operators import reconcile as R
-from factweave.plans import contracts, evidence  # noqa: F401  (add their queries)
+from factweave.plans import contracts, evidence, ladder  # noqa: F401  (add their queries)
 from factweave.plans.catalogue import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -66,6 +66,26 @@ def test_ladder(spark):
     assert [got[i] for i in range(len(CASES))] == list(CASES)
 
 
+def test_bound_and_payload(spark):
+    r = spark.createDataFrame([(1, "n", SHA, day(0), False, "p"), (2, "n", SHA, day(0), False, None)], RECORD + ", payload string")
+    rows = [(f"{i}-{p}", i, day(0), day(0), "t", True, True, True, p) for i in (1, 2) for p in ("p", "q", None)]
+    c = spark.createDataFrame(rows, CLAIM + ", payload string")
+    ask = lambda bound, claims: {x.event_id: (x.method, x.n_candidates) for x in R.reconcile(r, claims, bound, payloads=True).collect()}
+    assert ask(60, c) == {1: ("unseparated_candidates", 2), 2: ("unseparated_candidates", 3)}
+    assert ask(60, c.where("payload is not null"))[1] == ("independent_receipt_binding", 1)
+    assert ask(None, c)[1] == ("clock_bound_missing", 3)
+    for bad in (-1, float("inf"), float("nan"), "-1 day"):
+        with pytest.raises(ValueError):
+            R.reconcile(r, c, bad)
+
+
+def test_keyed_ladder_reaches_its_rules(spark):
+    from factweave.plans import ladder
+
+    got = {x.method for x in ladder.reconcile_keyed(spark, "/root/testdata/sf0.01").select("method").distinct().collect()}
+    assert got >= {"field_check", "key_and_version", "clock_bound_missing", "namespace_unknown", "unseparated_candidates", "independent_receipt_binding", "receipt_binding_mismatch"}
+
+
 def test_idempotent(spark):
     r = spark.createDataFrame([(1, "n", SHA, day(0), True), (2, "n", SHA, day(0), False)], RECORD)
     c = spark.createDataFrame([(f"{i}-{k}", i, day(a), day(a), "t", True, True, True) for i in (1, 2) for k, a in enumerate((-8, 9))], CLAIM)
