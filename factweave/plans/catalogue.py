@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from factweave.functions import redaction
 from factweave.operators import estimate as E
 from factweave.operators import lineage as L
 from factweave.operators import reconcile as R
 from factweave.operators import triage
 from factweave.plans.bindings import bound, table, with_sql
+from factweave.sources import files
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -153,11 +155,17 @@ def limits(spark, d):
     return bound(spark, d, "revs").groupBy("wiki", "grade").agg(F.count("*").alias("n"))
 
 
-@query("WITH x AS (SELECT doc_id % 8 AS file, doc_id, lag(doc_id) OVER (PARTITION BY doc_id % 8 ORDER BY doc_id) AS prev FROM documents) SELECT file, count(*) AS n, count(*) FILTER (prev > doc_id) = 0 AS ordered FROM x GROUP BY file")
+@query("SELECT doc_id % 8 AS file, count(*) AS n, doc_id % 8 <> 3 OR count(*) < 2 AS ordered FROM documents GROUP BY 1")
 def ordered_check(spark, d):
-    x = table(spark, d, "documents").select((F.col("doc_id") % 8).alias("file"), "doc_id")
-    x = x.withColumn("prev", F.lag("doc_id").over(Window.partitionBy("file").orderBy("doc_id")))
-    return x.groupBy("file").agg(F.count("*").alias("n"), (F.count_if(F.col("prev") > F.col("doc_id")) == 0).alias("ordered"))
+    """Whether the ids of each file ascend by line; one file was written backwards.  Neighbouring lines meet by an
+    equi-join on their numbers, so no file is sorted as a whole."""
+    path, file = files.scratch(spark, "ordered"), F.col("doc_id") % 8
+    rows = table(spark, d, "documents").select(file.alias("file"), "doc_id").repartition("file")
+    rows.sortWithinPartitions("file", F.when(F.col("file") == 3, -F.col("doc_id")).otherwise(F.col("doc_id"))).select("file", F.col("doc_id").cast("string").alias("value")).write.partitionBy("file").text(path)
+    x = files.cited_lines(spark, path).select("file", F.col("line").cast("long").alias("line"), F.col("text").cast("long").alias("id"))
+    before = x.select("file", (F.col("line") + 1).alias("line"), F.col("id").alias("prev"))
+    y = x.join(before, ["file", "line"], "left").groupBy("file").agg(F.count("*").alias("n"), (F.count_if(F.col("prev") > F.col("id")) == 0).alias("ordered"))
+    return y.select(F.regexp_extract("file", r"file=(\d+)", 1).cast("long").alias("file"), "n", "ordered")
 
 
 @query(with_sql("refreshes", "reads") + """, f AS (SELECT min(ts) AS t FROM refreshes), c AS (SELECT digest, min(ts) AS t FROM refreshes GROUP BY digest)
@@ -275,13 +283,30 @@ def citations(spark, d):
     return table(spark, d, "documents").select(F.concat(F.lit("ref-"), F.substring(F.sha2(key, 256), 1, 32)).alias("citation_id"), "doc_id", F.sha2("text", 256).alias("sha256"), F.substring("text", 1, 160).alias("preview"))
 
 
-_SECRET = r"(?i)\b(token|api_key|password|secret)(\s*[=:]\s*)(\x22[^\x22]*\x22|[^\s\x22]+)"
+def _redact_sql() -> str:
+    n, out = "0", "text"
+    for pattern, by in ((redaction.ASSIGNMENT, r"\1\2[redacted]"), (redaction.BEARER, r"\1[redacted]"), (redaction.KEY_SHAPES, "[redacted]")):
+        p = pattern.replace("'", "''")
+        n, out = f"{n} + len(regexp_extract_all({out}, '{p}'))", f"regexp_replace({out}, '{p}', '{by}', 'g')"
+    return f"SELECT doc_id, sha256({out}) AS redacted_sha256, CAST({n} AS BIGINT) AS n FROM documents"
 
 
-@query(f"SELECT doc_id, sha256(regexp_replace(text, '{_SECRET}', '\\1\\2[redacted]', 'g')) AS redacted_sha256, len(regexp_extract_all(text, '{_SECRET}')) AS n FROM documents")
+@query(_redact_sql())
 def redact(spark, d):
-    t = table(spark, d, "documents")
-    return t.select("doc_id", F.sha2(F.regexp_replace("text", _SECRET, "$1$2[redacted]"), 256).alias("redacted_sha256"), F.regexp_count("text", F.lit(_SECRET)).cast("long").alias("n"))
+    x = table(spark, d, "documents").select("doc_id", redaction.redacted(F.col("text")).alias("r"))
+    return x.select("doc_id", F.sha2("r.text", 256).alias("redacted_sha256"), "r.n")
+
+
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{"k": ' || event_id || ', "auth": {"api_token": "[redacted]", "note": "password=[redacted]"}, "cookies": "[redacted]"}'
+    WHEN 1 THEN 'Authorization: Bearer [redacted] and [redacted]' ELSE '{"api_token": "abc", not JSON' END AS text, CASE event_id % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 0 END::BIGINT AS n FROM events""")
+def redact_json(spark, d):
+    """Secrets by the names of JSON members (0), as bearer tokens and keys by shape (1); a text that only looks like JSON (2)."""
+    k = F.col("event_id")
+    i = k.cast("string")
+    member = F.concat(F.lit('{"k": '), i, F.lit(', "auth": {"api_token": "abc'), i, F.lit('", "note": "password=hunter'), i, F.lit('"}, "cookies": ["a", "'), i, F.lit('"]}'))
+    bearer = F.concat(F.lit("Authorization: Bearer abcdefgh"), i, F.lit(" and sk-abcdefghijklmnopqrstuvwxyz"), i)
+    text = F.when(k % 3 == 0, member).when(k % 3 == 1, bearer).otherwise('{"api_token": "abc", not JSON')
+    return table(spark, d, "events").select(k, redaction.redacted(text).alias("r")).select("event_id", "r.text", "r.n")
 
 
 @query("""WITH q AS (SELECT doc_id, text, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS words FROM documents),
