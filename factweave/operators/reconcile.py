@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,13 +29,14 @@ def clock_bound(bound: str | float | None, times: int = 1) -> Column | None:
     return F.expr(f"{times} * interval {float(bound):.6f} seconds")
 
 
-def candidates(records: DataFrame, claims: DataFrame, bound: str | float | None, keyed: bool = False, versions: bool = False, payloads: bool = False) -> DataFrame:
+def candidates(records: DataFrame, claims: DataFrame, bound: str | float | None, keyed: bool = False, versions: bool = False, payloads: bool = False, vary: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Each record with its claims by event id (or none), and what the ladder asks of each pair.
 
     keyed: a claim must also give the record's name (claim_name) and, where the record has one, its namespace
     (claim_ns).  versions: a digest that the claim attests must be the record's where both are known.  These are
     conditions of the one equi-join, never a join of their own.  A record's ts_lower, if it has the column, is the
-    earliest time it may have been made; without a value nothing is too early.
+    earliest time it may have been made; without a value nothing is too early.  vary changes the joined pairs before
+    they are judged, and may repeat them under other assumptions (see reconcile()).
     """
     extra = ["claim_ns", "claim_name"] * keyed + ["attested"] * versions
     named = claims.select(F.col("event_id").alias("claim_event"), "cid", "t0", "t1", "token", "authentic", "exclusive", "indep", *extra, *([F.col("payload").alias("claim_payload")] if payloads else []))
@@ -46,6 +48,8 @@ def candidates(records: DataFrame, claims: DataFrame, bound: str | float | None,
         on &= F.col("sha").isNull() | F.col("attested").isNull() | (F.col("sha") == F.col("attested"))
     given = records.select("event_id", "ns", "token_sha", "ts", "idem", *lower, *["name"] * keyed, *["sha"] * versions, *["payload"] * payloads)
     pair = given.join(named, on, "left")
+    if vary:
+        pair = vary(pair)
     b = clock_bound(bound)
     has = F.col("cid").isNotNull()
     bind = F.when(has, binding(F.col("token"), F.col("token_sha")))
@@ -59,14 +63,14 @@ def candidates(records: DataFrame, claims: DataFrame, bound: str | float | None,
     fit = kept & ~(late | early)
     same = F.coalesce(F.col("claim_payload") == F.col("payload"), F.lit(False)) if payloads else F.lit(False)
     other = F.coalesce(F.col("claim_payload") != F.col("payload"), F.lit(False)) if payloads else F.lit(False)
-    untimed = kept if b is None else kept & (F.col("t0").isNull() | F.col("t1").isNull() | F.col("ts").isNull())
+    untimed = kept if b is None else kept & (F.col("t0").isNull() | F.col("t1").isNull() | F.col("ts").isNull() | (~F.col("clock") if "clock" in pair.columns else F.lit(False)))
     return pair.select(
         "*", has.alias("has"), bind.alias("bind"), kept.alias("rem"), (kept & late).alias("late"), (kept & (late | early)).alias("off"),
         untimed.alias("untimed"), fit.alias("fit"), (fit & same).alias("exact"), (fit & ~other).alias("close"),
     )
 
 
-def reconcile(records: DataFrame, claims: DataFrame, bound: str | float | None = "365 days", idempotent: bool = False, keyed: bool = False, versions: bool = False, payloads: bool = False) -> DataFrame:
+def reconcile(records: DataFrame, claims: DataFrame, bound: str | float | None = "365 days", idempotent: bool = False, keyed: bool = False, versions: bool = False, payloads: bool = False, vary: Callable[[DataFrame], DataFrame] | None = None, per: tuple[str, ...] = ()) -> DataFrame:
     """event_id, outcome, method, n_candidates and the claim (if supported) of every record.
 
     One shuffle on the event id serves the join and the aggregation; the rules are one CASE over its counts, so
@@ -75,12 +79,16 @@ def reconcile(records: DataFrame, claims: DataFrame, bound: str | float | None =
     a keyed record without a name can't be matched (field_check).  payloads: of several fitting claims, those with
     another payload than the record's go where one has the same.  Without a bound nothing is timed
     (clock_bound_missing).  Ids of claims are unique: see checks.repeated().
+
+    vary repeats each joined pair under several assumptions, told apart by the columns per, which come back; a pair
+    without cid counts as a record without that claim, and where clock is false nothing is timed.  As it follows the join and the aggregation
+    keeps the join's partitioning, evidence is shuffled once for all assumptions.
     """
-    x = candidates(records, claims, bound, keyed, versions, payloads)
+    x = candidates(records, claims, bound, keyed, versions, payloads, vary)
     n = lambda c: F.count_if(F.col(c))
     fits = F.array_sort(F.collect_list(F.when(F.col("fit"), F.struct("t0", "t1", "cid", "bind", "authentic", "exclusive")))) if idempotent else None
     best = lambda c: F.max(F.when(F.col(c), F.struct("cid", "bind", "authentic", "exclusive")))
-    sums = x.groupBy("event_id").agg(
+    sums = x.groupBy("event_id", *per).agg(
         n("has").alias("n_all"), n("rem").alias("n_rem"), n("untimed").alias("n_untimed"), n("late").alias("n_late"), n("off").alias("n_off"), n("fit").alias("n_fit"),
         F.coalesce(F.bool_and("indep"), F.lit(False)).alias("independent"), best("fit").alias("one"), F.first("ns").alias("ns"), F.first("idem").alias("idem"),
         *([fits.alias("fits")] if idempotent else []), *([F.first("name").alias("name")] if keyed else []),
@@ -102,7 +110,7 @@ def reconcile(records: DataFrame, claims: DataFrame, bound: str | float | None =
     rule = rule.when(F.col("one.authentic"), "independent_receipt").when(F.col("one.bind") == "bound", "receipt_possession_only").otherwise("attribution_unbound")
     out = sums.withColumn("method", rule).withColumn("outcome", outcome_of(F.col("method")))
     count = F.when(F.col("method") == "receipt_binding_mismatch", F.col("n_all")).when(F.col("method").isin("contradiction_R3", "execution_window_disjoint", "clock_bound_missing"), F.col("n_rem")).otherwise(F.col("n_fit"))
-    return out.select("event_id", "outcome", "method", count.cast("long").alias("n_candidates"), F.when(F.col("outcome") == "supported", F.col("one.cid")).alias("cid"))
+    return out.select("event_id", *per, "outcome", "method", count.cast("long").alias("n_candidates"), F.when(F.col("outcome") == "supported", F.col("one.cid")).alias("cid"))
 
 
 def outcome_of(method: Column) -> Column:

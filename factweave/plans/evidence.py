@@ -211,13 +211,15 @@ _SCENARIO_SQL = " UNION ALL ".join(
 
 @query(_SCENARIO_SQL)
 def scenarios(spark, d):
-    """The ladder once, over records and claims keyed by scenario and event."""
-    sets = F.array(*(F.struct(F.lit(n).alias("scenario"), *(F.expr(x).alias(c) for c, x in zip(("authentic", "exclusive", "indep"), flags))) for n, flags in _SCENARIOS.items()))
-    claims = bound(spark, d, "claims").withColumn("s", F.explode(sets)).withColumns({c: F.col(f"s.{c}") for c in ("authentic", "exclusive", "indep")})
-    records = bound(spark, d, "ledger").withColumn("s", F.explode(F.array(*(F.struct(F.lit(n).alias("scenario")) for n in _SCENARIOS))))
-    key = F.struct(F.col("s.scenario").alias("scenario"), F.col("event_id").alias("event"))
-    x = R.reconcile(records.withColumn("event_id", key), claims.withColumn("event_id", key))
-    return x.groupBy(F.col("event_id.scenario").alias("scenario"), "outcome", "method").agg(F.count("*").alias("n"))
+    """Records and claims are joined once; each pair is then judged under every set of declarations."""
+    sets = F.array(*(F.struct(F.lit(n).alias("scenario"), *(F.expr(x).alias(c) for c, x in zip(("authentic", "exclusive", "indep"), flags, strict=True))) for n, flags in _SCENARIOS.items()))
+
+    def vary(pair):
+        x = pair.withColumn("s", F.explode(sets)).drop("authentic", "exclusive", "indep")
+        return x.select("*", "s.*").drop("s")
+
+    x = R.reconcile(bound(spark, d, "ledger"), bound(spark, d, "claims"), vary=vary, per=("scenario",))
+    return x.groupBy("scenario", "outcome", "method").agg(F.count("*").alias("n"))
 
 
 @query(with_sql("ledger") + """, h AS (SELECT ns, event_id, CAST('0x' || substr(sha256(CAST(event_id AS VARCHAR) || '|' || coalesce(token_sha, '')), 1, 12) AS BIGINT) AS h FROM ledger)

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from factweave.operators import reconcile as R
-from factweave.plans import contracts, evidence, ladder  # noqa: F401  (add their queries)
+from factweave.plans import assumptions, contracts, evidence, ladder  # noqa: F401  (add their queries)
 from factweave.plans.catalogue import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -93,3 +93,24 @@ def test_idempotent(spark):
     assert got == {1: ("unseparated_candidates", None), 2: ("unseparated_candidates", None)}
     got = {x.event_id: (x.method, x.cid) for x in R.reconcile(r, c, "8 days", idempotent=True).collect()}
     assert got[1][0] == "independent_receipt_binding" or got[1][0] == "execution_window_disjoint" or got[1][1] == "1-0"
+
+
+def test_conditions_give_what_they_must(spark):
+    got = {x.condition: x for x in assumptions.scenario_report(spark, SF).collect()}
+    ids = [x.o_orderkey for x in spark.read.parquet(f"{SF}/orders.parquet").collect()]
+    records, invented = [i for i in ids if i % 7], sum(i % 7 == 0 for i in ids)
+    others, relayed = sum(i % 4 > 0 for i in records), sum(i % 8 == 0 for i in records)
+    want = {
+        "clean": (len(records), 0, 0, 0), "fabricated": (len(records), 0, invented, invented), "missing_transcript": (others, 0, invented, invented),
+        "copied_public_receipt": (others, 0, relayed, 0), "full_receipt_relay": (0, 0, relayed, 0), "false_exclusivity": (others + relayed, relayed, relayed, 0),
+        "shared_tokens_no_attack": (0, 0, 0, 0), "missing_tokens": (0, 0, 0, 0), "missing_clock_bound": (0, 0, 0, 0), "dependent_witnesses": (0, 0, invented, 0),
+        "incomplete_capture": (len(records), 0, invented, 0), "capture_window_edge": (len(records), 0, invented, 0),
+    }
+    assert {k: (x.supported, x.errors, x.captured, x.contradicted) for k, x in got.items()} == want
+    assert all(x.passed for x in got.values())
+
+
+def test_conditions_share_one_shuffle(spark, capsys):
+    assumptions._decided(spark, SF).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning(event_id") + plan.count("BroadcastExchange") <= 2 and "Cartesian" not in plan and "NestedLoop" not in plan
