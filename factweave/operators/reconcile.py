@@ -13,7 +13,12 @@ from factweave.operators.checks import population_status
 
 def binding(token: Column, commitment: Column) -> Column:
     """unavailable: no commitment; unbound: no token; bound: the token's digest is the commitment; else mismatch."""
-    return F.when(commitment.isNull(), "unavailable").when(token.isNull(), "unbound").when(F.sha2(token, 256) == commitment, "bound").otherwise("mismatch")
+    return bound_by(F.sha2(token, 256), commitment)
+
+
+def bound_by(digest: Column, commitment: Column) -> Column:
+    """The same for the token's digest."""
+    return F.when(commitment.isNull(), "unavailable").when(digest.isNull(), "unbound").when(digest == commitment, "bound").otherwise("mismatch")
 
 
 def clock_bound(bound: str | float | None, times: int = 1) -> Column | None:
@@ -35,11 +40,12 @@ def candidates(records: DataFrame, claims: DataFrame, bound: str | float | None,
     keyed: a claim must also give the record's name (claim_name) and, where the record has one, its namespace
     (claim_ns).  versions: a digest that the claim attests must be the record's where both are known.  These are
     conditions of the one equi-join, never a join of their own.  A record's ts_lower, if it has the column, is the
-    earliest time it may have been made; without a value nothing is too early.  vary changes the joined pairs before
+    earliest time it may have been made; without a value nothing is too early.  Tokens are digested before the join,
+    once for each claim.  vary changes the joined pairs before
     they are judged, and may repeat them under other assumptions (see reconcile()).
     """
     extra = ["claim_ns", "claim_name"] * keyed + ["attested"] * versions
-    named = claims.select(F.col("event_id").alias("claim_event"), "cid", "t0", "t1", "token", "authentic", "exclusive", "indep", *extra, *([F.col("payload").alias("claim_payload")] if payloads else []))
+    named = claims.select(F.col("event_id").alias("claim_event"), "cid", "t0", "t1", F.sha2("token", 256).alias("digest"), "authentic", "exclusive", "indep", *extra, *([F.col("payload").alias("claim_payload")] if payloads else []))
     lower = [c for c in ("ts_lower",) if c in records.columns]
     on = F.col("event_id") == F.col("claim_event")
     if keyed:
@@ -52,7 +58,7 @@ def candidates(records: DataFrame, claims: DataFrame, bound: str | float | None,
         pair = vary(pair)
     b = clock_bound(bound)
     has = F.col("cid").isNotNull()
-    bind = F.when(has, binding(F.col("token"), F.col("token_sha")))
+    bind = F.when(has, bound_by(F.col("digest"), F.col("token_sha")))
     kept = has & (bind != "mismatch")
     if b is None:
         late = early = F.lit(None).cast("boolean")

@@ -52,7 +52,7 @@ def _decided(spark, d, exclusive: bool = False) -> DataFrame:
         x = pair.withColumn("c", F.explode(_all()))
         there = _present(F.split_part("cid", F.lit("-"), F.lit(1)), F.col("event_id"))
         return x.withColumns({
-            "cid": F.when(there, F.col("cid")), "token": F.when(F.col("c.tokens"), F.col("token")), "exclusive": F.col("c.excl") | F.lit(exclusive),
+            "cid": F.when(there, F.col("cid")), "digest": F.when(F.col("c.tokens"), F.col("digest")), "exclusive": F.col("c.excl") | F.lit(exclusive),
             "indep": F.when(there, F.col("c.apart")), "clock": F.col("c.clock"), "condition": F.col("c.condition"),
         })
 
