@@ -7,10 +7,6 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Interpreters whose -c or -e argument is the command itself.
-SHELL = r"^\s*(?:/\S*/)?(?:bash|sh|zsh|dash|python[0-9.]*|node)\s+(?:-\w+\s+)*-(?:l?c|e)\s+"
-
-
 def well_formed(event: dict[str, Column], receipt: Column, function: str) -> Column:
     """Whether a tool event is a write that its JSON receipt confirms.
 
@@ -48,25 +44,61 @@ def command_argument(arguments: Column) -> Column:
     return F.coalesce(*(F.try_variant_get(a, f"$.{p}", "string") for p in ("cmd", "command", "code")))
 
 
-def unwrapped(command: Column) -> Column:
-    """What a shell or interpreter is told to run by -c or -e, quotes taken off; other commands as they are."""
-    rest = F.trim(F.regexp_replace(command, SHELL, ""))
-    quoted = F.regexp_extract(rest, r"""(?s)^(['"])(.*?)\1""", 2)
-    inner = F.when(quoted != "", quoted).otherwise(F.split_part(rest, F.lit(" "), F.lit(1)))
-    return F.when(command.rlike(SHELL), inner).otherwise(command)
+#: Programs whose argument after a command flag is what they run.
+SHELLS = ("bash", "sh", "zsh", "dash", "python", "python3", "python3.13", "python3.12", "node")
+#: A run of white space, a quoted part, an escaped sign or a run of plain signs.
+_PIECE = r"""(?s)[ \t\r\n]+|'[^']*'|"[^"\\]*+(?:\\.[^"\\]*+)*+"|\\.|[^ \t\r\n'"\\]+"""
+
+
+def unwrapped(command: Column, flags: tuple[str, ...] = ("-c", "-lc", "-e"), programs: tuple[str, ...] = SHELLS) -> Column:
+    """The argument after the first of the flags, if a shell or interpreter is called with one; other commands as they are.
+
+    Words are parted as a POSIX shell does: quotes and backslashes join what they touch, in double quotes a backslash
+    stays but before a quote or backslash.  A command whose quotes don't close is left as it is.
+    """
+    pieces = F.regexp_extract_all(command, F.lit(_PIECE), F.lit(0))
+    mark = F.substring
+    plain = lambda p: F.when(p.startswith("'"), F.substring(p, F.lit(2), F.length(p) - 2)).when(p.startswith('"'), F.regexp_replace(F.substring(p, F.lit(2), F.length(p) - 2), r'(?s)\\(["\\])', "$1")).when(p.startswith("\\"), mark(p, 2, 1)).otherwise(p)
+    text = lambda c=None: F.lit(c).cast("string")
+    start = F.struct(text().alias("word"), text().alias("program"), F.lit(False).alias("armed"), text().alias("run"))
+
+    def close(s):
+        """The state after a word has ended: the first is the program, the one after the first flag is what it runs."""
+        flagged = ~s["armed"] & s["program"].isNotNull() & s["word"].isin(*flags)
+        run = F.when(s["run"].isNull() & s["armed"], s["word"]).otherwise(s["run"])
+        done = F.struct(text().alias("word"), F.coalesce(s["program"], s["word"]).alias("program"), (s["armed"] | flagged).alias("armed"), run.alias("run"))
+        return F.when(s["word"].isNull(), s).otherwise(done)
+
+    def step(s, p):
+        more = F.struct(F.concat(F.coalesce(s["word"], F.lit("")), plain(p)).alias("word"), s["program"].alias("program"), s["armed"].alias("armed"), s["run"].alias("run"))
+        return F.when(p.rlike(r"\A[ \t\r\n]"), close(s)).otherwise(more)
+
+    end = F.aggregate(pieces, start, step, close)
+    whole = F.length(F.array_join(pieces, "")) == F.length(command)
+    known = F.element_at(F.split(end["program"], "/"), -1).isin(*programs)
+    asked = command.rlike(r"\s-\w") | command.rlike(r"""['"\\]""")  # a cheap look before words are parted
+    return F.when(asked, F.when(whole & known, F.coalesce(end["run"], command)).otherwise(command)).otherwise(command)
 
 
 def normalised(command: Column) -> Column:
     return F.trim(F.regexp_replace(command, r"\s+", " "))
 
 
+def prepared(output: Column) -> Column:
+    """struct(lines, text) of an output without blank lines and trailing spaces; what same_prepared() compares."""
+    lines = F.filter(F.transform(F.split(F.coalesce(output, F.lit("")), "\r\n|[\n\r\x0b\f\x1c-\x1e\x85\u2028\u2029]"), lambda x: F.regexp_replace(x, r"\s+$", "")), lambda x: x != "")
+    return F.struct(F.slice(lines, 1, 3).alias("head"), F.array_join(lines, "\n").alias("text"))
+
+
+def same_prepared(a: Column, b: Column) -> Column:
+    s, t = a["text"], b["text"]
+    return F.when((s == "") | (t == ""), F.lit(None).cast("boolean")).otherwise(s.contains(t) | t.contains(s) | (a["head"] == b["head"]))
+
+
 def same_output(a: Column, b: Column) -> Column:
     """Whether two outputs say the same: blank lines and trailing spaces aside, one holds the other or the first three
     lines are equal; null where either is empty."""
-    lines = lambda t: F.filter(F.transform(F.split(F.coalesce(t, F.lit("")), r"\r\n|\n|\r"), lambda x: F.regexp_replace(x, r"\s+$", "")), lambda x: x != "")
-    x, y = lines(a), lines(b)
-    s, t = F.array_join(x, "\n"), F.array_join(y, "\n")
-    return F.when((s == "") | (t == ""), F.lit(None).cast("boolean")).otherwise(s.contains(t) | t.contains(s) | (F.slice(x, 1, 3) == F.slice(y, 1, 3)))
+    return same_prepared(prepared(a), prepared(b))
 
 
 def handles(messages: DataFrame, pattern: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.operators.checks import population_status
+from factweave.operators.receipts import normalised, prepared, same_prepared, unwrapped
 
 
 def binding(token: Column, commitment: Column) -> Column:
@@ -147,17 +148,33 @@ def binding_checks(claims: DataFrame, records: DataFrame) -> DataFrame:
     return x.where("bind in ('mismatch', 'unbound')").select("cid", "event_id", "bind", F.when((F.col("bind") == "mismatch") & F.col("indep"), "contradicted").otherwise("ambiguous").alias("outcome"))
 
 
+def said_and_done(rows: DataFrame, command: str, output: str, unwrap: bool) -> DataFrame:
+    """rows with command and output as pairs are judged: once for each row, before any pair is made."""
+    c = F.col(command).cast("string")
+    return rows.withColumn(command, normalised(F.coalesce(unwrapped(c, ("-c",)) if unwrap else c, F.lit("")))).withColumn(output, prepared(F.col(output).cast("string")))
+
+
+def pair_outcome(exec_: Column, cmd: Column, e_cmd: Column, output: Column, e_output: Column) -> Column:
+    """no_pair without an execution, unmatched by another command, not_assessable where a side has no output, else
+    whether the outputs say the same (see receipts.same_output)."""
+    same = same_prepared(output, e_output)
+    return F.when(exec_.isNull(), "no_pair").when(cmd != e_cmd, "unmatched").when(same.isNull(), "not_assessable").when(same, "supported").otherwise("contradicted")
+
+
 def corroborate(tools: DataFrame, execs: DataFrame, slack: str = "12 hours") -> DataFrame:
     """Each tool call with every sandbox execution of its transcript within the window, and the pair's outcome.
 
-    A call without an end meets its whole transcript.  Calls meet executions by transcript and day, so a long
-    transcript is no single group; tool is unique.
+    Commands are compared without shell and spacing, outputs tolerantly.  A call without a command (null) is none; one
+    without an end meets its whole transcript.  Calls meet executions by transcript and day, so a long transcript is no
+    single group; tool is unique.
     """
     s, day = F.expr(f"interval {slack}"), lambda t: F.datediff(t.cast("date"), F.lit("1970-01-01"))
-    e = execs.select("transcript", "exec", "t", F.col("cmd").alias("e_cmd"), F.col("output").alias("e_output"), day(F.col("t")).alias("day"))
-    ended = tools.where("t1 is not null").select("tool", "transcript", "t0", "t1", F.explode(F.sequence(day(F.col("t0") - s), day(F.col("t1") + s))).alias("day"))
+    tools = said_and_done(tools.where("cmd is not null"), "cmd", "output", False)
+    e = said_and_done(execs, "cmd", "output", True).select("transcript", "exec", "t", F.col("cmd").alias("e_cmd"), F.col("output").alias("e_output"), day(F.col("t")).alias("day"))
+    ended = tools.where("t1 is not null").withColumn("day", F.explode(F.sequence(day(F.col("t0") - s), day(F.col("t1") + s))))
     near = ended.join(e, ["transcript", "day"]).where((F.col("t") >= F.col("t0") - s) & (F.col("t") <= F.col("t1") + s))
-    open_ = tools.where("t1 is null").select("tool", "transcript").join(e, "transcript")
-    pair = tools.join(near.select("tool", "exec", "e_cmd", "e_output").unionByName(open_.select("tool", "exec", "e_cmd", "e_output")), "tool", "left")
-    same = F.when(F.col("exec").isNull(), "no_pair").when(F.col("cmd") != F.col("e_cmd"), "unmatched").when(F.col("output").isNull() | F.col("e_output").isNull(), "not_assessable")
-    return pair.select("tool", "exec", same.when(F.col("output") == F.col("e_output"), "supported").otherwise("contradicted").alias("outcome"))
+    judged = lambda pairs: pairs.select("tool", "exec", pair_outcome(F.col("exec"), F.col("cmd"), F.col("e_cmd"), F.col("output"), F.col("e_output")).alias("outcome"))
+    open_ = tools.where("t1 is null").join(e.drop("day"), "transcript")
+    pairs = judged(near).unionByName(judged(open_))
+    alone = F.col("outcome").isNull()
+    return tools.select("tool").join(pairs, "tool", "left").withColumn("outcome", F.when(alone, "no_pair").otherwise(F.col("outcome")))

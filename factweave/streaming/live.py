@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.operators.reconcile import binding
+from factweave.operators.reconcile import binding, pair_outcome, said_and_done
 
 
 def follow(spark: SparkSession, path: str) -> DataFrame:
@@ -34,11 +34,11 @@ def corroborate(tools: DataFrame, execs: DataFrame, slack: str = "12 hours", lat
     With how="left" a call without execution follows once the watermark has passed its window, so the last
     ones stay open until more rows come.  No call may last more than longest: this bounds the state."""
     s = F.expr(f"interval {slack}")
+    tools, execs = said_and_done(tools.where("cmd is not null"), "cmd", "output", False), said_and_done(execs, "cmd", "output", True)
     a = tools.withColumn("t0", F.col("t0").cast("timestamp")).withColumn("t1", F.col("t1").cast("timestamp")).withWatermark("t0", late)
     b = execs.select(F.col("transcript").alias("e_transcript"), "exec", F.col("t").cast("timestamp").alias("t"), F.col("cmd").alias("e_cmd"), F.col("output").alias("e_output")).withWatermark("t", late)
     on = (F.col("transcript") == F.col("e_transcript")) & (F.col("t") >= F.col("t0") - s) & (F.col("t") <= F.col("t1") + s) & (F.col("t") <= F.col("t0") + F.expr(f"interval {longest}") + s)
-    same = F.when(F.col("exec").isNull(), "no_pair").when(F.col("cmd") != F.col("e_cmd"), "unmatched").when(F.col("output").isNull() | F.col("e_output").isNull(), "not_assessable")
-    return a.join(b, on, how).select("tool", "exec", same.when(F.col("output") == F.col("e_output"), "supported").otherwise("contradicted").alias("outcome"))
+    return a.join(b, on, how).select("tool", "exec", pair_outcome(F.col("exec"), F.col("cmd"), F.col("e_cmd"), F.col("output"), F.col("e_output")).alias("outcome"))
 
 
 def candidates(claims: DataFrame, records: DataFrame) -> DataFrame:

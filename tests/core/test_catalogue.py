@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from factweave.operators import reconcile as R
-from factweave.plans import assumptions, contracts, evidence, ladder  # noqa: F401  (add their queries)
+from factweave.plans import assumptions, contracts, evidence, ladder, transcripts  # noqa: F401  (add their queries)
 from factweave.plans.catalogue import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
