@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factweave.operators.ordered import ranked
 
 SQL = {
     "ledger": """SELECT o_orderkey AS event_id, o_orderstatus AS ns, o_orderpriority AS name, sha2(CAST(o_custkey AS STRING),256) AS sha,
@@ -27,6 +30,7 @@ SQL = {
     "reads": "SELECT event_id AS read_id, ts, CASE WHEN event_id%9=0 THEN 403 ELSE 200 END AS status, sha2(props,256) AS digest FROM events WHERE event_type='purchase'",
     "ranges": "SELECT p_partkey AS range_id, p_brand AS list, p_partkey%2048*2097152 AS lo, p_partkey%2048*2097152 + p_size*65536 AS hi FROM part",
 }
+_BASE = "\n        lag(doc_id) OVER (PARTITION BY source, doc_id%40 ORDER BY doc_id) AS diff_base,"  # in Spark: based_revisions()
 _FROM = {"ledger": "orders", "claims": "lineitem", "population": "orders", "revs": "documents", "tools": "events", "execs": "events", "refreshes": "events", "reads": "events", "ranges": "part"}
 
 
@@ -37,9 +41,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bound(spark: SparkSession, sf_dir: str, name: str, rows: DataFrame | None = None) -> DataFrame:
     """The evidence table of that name, over rows (a stream, say) instead of the source table if given."""
     source = _FROM[name]
+    if name == "revs":
+        return spark.sql(SQL[name].replace(_BASE, "").replace("FROM documents", "FROM {source}"), source=table(spark, sf_dir, source) if rows is None else rows)
     return spark.sql(SQL[name].replace(f"FROM {source}", "FROM {source}"), source=table(spark, sf_dir, source) if rows is None else rows)
 
 
+def based_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The revisions with diff_base, the revision before on the same page; a page may hold any share of them."""
+    revs = bound(spark, sf_dir, "revs")
+    ordered = ranked(revs.withColumn("place", F.col("rev") % 40), ["label", "place"], ["rev"], previous={"diff_base": "rev"})
+    return ordered.drop("place", "rank")
+
+
 def with_sql(*names: str) -> str:
     """The same tables as common table expressions of the oracle's dialect."""
     text = ", ".join(f"{n} AS ({SQL[n]})" for n in names)

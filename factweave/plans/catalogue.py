@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from factweave.functions import redaction
 from factweave.operators import estimate as E
+from factweave.operators import ordered
 from factweave.operators import lineage as L
 from factweave.operators import reconcile as R
 from factweave.operators import triage
-from factweave.plans.bindings import bound, table, with_sql
+from factweave.plans.bindings import based_revisions, bound, table, with_sql
 from factweave.sources import files
 
 QUERIES: dict = {}
@@ -101,7 +102,7 @@ def corroborate_pairs(spark, d):
 
 @query(with_sql("revs") + " SELECT a.rev, b.rev AS parent FROM revs a JOIN revs b ON a.diff_base = b.rev AND a.page = b.page")
 def lineage_built_on(spark, d):
-    return L.built_on(bound(spark, d, "revs"))
+    return L.built_on(based_revisions(spark, d))
 
 
 @query("""WITH t AS (SELECT doc_id AS rev, CASE WHEN doc_id % 5 = 0 THEN concat('  ', text, ' ') ELSE text END AS text FROM documents),
@@ -214,14 +215,11 @@ def eval_calibration(spark, d):
 
 
 @query(_TRUTH + """, r AS (SELECT source, truth, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank, sum(truth) OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS hits FROM x)
-    SELECT source, CAST(sum(truth) AS BIGINT) AS relevant, round(CASE WHEN sum(truth) > 0 THEN sum(CASE WHEN truth = 1 THEN CAST(hits AS DOUBLE) / rank ELSE 0 END) / sum(truth) END, 9) AS average_precision,
-    count(*) FILTER (truth = 1 AND rank <= 5) / 5.0::DOUBLE AS p_at_5, CASE WHEN min(rank) FILTER (truth = 1) IS NULL THEN 0 ELSE 1.0::DOUBLE / min(rank) FILTER (truth = 1) END AS reciprocal_rank FROM r GROUP BY source""")
+    SELECT source, count(*) AS ranked, CAST(sum(truth) AS BIGINT) AS relevant, round(CASE WHEN sum(truth) > 0 THEN sum(CASE WHEN truth = 1 THEN CAST(hits AS DOUBLE) / rank ELSE 0 END) / sum(truth) END, 9) AS average_precision,
+    """ + "".join(f"count(*) FILTER (truth = 1 AND rank <= {k}) / {k}.0::DOUBLE AS p_at_{k}, round(CASE WHEN sum(truth) > 0 THEN CAST(count(*) FILTER (truth = 1 AND rank <= {k}) AS DOUBLE) / sum(truth) END, 9) AS r_at_{k}, " for k in (3, 5, 10)) + """CASE WHEN min(rank) FILTER (truth = 1) IS NULL THEN 0 ELSE 1.0::DOUBLE / min(rank) FILTER (truth = 1) END AS reciprocal_rank FROM r GROUP BY source""")
 def eval_ranking(spark, d):
-    w = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
-    r = _truth(spark, d).select("source", "truth", F.row_number().over(w).alias("rank"), F.sum("truth").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("hits"))
-    hit = F.when(F.col("truth") == 1, F.col("hits") / F.col("rank")).otherwise(0.0)
-    first = F.min(F.when(F.col("truth") == 1, F.col("rank")))
-    return r.groupBy("source").agg(F.sum("truth").cast("long").alias("relevant"), F.round(F.try_divide(F.sum(hit), F.sum("truth")), 9).alias("average_precision"), (F.count_if((F.col("truth") == 1) & (F.col("rank") <= 5)) / F.lit(5.0)).alias("p_at_5"), F.coalesce(1.0 / first, F.lit(0.0)).alias("reciprocal_rank"))
+    x = _truth(spark, d).select("source", "truth", "n_chars", "doc_id")
+    return ordered.ranking_scores(x, "source", "truth", [F.desc("n_chars"), F.col("doc_id")])
 
 
 @query(_ladder_sql() + "SELECT event_id % 10 AS part, count(*) FILTER (outcome <> 'not_assessable') AS n, count(*) FILTER (outcome = 'supported') AS k, count(*) FILTER (outcome = 'not_assessable') AS excluded, CAST(count(*) FILTER (outcome = 'supported') AS DOUBLE) / count(*) FILTER (outcome <> 'not_assessable') AS estimate FROM answers GROUP BY 1")
@@ -338,9 +336,9 @@ def integrity(spark, d):
 @query(_ladder_sql() + "SELECT l.name, l.event_id, l.ts, lag(l.event_id) OVER (PARTITION BY l.name ORDER BY l.ts, l.event_id) AS previous, CASE WHEN a.outcome = 'supported' THEN c.transcript END AS transcript, a.outcome FROM ledger l LEFT JOIN answers a ON a.event_id = l.event_id LEFT JOIN (SELECT cid, any_value(transcript) AS transcript FROM claims GROUP BY cid) c ON c.cid = a.cid")
 def version_history(spark, d):
     ledger, claims = bound(spark, d, "ledger"), bound(spark, d, "claims").select("cid", "transcript").dropDuplicates(["cid"])
-    x = ledger.select("name", "event_id", "ts").join(_answers(spark, d).select("event_id", "outcome", "cid"), "event_id", "left").join(claims, "cid", "left")
-    before = F.lag("event_id").over(Window.partitionBy("name").orderBy("ts", "event_id"))
-    return x.select("name", "event_id", "ts", before.alias("previous"), F.when(F.col("outcome") == "supported", F.col("transcript")).alias("transcript"), "outcome")
+    history = ordered.ranked(ledger.select("name", "event_id", "ts"), ["name"], [F.col("ts"), F.col("event_id")], previous={"previous": "event_id"})
+    x = history.join(_answers(spark, d).select("event_id", "outcome", "cid"), "event_id", "left").join(claims, "cid", "left")
+    return x.select("name", "event_id", "ts", "previous", F.when(F.col("outcome") == "supported", F.col("transcript")).alias("transcript"), "outcome")
 
 
 @query(with_sql("revs") + ", p AS (SELECT label, count(*) AS stored, max(body_len) AS denominator FROM revs GROUP BY label) SELECT label, stored, denominator, CAST(stored AS DOUBLE) / denominator AS retention FROM p WHERE denominator > 0 AND stored <= denominator")

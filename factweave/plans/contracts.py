@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from factweave.operators import checks as C
 from factweave.operators import lineage as L
 from factweave.operators import receipts as R
-from factweave.plans.bindings import bound, table, with_sql
+from factweave.plans.bindings import based_revisions, bound, table, with_sql
 from factweave.plans.catalogue import ORACLE_SQL, QUERIES, query
 from factweave.sources import files
 
@@ -157,7 +157,7 @@ def relation_page(spark, d):
     SELECT array_to_string(list_sort(list_distinct(flatten(list([CAST(rev AS VARCHAR), CAST(diff_base AS VARCHAR)])))), ',') AS citations FROM e""")
 def integrity_citations(spark, d):
     """The citations of the eight first edges, once each and sorted."""
-    e = bound(spark, d, "revs").where("diff_base is not null").orderBy("rev").limit(8)
+    e = based_revisions(spark, d).where("diff_base is not null").orderBy("rev").limit(8)
     each = e.select(F.explode(F.array(F.col("rev").cast("string"), F.col("diff_base").cast("string"))).alias("c"))
     return each.agg(F.array_join(F.array_sort(F.collect_set("c")), ",").alias("citations"))
 
