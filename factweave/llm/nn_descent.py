@@ -22,42 +22,53 @@ from factweave.llm.vectors import matrix, usable
 
 DEGREE, REVERSE, TREES, BLOCK, PROPOSED, DELTA = 44, 24, 4, 128, 12, 0.03
 FRONT, EXPAND, BEAM = 96, 32, 128
+LOG = 1200  # above the logarithm of any double's inverse
 
 EDGE, MARKED = "u long, v long, s float", "u long, v long, s float, new boolean"
 
 
 def _encode(dim: int, signs: int):
-    """Adds an order key for each random direction and the 4-bit code (scale, then components)."""
+    """Adds an order key for each random direction and the 4-bit code (the scale's logarithm, then components)."""
 
     def rows(batches):
         axes = np.random.default_rng(5).normal(size=(dim, TREES * signs))
         for batch in batches:
             if batch.num_rows:
                 x = matrix(batch.column(1))
+                most = np.abs(x).max(1)
+                x = x / most[:, None]
                 p = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ axes
                 gray = []
                 for t in range(TREES):  # nearby in the order: the same signs in most directions
                     bits = (p[:, t * signs : (t + 1) * signs] > 0).astype(np.int64)
                     flip = np.bitwise_xor.accumulate(bits, axis=1)
                     gray.append(flip @ (1 << np.arange(signs - 1, -1, -1)) + 0.0)
-                scale = np.abs(x).max(1) / 7
-                code = (np.round(x / scale[:, None]) + 8).astype(np.uint8)
+                code = (np.round(7 * x) + 8).astype(np.uint8)
                 code = (code[:, ::2] << 4) | np.pad(code[:, 1::2], ((0, 0), (0, dim % 2)), constant_values=8)
-                raw = [np.float32(s).tobytes() + c.tobytes() for s, c in zip(scale, code, strict=True)]
+                raw = [np.float32(s).tobytes() + c.tobytes() for s, c in zip(np.log2(most), code, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary()), pa.array(list(np.stack(gray, 1)), pa.list_(pa.float64()))], names=["u", "code", "orders"])
 
     return rows
 
 
-def _decode(col) -> np.ndarray:
-    """Vectors of 4-bit codes; an odd number of components gets a zero more."""
+def _decode(col) -> tuple[np.ndarray, np.ndarray]:
+    """(components of 4-bit codes, scales' logarithms); an odd number of components gets a zero more."""
     raw = np.frombuffer(b"".join(x.as_buffer() for x in col), np.uint8).reshape(len(col), -1)
     code = np.stack([raw[:, 4:] >> 4, raw[:, 4:] & 15], 2).reshape(len(col), -1)
-    return np.ascontiguousarray(raw[:, :4]).view(np.float32) * (code.astype(np.float32) - 8)
+    return code.astype(np.float32) - 8, np.ascontiguousarray(raw[:, :4]).view(np.float32).ravel()
+
+
+def _measure(dot: np.ndarray, log: np.ndarray) -> np.ndarray:
+    """What orders the partners of one node as their inner products do: the node's own scale is left out and the
+    partner's counts by its logarithm, so no magnitude that a double can have gets lost."""
+    size = np.abs(dot)
+    return np.sign(dot) * (np.log2(np.where(size > 0, size, 1)) + log + LOG)
 
 
 def _best(owner: np.ndarray, other: np.ndarray, score: np.ndarray, k: int, new: np.ndarray | None = None):
     """Indices of each owner's k best different others; of equal pairs one that isn't new."""
+    if not len(owner):
+        return np.zeros(0, np.int64)
     order = np.lexsort((new if new is not None else score, other, owner))
     order = order[np.concatenate([[True], (np.diff(owner[order]) != 0) | (np.diff(other[order]) != 0)])]
     order = order[np.lexsort((other[order], -score[order], owner[order]))]
@@ -81,8 +92,8 @@ def _block_edges(batches):
 
 
 def _all_pairs(t: pa.Table) -> pa.RecordBatch:
-    u, x = t.column("u").to_numpy(), _decode(t.column("code").combine_chunks())
-    s = x @ x.T
+    u, (x, log) = t.column("u").to_numpy(), _decode(t.column("code").combine_chunks())
+    s = _measure(x @ x.T, log)
     np.fill_diagonal(s, -np.inf)
     k = min(DEGREE, len(u) - 1)
     at = np.argpartition(-s, k - 1, axis=1)[:, :k]
@@ -108,13 +119,13 @@ def _local_join(batches):
     """Better edges among each node's neighbours: rows u, v, new, low (v's worst kept score), code of v."""
     for t in _groups(batches, 40_000):
         u, v, new, low = (t.column(c).to_numpy(zero_copy_only=False) for c in ("u", "v", "new", "low"))
-        x = _decode(t.column("code").combine_chunks())
+        x, log = _decode(t.column("code").combine_chunks())
         cut = np.flatnonzero(np.diff(u, prepend=u[0] - 1))
         size = np.diff(np.append(cut, len(u)))
         out = []
         for n in np.unique(size[size > 1]):
             rows = cut[size == n][:, None] + np.arange(n)
-            s = x[rows] @ x[rows].transpose(0, 2, 1)
+            s = _measure(x[rows] @ x[rows].transpose(0, 2, 1), log[rows][:, None, :])
             ok = (new[rows][:, :, None] | new[rows][:, None, :]) & (v[rows][:, :, None] != v[rows][:, None, :]) & (s > low[rows][:, :, None])
             s = np.where(ok, s, -np.inf)
             k = min(PROPOSED, n - 1)
@@ -164,15 +175,19 @@ def build_graph(nodes: DataFrame) -> DataFrame:
 def _score(batches):
     for batch in batches:
         if batch.num_rows:
-            s = np.einsum("ij,ij->i", _decode(batch.column("q_code")), _decode(batch.column("code")))
-            yield _edges(batch.column("u").to_numpy(), batch.column("v").to_numpy(), s)
+            x, log = _decode(batch.column("code"))
+            dot = np.einsum("ij,ij->i", _decode(batch.column("q_code"))[0], x)
+            yield _edges(batch.column("u").to_numpy(), batch.column("v").to_numpy(), _measure(dot, log))
 
 
 def _exact(batches):
     for batch in batches:
         if batch.num_rows:
             a, b = matrix(batch.column("q_key")), matrix(batch.column("key"))
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array((a * b).sum(1))], names=["u", "v", "score"])
+            up = [np.frexp(np.abs(x).max(1))[1] for x in (a, b)]  # powers of two keep sums exact and products in range
+            with np.errstate(over="ignore"):
+                score = np.ldexp((np.ldexp(a, -up[0][:, None]) * np.ldexp(b, -up[1][:, None])).sum(1), up[0] + up[1])
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(score)], names=["u", "v", "score"])
 
 
 def search(df: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -181,8 +196,10 @@ def search(df: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, id: str
     Nearness is the largest inner product; score is exact, in double precision, on the given vectors; ties go to
     the smaller id; a query's own id is no candidate.  Vectors that are null, empty, zero, or hold null or
     non-finite components take no part, nor do rows without an id; only vectors of one dimension meet.  With
-    fewer than k candidates all are returned.  An empty df gives no rows.
+    fewer than k candidates all are returned.  Any finite magnitudes may meet; a product beyond a double is infinite.
+    The search widens with k.  An empty df gives no rows.
     """
+    front, beam_size = max(FRONT, 3 * k), max(BEAM, 5 * k)
     rows = keep(usable(df, id, vector).where("key is not null"))
     by_id = F.row_number().over(Window.partitionBy("key").orderBy("vec_id"))
     first = keep(rows.distinct().withColumn("at", by_id).where(f"at <= {k + 1}"))
@@ -204,7 +221,7 @@ def search(df: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, id: str
         # beam rows: query node u, reached node v, score s, expanded or not
         q = keep(asked.select("u").distinct().join(codes.select("u", F.col("code").alias("q_code")), "u"))
         by_score = Window.partitionBy("u").orderBy(F.desc("s"), "v")
-        open_ = (~F.col("done") & (F.row_number().over(by_score) <= FRONT)).alias("open")
+        open_ = (~F.col("done") & (F.row_number().over(by_score) <= front)).alias("open")
         beam = keep(q.select("u", F.col("u").alias("v"), "q_code", F.col("q_code").alias("code")).mapInArrow(_score, EDGE).withColumn("done", F.lit(False)).withColumn("open", F.lit(True)))
         while not beam.where("open").isEmpty():
             nth = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("open"), F.desc("s"), "v"))
@@ -212,7 +229,7 @@ def search(df: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, id: str
             next_ = front.where("go").select("u", F.col("v").alias("w")).join(ways.withColumnRenamed("u", "w"), "w").select("u", "v").distinct()
             next_ = next_.join(beam.select("u", "v"), ["u", "v"], "left_anti").join(code, "v").join(q, "u").select("u", "v", "q_code", "code").mapInArrow(_score, EDGE)
             merged = front.select("u", "v", "s", (F.col("done") | F.col("go")).alias("done")).unionByName(next_.withColumn("done", F.lit(False)))
-            reached = keep(merged.withColumn("rank", F.row_number().over(by_score)).where(f"rank <= {BEAM}").select("u", "v", "s", "done", open_))
+            reached = keep(merged.withColumn("rank", F.row_number().over(by_score)).where(f"rank <= {beam_size}").select("u", "v", "s", "done", open_))
             free(beam)
             beam = reached
         last = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("s"), "v"))

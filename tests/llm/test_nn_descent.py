@@ -48,3 +48,23 @@ def test_small_exact_with_ties_and_bad_rows(spark):
     assert got == {q: [(j, round(s, 9)) for j, s in v] for q, v in want.items()}
     assert N.search(df.limit(0)).collect() == []
     assert N.search(df.where("vec_id = 0")).collect() == []
+
+
+@pytest.mark.parametrize(("low", "high", "k"), [(-150, -150, 20), (-39, -39, 150), (0, 140, 20), (-150, 150, 20)])
+def test_any_magnitude(spark, low, high, k):
+    """Recall whatever finite magnitudes meet, and with k above the usual beam."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 16))
+    power = np.where(np.arange(400) % 7 == 0, high, low)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate((x * 10.0 ** power[:, None]).tolist())], "vec_id long, embedding array<double>").repartition(3)
+    got = defaultdict(list)
+    for r in N.search(df, "vec_id % 40 = 3", k).collect():
+        got[r.query_id].append(r.vec_id)
+    hit = 0
+    for q, found in got.items():
+        dot = x @ x[q]  # the order of the products by sign and logarithm
+        s = np.sign(dot) * (np.log10(np.abs(dot)) + power + 400)
+        want = sorted((-v, j) for j, v in enumerate(s.tolist()) if j != q)[:k]
+        assert len(found) == k
+        hit += len({j for _, j in want} & set(found)) / k
+    assert len(got) == 10 and hit / 10 >= 0.9
