@@ -195,10 +195,9 @@ def pack(df: DataFrame, id: str = "doc_id", text: str = "text", size: int = 2048
     and ids are packed apart; an empty df gives no rows.  tokenizer: a file; by default the public word BPE.
     """
     source = df.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    pieces = keep(source.mapInArrow(lean(_pieces(tokenizer, size, end_id, with_ids)), PIECE))
+    pieces = keep(source.mapInArrow(lean(_pieces(tokenizer, size, end_id, with_ids)), PIECE).withColumn("row", F.monotonically_increasing_id()))
     groups = -(-max(1, pieces.count()) // group_size)
-    deal = F.xxhash64("doc_id", "piece")
-    dealt = pieces.withColumn("deal", deal).withColumn("group", F.pmod("deal", F.lit(groups)))
+    dealt = pieces.withColumn("deal", F.xxhash64("row")).drop("row").withColumn("group", F.pmod("deal", F.lit(groups)))  # by row: ids may be null or repeat
     return dealt.groupBy("group").applyInArrow(lean_group(_pack(size)), f"{PIECE}, sequence_id long, offset long")
 
 

@@ -59,3 +59,11 @@ def test_rule_against_plain_search():
 
 def test_empty(spark):
     assert P.pack(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_rows_of_one_id_are_dealt_out(spark):
+    """Equal rows, with a null id, share out over the groups."""
+    df = spark.createDataFrame([(None, "one two three")] * 3000, "doc_id long, text string").repartition(4)
+    rows = P.pack(df, group_size=500).collect()
+    groups = np.bincount([r.sequence_id >> 32 for r in rows])
+    assert len(rows) == 3000 and len(groups) == 6 and groups.max() < 600
