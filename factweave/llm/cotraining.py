@@ -2,10 +2,11 @@
 
 The text view averages hashed word weights and adds a few shape statistics; the metadata view knows source,
 language, length and their pairs.  A view's weights start from sums that Spark takes over all documents known to it
-(log odds of counts by class) and are refined by logistic steps on a sample of LABELLED labelled documents.  In each
-round each view scores all unlabelled documents, names the most confident of them, in the proportion of the classes
-and by quantiles over all, and Spark adds them to the other view's sums beside all labelled documents.  What one view
-names grows with the rounds, up to one in SHARE.  Both views are then calibrated and combined by a logistic model on
+(log odds of counts by class, distances of the classes' mean statistics) and are refined by logistic steps on a sample
+of LABELLED labelled documents, drawn back to where they started.  In each round each view scores all unlabelled
+documents, names the most confident of them, in the proportion of the classes and by quantiles over all, and Spark adds
+them to the other view's sums beside all labelled documents.  What one view names grows with the rounds, up to one in
+SHARE; a view that documents held back don't show to be better than chance names none.  Both views are then calibrated and combined by a logistic model on
 CALIBRATION labelled documents at most, of a quarter that no view was fitted on.  The driver sees sums of a fixed
 size, quantiles and those samples.
 """
@@ -28,7 +29,9 @@ _KIND[97:123], _KIND[65:91], _KIND[48:58], _KIND[[9, 11, 12, 13, 32]], _KIND[10]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 STATS = 11
-CELLS = 2 * (TABLE + META)
+CELLS = 2 * (TABLE + META + 2 * STATS + 1)
+#: Observations by which weights of hashed entries and of statistics are drawn to where they start.
+PRIOR = (0.3, 1.0)
 
 
 def text_view(text: pa.Array):
@@ -92,27 +95,26 @@ def _opened(batch: pa.RecordBatch):
     return np.repeat(np.arange(batch.num_rows), n), whole("words", "<u2").astype(np.int64), whole("times", "<i4").astype(np.float64), whole("stats", "<f4").reshape(-1, STATS).astype(np.float64), whole("meta", "<u2").reshape(-1, 5).astype(np.int64)
 
 
-class Logistic:
-    """A logistic model on weighted hashed entries (row, id, weight) and dense columns, refined by full-batch Adam."""
+def score_of(weights: tuple[np.ndarray, np.ndarray], row, word, share, dense) -> np.ndarray:
+    """Log odds by weights of hashed entries (row, id, weight) and of dense columns."""
+    return dense @ weights[1] + np.bincount(row, weights[0][word] * share, len(dense))
 
-    def __init__(self, hashed: np.ndarray, dense: np.ndarray):
-        self.hashed, self.dense = hashed, dense
 
-    def score(self, row, word, share, dense):
-        return dense @ self.dense + np.bincount(row, self.hashed[word] * share, len(dense))
-
-    def fit(self, row, word, share, dense, y, steps: int = 60):
-        weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3)) / len(y)
-        state = [np.zeros_like(x) for x in (self.hashed, self.hashed, self.dense, self.dense)]
-        for k in range(1, steps + 1):
-            g = weight * (1 / (1 + np.exp(-np.clip(self.score(row, word, share, dense), -30, 30))) - y)
-            grads = np.bincount(word, g[row] * share, len(self.hashed)) + 1e-6 * self.hashed, dense.T @ g + 1e-5 * self.dense
-            for i, (w, grad) in enumerate(zip((self.hashed, self.dense), grads, strict=True)):
-                m, v = state[2 * i], state[2 * i + 1]
-                m += 0.1 * (grad - m)
-                v += 0.02 * (grad * grad - v)
-                w -= (0.3, 0.1)[i] * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.98**k)) + 1e-9)
-        return self
+def fitted(start: tuple[np.ndarray, np.ndarray], row, word, share, dense, y, steps: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Weights refined by full-batch Adam, drawn to where they start by as much as PRIOR observations draw them away."""
+    weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3)) / len(y)
+    now = [x.copy() for x in start]
+    state = [np.zeros_like(x) for x in (now[0], now[0], now[1], now[1])]
+    for k in range(1, steps + 1):
+        g = weight * (1 / (1 + np.exp(-np.clip(score_of(now, row, word, share, dense), -30, 30))) - y)
+        grads = np.bincount(word, g[row] * share, len(now[0])), dense.T @ g
+        for i, (w, first, grad) in enumerate(zip(now, start, grads, strict=True)):
+            grad = grad + PRIOR[i] / len(y) * (w - first)
+            m, v = state[2 * i], state[2 * i + 1]
+            m += 0.1 * (grad - m)
+            v += 0.02 * (grad * grad - v)
+            w -= (0.3, 0.1)[i] * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.98**k)) + 1e-9)
+    return tuple(now)
 
 
 def _entries(opened, mean, spread):
@@ -124,21 +126,46 @@ def _entries(opened, mean, spread):
 
 
 def views(sums: np.ndarray, sample, y: np.ndarray) -> dict:
-    """Both views' models from sums (by class: words, then metadata features) and the labelled sample."""
+    """Both views' weights from sums (by class: words, metadata features, statistics, their squares, rows) and the
+    labelled sample.  The sums say where the weights start and are drawn to, so what a view was told by the other holds
+    where labels are few and gives way where they are many."""
     bad, good = sums.reshape(2, -1)
+    cut = np.cumsum([TABLE, META, STATS, STATS])
     mean, spread = sample[3].mean(0), sample[3].std(0) + 1e-6
-    models = []
+    centre, rows = [(x[cut[1] : cut[2]] / max(x[-1], 1) - mean) / spread for x in (bad, good)], (bad[-1], good[-1])
+    inner = [np.maximum(x[cut[2] : cut[3]] / max(x[-1], 1) - (x[cut[1] : cut[2]] / max(x[-1], 1)) ** 2, 0) / spread**2 for x in (bad, good)]
+    apart = (centre[1] - centre[0]) / (0.1 + sum(v * n for v, n in zip(inner, rows, strict=True)) / max(sum(rows), 1))
+    weights = []
     for entries, part in zip(_entries(sample, mean, spread), (slice(0, TABLE), slice(TABLE, TABLE + META)), strict=True):
         rate = [np.log(x[part] + 0.5) - np.log(x[part].sum() + 0.5 * len(x[part])) for x in (bad, good)]
-        start = Logistic(rate[1] - rate[0], np.zeros(entries[3].shape[1]))
-        start.hashed *= max(_line(start.score(*entries)[:, None], y)[0], 0)
-        models.append(start.fit(*entries, y))
-    return {"models": models, "mean": mean, "spread": spread}
+        hashed, dense = rate[1] - rate[0], np.zeros(entries[3].shape[1])
+        parts = [score_of((hashed, dense), *entries)]
+        if len(dense) > 1:
+            parts.append(entries[3][:, :-1] @ apart)
+        scale = _line(np.stack(parts, 1), y)
+        dense[-1] = scale[-1]
+        if len(dense) > 1:
+            dense[:-1] = apart * max(scale[1], 0)
+        weights.append(fitted((hashed * max(scale[0], 0), dense), *entries, y))
+    return {"weights": weights, "mean": mean, "spread": spread}
 
 
 def view_scores(model: dict, opened) -> np.ndarray:
     """(row, view): log odds by the text and by the metadata."""
-    return np.stack([m.score(*e) for m, e in zip(model["models"], _entries(opened, model["mean"], model["spread"]), strict=True)], 1)
+    return np.stack([score_of(w, *e) for w, e in zip(model["weights"], _entries(opened, model["mean"], model["spread"]), strict=True)], 1)
+
+
+def better_than_chance(score: np.ndarray, y: np.ndarray) -> bool:
+    """Whether a score ranks the good before the bad by more than two standard errors of what chance does."""
+    n = int(y.sum()), int(len(y) - y.sum())
+    if not min(n):
+        return False
+    order = np.argsort(score, kind="stable")
+    place = np.empty(len(y))
+    _, at, size = np.unique(score[order], return_index=True, return_counts=True)
+    place[order] = np.repeat(at + (size + 1) / 2, size)  # equal scores share their mean place
+    area = (place[y == 1].sum() - n[0] * (n[0] + 1) / 2) / (n[0] * n[1])
+    return area > 0.5 + 2 * np.sqrt((n[0] + n[1] + 1) / (12 * n[0] * n[1]))
 
 
 def _summed(shared):
@@ -161,7 +188,8 @@ def _summed(shared):
                     named = [(label < 0) & ((s >= hi) & (s > lo) if c else (s <= lo) & (s < hi)) for s, (lo, hi) in zip(score.T, cuts, strict=True)]
                     text, other = own + PSEUDO * named[1], own + PSEUDO * named[0]
                 sums[c, :TABLE] += np.bincount(word, times * text[row] / np.maximum(np.bincount(row, times, len(stats)), 40)[row], TABLE)
-                sums[c, TABLE:] += np.bincount(meta.ravel(), np.repeat(other, 5), META)
+                sums[c, TABLE : TABLE + META] += np.bincount(meta.ravel(), np.repeat(other, 5), META)
+                sums[c, TABLE + META :] += np.concatenate([text @ stats, text @ stats**2, [text.sum()]])
         flat = sums.ravel()
         on = [k for k in range(0, CELLS, CHUNK) if flat[k : k + CHUNK].any()]
         yield pa.RecordBatch.from_pydict({"chunk": pa.array(on, pa.int64()), "part": pa.array([flat[k : k + CHUNK].tobytes() for k in on], pa.binary())})
@@ -228,8 +256,11 @@ def quality(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, threshold:
     def scored(model) -> DataFrame:
         return rows.mapInArrow(_scored(spark.sparkContext.broadcast(model)), SCORED)
 
-    some = rows.where("quality >= 0 and not held").orderBy(order, "doc_id", "words").limit(LABELLED).toArrow().combine_chunks().to_batches()[0]
-    sample, y = _opened(some), some.column("quality").to_numpy()
+    def collected(which: str, most: int):
+        some = rows.where(f"quality >= 0 and {which}").orderBy(order, "doc_id", "words").limit(most).toArrow().combine_chunks().to_batches()[0]
+        return _opened(some), some.column("quality").to_numpy()
+
+    (sample, y), (held, y_held) = collected("not held", LABELLED), collected("held", CALIBRATION)
     model = views(sums(None, None), sample, y)
     for turn in range(rounds):
         share = (turn + 1) / (SHARE * rounds)
@@ -237,7 +268,9 @@ def quality(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, threshold:
         cut = scored(model).where("quality < 0").agg(*(F.percentile_approx(c, at, 10_000).alias(c) for c in ("s_text", "s_meta"))).first()
         if cut["s_text"] is None:  # no unlabelled row
             break
-        model = views(sums(model, [tuple(cut["s_text"]), tuple(cut["s_meta"])]), sample, y)
+        known = view_scores(model, held)
+        names = [tuple(cut[c]) if better_than_chance(s, y_held) else (-np.inf, np.inf) for c, s in zip(("s_text", "s_meta"), known.T, strict=True)]
+        model = views(sums(model, names), sample, y)
     final = keep(scored(model))
     sample = final.where("quality >= 0 and held").orderBy(order, "doc_id").limit(CALIBRATION).select("quality", "s_text", "s_meta").toPandas()
     y, s = sample.quality.to_numpy(), sample[["s_text", "s_meta"]].to_numpy()
