@@ -234,10 +234,13 @@ def _label(model, detail: bool, carry: dict[str, int]):
 
 
 def sample(df: DataFrame, per_lang: int, id: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[str], list[str]]:
-    """per_lang whole texts at most of every non-null language, taken by the hash of their ids."""
-    rank = F.row_number().over(Window.partitionBy(lang).orderBy(F.xxhash64(id), id))
-    chosen = df.where(F.col(lang).isNotNull()).select(id, lang).withColumn("rank", rank).where(f"rank <= {int(per_lang)}").select(id).distinct()
-    rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).join(F.broadcast(chosen), id, "left_semi").select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(id).alias("h")).toArrow()
+    """per_lang whole texts at most of every non-null language, taken by the hash of their ids; rows of one id are ranked
+    by their texts' hashes, and equal rows count once, so what comes here is per_lang rows a language whatever repeats."""
+    known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(id).alias("i"), F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(text).alias("th"))
+    rank = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("i"), "i", "th"))
+    chosen = known.select("i", "l", "th").distinct().withColumn("rank", rank).where(f"rank <= {int(per_lang)}").select(F.col("i").alias("ci"), F.col("l").alias("cl"), F.col("th").alias("ct"))
+    same = F.col("i").eqNullSafe(F.col("ci")) & (F.col("l") == F.col("cl")) & (F.col("th") == F.col("ct"))
+    rows = known.join(F.broadcast(chosen), same, "left_semi").groupBy("i", "l", "th").agg(F.first("t").alias("t")).select("t", "l", F.xxhash64("i").alias("h")).toArrow()
     rows = rows.sort_by([("h", "ascending"), ("l", "ascending"), ("t", "ascending")])
     return rows.column("t").to_pylist(), rows.column("l").to_pylist()
 

@@ -71,3 +71,10 @@ def test_texts_without_spaces_are_read_to_their_end(spark):
     word = "ab" * 23 + "Q"  # 47 bytes: whole, and its last letters count
     features = L.Features([])
     assert len(features.of(pa.array([word]))[0]) == 48 + 47 + 46 + 4 + 1
+
+
+def test_sample_is_bounded_by_rows(spark):
+    """One id on many rows, equal ones among them, brings per_lang rows a language at most."""
+    rows = [(1, f"wort {i % 50}", "de") for i in range(500)] + [(None, "mot", "fr")] * 90 + [(i, f"w {i}", "en") for i in range(40)] + [(7, None, "en"), (8, "x", None)]
+    texts, langs = L.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), 30)
+    assert {k: langs.count(k) for k in set(langs)} == {"de": 30, "fr": 1, "en": 30} and len(set(texts)) == 61
