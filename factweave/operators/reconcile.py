@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factweave.operators.checks import population_status
+from factweave.operators.checks import population_status, repeated
 from factweave.operators.receipts import normalised, prepared, same_prepared, unwrapped
 
 
@@ -42,18 +42,21 @@ def candidates(records: DataFrame, claims: DataFrame, bound: str | float | None,
     (claim_ns).  versions: a digest that the claim attests must be the record's where both are known.  These are
     conditions of the one equi-join, never a join of their own.  A record's ts_lower, if it has the column, is the
     earliest time it may have been made; without a value nothing is too early.  Tokens are digested before the join,
-    once for each claim.  vary changes the joined pairs before
+    once for each claim.  What the sources' declarations say of a record's observers may stand in its column trusted, else
+    each claim says it in indep.  vary changes the joined pairs before
     they are judged, and may repeat them under other assumptions (see reconcile()).
     """
     extra = ["claim_ns", "claim_name"] * keyed + ["attested"] * versions
-    named = claims.select(F.col("event_id").alias("claim_event"), "cid", "t0", "t1", F.sha2("token", 256).alias("digest"), "authentic", "exclusive", "indep", *extra, *([F.col("payload").alias("claim_payload")] if payloads else []))
+    extra += [c for c in ("indep", "witness", "citation") if c in claims.columns]
+    named = claims.select(F.col("event_id").alias("claim_event"), "cid", "t0", "t1", F.sha2("token", 256).alias("digest"), "authentic", "exclusive", *extra, *([F.col("payload").alias("claim_payload")] if payloads else []))
     lower = [c for c in ("ts_lower",) if c in records.columns]
+    told = [c for c in ("trusted", "record_witness") if c in records.columns]
     on = F.col("event_id") == F.col("claim_event")
     if keyed:
         on &= (F.col("name") == F.col("claim_name")) & (F.col("ns").isNull() | (F.col("ns") == F.col("claim_ns")))
     if versions:
         on &= F.col("sha").isNull() | F.col("attested").isNull() | (F.col("sha") == F.col("attested"))
-    given = records.select("event_id", "ns", "token_sha", "ts", "idem", *lower, *["name"] * keyed, *["sha"] * versions, *["payload"] * payloads)
+    given = records.select("event_id", "ns", "token_sha", "ts", "idem", *lower, *told, *["name"] * keyed, *["sha"] * versions, *["payload"] * payloads)
     pair = given.join(named, on, "left")
     if vary:
         pair = vary(pair)
@@ -77,7 +80,7 @@ def candidates(records: DataFrame, claims: DataFrame, bound: str | float | None,
     )
 
 
-def reconcile(records: DataFrame, claims: DataFrame, bound: str | float | None = "365 days", idempotent: bool = False, keyed: bool = False, versions: bool = False, payloads: bool = False, vary: Callable[[DataFrame], DataFrame] | None = None, per: tuple[str, ...] = ()) -> DataFrame:
+def reconcile(records: DataFrame, claims: DataFrame, bound: str | float | None = "365 days", idempotent: bool = False, keyed: bool = False, versions: bool = False, payloads: bool = False, vary: Callable[[DataFrame], DataFrame] | None = None, per: tuple[str, ...] = (), witnesses: bool = False) -> DataFrame:
     """event_id, outcome, method, n_candidates and the claim (if supported) of every record.
 
     One shuffle on the event id serves the join and the aggregation; the rules are one CASE over its counts, so
@@ -85,7 +88,8 @@ def reconcile(records: DataFrame, claims: DataFrame, bound: str | float | None =
     stands alone if it ended more than twice the bound before the next began.  keyed and versions: see candidates();
     a keyed record without a name can't be matched (field_check).  payloads: of several fitting claims, those with
     another payload than the record's go where one has the same.  Without a bound nothing is timed
-    (clock_bound_missing).  Ids of claims are unique: see checks.repeated().
+    (clock_bound_missing).  Ids of claims are unique: see refuse_repeated().  witnesses adds those of the record
+    (record_witness) and of the claims that were left (witness), and what kept() needs.
 
     vary repeats each joined pair under several assumptions, told apart by the columns per, which come back; a pair
     without cid counts as a record without that claim, and where clock is false nothing is timed.  As it follows the join and the aggregation
@@ -93,21 +97,25 @@ def reconcile(records: DataFrame, claims: DataFrame, bound: str | float | None =
     """
     x = candidates(records, claims, bound, keyed, versions, payloads, vary)
     n = lambda c: F.count_if(F.col(c))
-    fits = F.array_sort(F.collect_list(F.when(F.col("fit"), F.struct("t0", "t1", "cid", "bind", "authentic", "exclusive")))) if idempotent else None
     best = lambda c: F.max(F.when(F.col(c), F.struct("cid", "bind", "authentic", "exclusive")))
     sums = x.groupBy("event_id", *per).agg(
         n("has").alias("n_all"), n("rem").alias("n_rem"), n("untimed").alias("n_untimed"), n("late").alias("n_late"), n("off").alias("n_off"), n("fit").alias("n_fit"),
-        F.coalesce(F.bool_and("indep"), F.lit(False)).alias("independent"), best("fit").alias("one"), F.first("ns").alias("ns"), F.first("idem").alias("idem"),
-        *([fits.alias("fits")] if idempotent else []), *([F.first("name").alias("name")] if keyed else []),
+        F.coalesce(F.first("trusted") if "trusted" in x.columns else F.bool_and("indep"), F.lit(False)).alias("independent"), best("fit").alias("one"), F.first("ns").alias("ns"), F.first("idem").alias("idem"),
+        *([F.first("name").alias("name")] if keyed else []),
         *([n("exact").alias("n_exact"), n("close").alias("n_close"), best("close").alias("near")] if payloads else []),
-    )
+        *([F.collect_set(F.when(F.col(c), F.col("witness"))).alias(f"w_{c}") for c in ("has", "rem", "fit", "close")] + [F.first("record_witness").alias("record_witness")] if witnesses else []),
+    ).withColumn("left", F.lit("fit"))
     if idempotent and bound is not None:
-        alone = F.col("idem") & (F.col("n_fit") > 1) & (F.get("fits", F.lit(0))["t1"] + clock_bound(bound, 2) < F.get("fits", F.lit(1))["t0"])
-        first = F.get("fits", F.lit(0))
-        sums = sums.withColumn("one", F.when(alone, F.struct(first["cid"].alias("cid"), first["bind"].alias("bind"), first["authentic"].alias("authentic"), first["exclusive"].alias("exclusive"))).otherwise(F.col("one"))).withColumn("n_fit", F.when(alone, F.lit(1)).otherwise(F.col("n_fit")))
+        keys, first = ["event_id", *per], F.col("earliest")
+        fits = x.where("idem and fit").select(*keys, F.struct("t0", "t1", "cid", "bind", "authentic", "exclusive", *["witness"] * witnesses).alias("f"))
+        firsts = fits.groupBy(*keys).agg(F.min("f").alias("earliest"))
+        nexts = fits.join(firsts, keys).where("f > earliest").groupBy(*keys).agg(F.min("f.t0").alias("next"))  # two steps, so no event's claims are one array
+        sums = sums.join(firsts, keys, "left").join(nexts, keys, "left")
+        alone = F.coalesce(F.col("earliest.t1") + clock_bound(bound, 2) < F.col("next"), F.lit(False))
+        sums = sums.withColumn("one", F.when(alone, F.struct(first["cid"].alias("cid"), first["bind"].alias("bind"), first["authentic"].alias("authentic"), first["exclusive"].alias("exclusive"))).otherwise(F.col("one"))).withColumn("left", F.when(alone, "first").otherwise(F.col("left"))).withColumn("n_fit", F.when(alone, F.lit(1)).otherwise(F.col("n_fit")))
     if payloads:
         told = (F.col("n_fit") > 1) & (F.col("n_exact") > 0)
-        sums = sums.withColumns({"one": F.when(told, F.col("near")).otherwise(F.col("one")), "n_fit": F.when(told, F.col("n_close")).otherwise(F.col("n_fit"))})
+        sums = sums.withColumns({"left": F.when(told, "close").otherwise(F.col("left")), "one": F.when(told, F.col("near")).otherwise(F.col("one")), "n_fit": F.when(told, F.col("n_close")).otherwise(F.col("n_fit"))})
     rule = F.when(F.col("name").isNull(), "field_check") if keyed else F.when(F.lit(False), "field_check")
     rule = rule.when((F.col("n_all") > 0) & (F.col("n_rem") == 0), "receipt_binding_mismatch").when(F.col("n_rem") == 0, "key_and_version")
     rule = rule.when(F.col("n_untimed") > 0, "clock_bound_missing").when(F.col("n_late") == F.col("n_rem"), "contradiction_R3")
@@ -117,7 +125,31 @@ def reconcile(records: DataFrame, claims: DataFrame, bound: str | float | None =
     rule = rule.when(F.col("one.authentic"), "independent_receipt").when(F.col("one.bind") == "bound", "receipt_possession_only").otherwise("attribution_unbound")
     out = sums.withColumn("method", rule).withColumn("outcome", outcome_of(F.col("method")))
     count = F.when(F.col("method") == "receipt_binding_mismatch", F.col("n_all")).when(F.col("method").isin("contradiction_R3", "execution_window_disjoint", "clock_bound_missing"), F.col("n_rem")).otherwise(F.col("n_fit"))
-    return out.select("event_id", *per, "outcome", "method", count.cast("long").alias("n_candidates"), F.when(F.col("outcome") == "supported", F.col("one.cid")).alias("cid"))
+    more = []
+    if witnesses:
+        stage = F.when(F.col("method").isin("field_check", "key_and_version"), "none").when(F.col("method") == "receipt_binding_mismatch", "has")
+        stage = stage.when(F.col("method").isin("contradiction_R3", "execution_window_disjoint", "clock_bound_missing"), "rem").otherwise(F.col("left"))
+        of = F.when(stage == "none", F.array()).when(stage == "has", F.col("w_has")).when(stage == "rem", F.col("w_rem")).when(stage == "close", F.col("w_close")).otherwise(F.col("w_fit"))
+        if idempotent and bound is not None:
+            of = F.when(stage == "first", F.array_compact(F.array("earliest.witness"))).otherwise(of)
+        more = [F.array_sort(F.array_union(F.array_compact(F.array("record_witness")), of)).alias("witnesses"), stage.alias("left"), F.col("one.cid").alias("first")]
+    return out.select("event_id", *per, "outcome", "method", count.cast("long").alias("n_candidates"), F.when(F.col("outcome") == "supported", F.col("one.cid")).alias("cid"), *more)
+
+
+def kept(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(event_id, cid, witness, citation) of the claims that stand behind each edge of reconcile(..., witnesses=True), as
+    rows, for a record may have any number; pairs: what candidates() gives for the same records and claims."""
+    e = edges.select(F.col("event_id").alias("of"), "left", "first").where("left <> 'none'")
+    stays = F.when(F.col("left") == "has", F.col("has")).when(F.col("left") == "rem", F.col("rem")).when(F.col("left") == "close", F.col("close")).when(F.col("left") == "first", F.col("cid") == F.col("first")).otherwise(F.col("fit"))
+    return pairs.join(e, F.col("event_id") == F.col("of")).where(stays).select("event_id", "cid", "witness", "citation")
+
+
+def refuse_repeated(claims: DataFrame, id: str = "cid") -> DataFrame:
+    """claims, if no id stands on two of them; else a ValueError that names some.  Counts ids, in one shuffle, at once."""
+    twice = repeated(claims.select(id), id).orderBy(id).limit(6).collect()
+    if twice:
+        raise ValueError(f"repeated action ids: {', '.join(str(r[id]) for r in twice[:5])}{' and more' if len(twice) > 5 else ''}")
+    return claims
 
 
 def outcome_of(method: Column) -> Column:

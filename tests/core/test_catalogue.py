@@ -5,9 +5,10 @@ import hashlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from factweave.operators import reconcile as R
-from factweave.plans import assumptions, contracts, evidence, ladder, transcripts  # noqa: F401  (add their queries)
+from factweave.plans import assumptions, contracts, evidence, ladder, substrates, transcripts  # noqa: F401  (add their queries)
 from factweave.plans.catalogue import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -92,7 +93,14 @@ def test_idempotent(spark):
     got = {x.event_id: (x.method, x.cid) for x in R.reconcile(r, c, "10 days", idempotent=True).collect()}
     assert got == {1: ("unseparated_candidates", None), 2: ("unseparated_candidates", None)}
     got = {x.event_id: (x.method, x.cid) for x in R.reconcile(r, c, "8 days", idempotent=True).collect()}
-    assert got[1][0] == "independent_receipt_binding" or got[1][0] == "execution_window_disjoint" or got[1][1] == "1-0"
+    assert got == {i: ("independent_receipt_binding", f"{i}-0") for i in (1, 2)}
+    # a record known only from a listing: its first creation ended long before the next began
+    r = spark.createDataFrame([(1, "n", SHA, day(0), True, day(-20)), (2, "n", SHA, day(0), False, day(-20))], RECORD + ", ts_lower timestamp_ntz")
+    got = {x.event_id: (x.method, x.cid) for x in R.reconcile(r, c, "10 days", idempotent=True).collect()}
+    assert got == {i: ("unseparated_candidates", None) for i in (1, 2)}
+    near = c.where("t0 < '2020-01-01'").unionByName(c.where("t0 > '2020-01-01'").withColumns({"t0": F.lit(day(0)), "t1": F.lit(day(0))}))
+    got = {x.event_id: (x.method, x.cid) for x in R.reconcile(r, near, "1 day", idempotent=True).collect()}
+    assert got == {1: ("independent_receipt_binding", "1-0"), 2: ("unseparated_candidates", None)}
 
 
 def test_conditions_give_what_they_must(spark):
