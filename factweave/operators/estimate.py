@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factweave.operators.resample import bootstrap, ratio
+
 
 def record_coverage(edges: DataFrame, key: str) -> DataFrame:
     """n assessable, k supported, the rest excluded, and k / n for each key."""
@@ -45,19 +47,9 @@ def class_scores(rows: DataFrame) -> DataFrame:
 
 
 def bootstrap_mean(rows: DataFrame, value: str, key: str, draws: int = 100, seed: int = 0, id: list[str] | None = None) -> DataFrame:
-    """(key, mean, lower, upper): the mean of a column and the central 95 % of its means over Poisson resamples.
-
-    A row weighs in each draw as often as it would be drawn; sums are combined before they are shuffled, so what
-    moves is one row for each key and draw.  A row's weights come from the hash of its id columns, so they are
-    the same however the rows are dealt out; without id they come from rand(seed), which depends on that.  Null values take no part; a key without values has null bounds.
-    """
-    x = rows.where(F.col(value).isNotNull()).select(key, F.col(value).alias("v"), (F.xxhash64(*id) if id else F.lit(0)).alias("row"))
-    x = x.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws)))).withColumn("u", F.pmod(F.xxhash64("row", "draw", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53) if id else F.rand(seed))
-    bound, p, weight = 0.0, np.exp(-1.0), F.lit(0)
-    for k in range(1, 12):  # one more for each step of the Poisson distribution of mean 1 that u passes
-        bound, p = bound + p, p / k
-        weight = weight + F.when(F.col("u") >= bound, 1).otherwise(0)
-    w = F.when(F.col("draw") == 0, 1).otherwise(weight)  # draw 0 is the rows as they are
-    means = x.withColumn("w", w).groupBy(key, "draw").agg(F.try_divide(F.sum(F.col("v") * F.col("w")), F.sum("w").cast("double")).alias("m"))
-    again = F.when(F.col("draw") > 0, F.col("m"))
-    return means.groupBy(key).agg(F.max(F.when(F.col("draw") == 0, F.col("m"))).alias("mean"), F.percentile(again, 0.025).alias("lower"), F.percentile(again, 0.975).alias("upper"))
+    """(key, mean, lower, upper): the mean of a column and the central 95 % of its means over resamples; null values take
+    no part (see resample.bootstrap).  Without id a row's weights depend on how rows are dealt out."""
+    if id is None:
+        rows, id = rows.withColumn("_row", F.monotonically_increasing_id()), ["_row"]
+    measures = {"total": F.col(value), "known": F.col(value).isNotNull().cast("int")}
+    return bootstrap(rows, key, measures, ratio("total", "known"), id, draws, seed).withColumnRenamed("estimate", "mean")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from factweave.operators import estimate as E
 from factweave.operators import lineage as L
 from factweave.operators import reconcile as R
-from factweave.operators import triage
+from factweave.operators import resample, triage
 from factweave.plans import catalogue as C
 from factweave.plans import contracts  # noqa: F401  (the docket asks its queries)
 from factweave.plans.bindings import based_revisions, bound, table, with_sql
@@ -294,9 +294,45 @@ def score_fabrication(spark, d):
     return x.agg(n(F.col("forged")).alias("fabricated"), n(F.col("forged") & ~F.col("held")).alias("contradicted"), n(F.col("forged") & F.col("held")).alias("missed"), n(~F.col("held") & ~F.col("forged")).alias("false_positives"))
 
 
-@query()
+def _interval_sql(sums: str, statistic: str, estimate: str = "estimate") -> str:
+    stats = f"WITH sums AS ({sums}), s AS (SELECT key, draw, {statistic} AS s FROM sums)"
+    return f"{stats} SELECT key, round(max(s) FILTER (draw = 0), 9) AS {estimate}, round(quantile_cont(s, 0.025) FILTER (draw > 0), 9) AS lower, round(quantile_cont(s, 0.975) FILTER (draw > 0), 9) AS upper FROM s GROUP BY key"
+
+
+_LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+_ROUNDED = ("estimate", "mean", "lower", "upper")
+
+
+def _rounded(x):
+    return x.withColumns({c: F.round(c, 9) for c in _ROUNDED if c in x.columns})
+
+
+@query(_interval_sql(resample.draws_sql("lineitem", "l_returnflag", _LINE, {"total": "CAST(l_quantity AS DOUBLE)", "known": "CAST(l_quantity IS NOT NULL AS INT)"}, 100), "total / nullif(known, 0)", "mean").replace("SELECT key, round", "SELECT key AS l_returnflag, round"))
 def bootstrap_mean(spark, d):
-    return E.bootstrap_mean(table(spark, d, "lineitem"), "l_quantity", "l_returnflag", id=["l_orderkey", "l_linenumber"])
+    return _rounded(E.bootstrap_mean(table(spark, d, "lineitem"), "l_quantity", "l_returnflag", id=_LINE))
+
+
+@query(_interval_sql(resample.draws_sql("lineitem", "l_returnflag", _LINE, {"a": "CAST(l_discount AS DOUBLE) * CAST(l_quantity AS DOUBLE)", "b": "CAST(l_quantity AS DOUBLE)"}, 200, 3), "a / nullif(b, 0)"))
+def bootstrap_ratio(spark, d):
+    """A ratio of two sums by a statistic of the caller's, here discounts weighted by quantity."""
+    q = F.col("l_quantity").cast("double")
+    x = resample.bootstrap(table(spark, d, "lineitem"), "l_returnflag", {"a": F.col("l_discount").cast("double") * q, "b": q}, resample.ratio("a", "b"), _LINE, 200, 3)
+    return _rounded(x.withColumnRenamed("l_returnflag", "key"))
+
+
+@query(_interval_sql(resample.draws_sql("documents", "lang", ["doc_id"], {"long": "CAST(n_chars >= 400 AS INT)"}, 200), "long / n"))
+def bootstrap_share(spark, d):
+    """The share of long documents by language."""
+    x = resample.bootstrap(table(spark, d, "documents"), "lang", {"long": (F.col("n_chars") >= 400).cast("int")}, lambda s: s["long"] / s["n"], ["doc_id"], 200)
+    return _rounded(x.withColumnRenamed("lang", "key"))
+
+
+@query()
+def capture_intervals(spark, d):
+    """How many commitments two listings of the ledger point to, by namespace: the chance of each listing is a hash of the id."""
+    seen = lambda salt: F.pmod(F.xxhash64("event_id", F.lit(salt)), F.lit(10)) < 4
+    n = bound(spark, d, "ledger").groupBy("ns").agg(F.count_if(seen(1)).alias("a"), F.count_if(seen(2)).alias("b"), F.count_if(seen(1) & seen(2)).alias("m"), F.count("*").alias("truth"))
+    return resample.capture_interval(n)
 
 
 _FACTS = {
