@@ -23,6 +23,7 @@ from factweave.llm.common import U64, Rolling, byte_column, keep, row_blocks
 
 LABELLED, CALIBRATION, ROUNDS, SHARE, TABLE, META = 6000, 4000, 4, 5, 1 << 15, 1 << 12
 BLOCK_BYTES, CHUNK, PSEUDO = 1 << 20, 1 << 10, 0.5
+BROADCAST = 2_000_000  # labels of 12 bytes each that every executor may hold
 _KIND = np.zeros(256, np.uint8)  # 1 letter, 2 capital, 3 digit, 4 symbol, 5 space, 6 line end, 7 other bytes
 _KIND[33:127], _KIND[128:] = 4, 7
 _KIND[97:123], _KIND[65:91], _KIND[48:58], _KIND[[9, 11, 12, 13, 32]], _KIND[10] = 1, 2, 3, 5, 6
@@ -235,7 +236,9 @@ def quality(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, threshold:
     spark = docs.sparkSession
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars")]
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
-    given = docs.select(*columns).mapInArrow(_features, FEATURES).join(known, "doc_id", "left")
+    known = keep(known)
+    small = known.count() <= BROADCAST  # beyond it the features are shuffled to their labels
+    given = docs.select(*columns).mapInArrow(_features, FEATURES).join(F.broadcast(known) if small else known, "doc_id", "left")
     order = F.xxhash64("doc_id", F.lit(7))
     rows = keep(given.withColumn("quality", F.coalesce("quality", F.lit(-1))).withColumn("held", F.pmod(order, F.lit(4)) == 0))
     count = {(r["quality"], r["held"]): r["n"] for r in rows.where("quality >= 0").groupBy("quality", "held").agg(F.count("*").alias("n")).collect()}
