@@ -61,8 +61,8 @@ def _answers(spark, d, idempotent=False, records=None):
 
 
 @query(_ladder_sql() + ANSWERS)
-def lq1_attribution(spark, d):
-    return _answers(spark, d)
+def lq1_attribution(spark, d, answers=None):
+    return answers if answers is not None else _answers(spark, d)
 
 
 @query(_ladder_sql() + "SELECT outcome, method, count(*) AS n FROM answers GROUP BY outcome, method")
@@ -223,8 +223,8 @@ def eval_ranking(spark, d):
 
 
 @query(_ladder_sql() + "SELECT event_id % 10 AS part, count(*) FILTER (outcome <> 'not_assessable') AS n, count(*) FILTER (outcome = 'supported') AS k, count(*) FILTER (outcome = 'not_assessable') AS excluded, CAST(count(*) FILTER (outcome = 'supported') AS DOUBLE) / count(*) FILTER (outcome <> 'not_assessable') AS estimate FROM answers GROUP BY 1")
-def coverage_records(spark, d):
-    return E.record_coverage(_answers(spark, d).withColumn("part", F.col("event_id") % 10), "part")
+def coverage_records(spark, d, answers=None):
+    return E.record_coverage(lq1_attribution(spark, d, answers).withColumn("part", F.col("event_id") % 10), "part")
 
 
 @query()
@@ -334,10 +334,10 @@ def integrity(spark, d):
 
 
 @query(_ladder_sql() + "SELECT l.name, l.event_id, l.ts, lag(l.event_id) OVER (PARTITION BY l.name ORDER BY l.ts, l.event_id) AS previous, CASE WHEN a.outcome = 'supported' THEN c.transcript END AS transcript, a.outcome FROM ledger l LEFT JOIN answers a ON a.event_id = l.event_id LEFT JOIN (SELECT cid, any_value(transcript) AS transcript FROM claims GROUP BY cid) c ON c.cid = a.cid")
-def version_history(spark, d):
+def version_history(spark, d, answers=None):
     ledger, claims = bound(spark, d, "ledger"), bound(spark, d, "claims").select("cid", "transcript").dropDuplicates(["cid"])
     history = ordered.ranked(ledger.select("name", "event_id", "ts"), ["name"], [F.col("ts"), F.col("event_id")], previous={"previous": "event_id"})
-    x = history.join(_answers(spark, d).select("event_id", "outcome", "cid"), "event_id", "left").join(claims, "cid", "left")
+    x = history.join(lq1_attribution(spark, d, answers).select("event_id", "outcome", "cid"), "event_id", "left").join(claims, "cid", "left")
     return x.select("name", "event_id", "ts", "previous", F.when(F.col("outcome") == "supported", F.col("transcript")).alias("transcript"), "outcome")
 
 

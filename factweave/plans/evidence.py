@@ -474,8 +474,14 @@ _DOCKET = _docket_parts()
 
 @query(" UNION ALL ".join(_question_sql(id, sql) for id, (_, _, sql) in _DOCKET.items()))
 def docket(spark, d):
+    """One row for each question; what several of them ask of the ladder is answered once."""
+    path = files.scratch(spark, "answers")
+    C.lq1_attribution(spark, d).write.parquet(path)
+    answers = spark.read.parquet(path)
+
     def part(id, name, cond):
-        x = C.QUERIES[name](spark, d)
+        given = {"answers": answers} if name in ("lq1_attribution", "version_history", "coverage_records") else {}
+        x = C.QUERIES[name](spark, d, **given)
         outcome = F.when(F.expr(cond), "supported").otherwise("ambiguous") if cond else F.when(F.col("outcome") == "denied", "contradicted").otherwise(F.col("outcome"))
         return _question(id, x.select(outcome.alias("outcome")))
 
