@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factweave.operators import reconcile as R
-from factweave.plans import assumptions, contracts, evidence, exports, ladder, substrates, transcripts  # noqa: F401  (add their queries)
+from factweave.plans import assumptions, contracts, evidence, exports, facts, ladder, substrates, transcripts  # noqa: F401  (add their queries)
 from factweave.plans.catalogue import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
