@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.sources.files import scratch
+from factweave.sources.files import through
 
 
 def reproduced(texts: DataFrame) -> DataFrame:
     """(rev, first, method): every later row of a digest group to the group's first, by exact bytes or, where
     those differ, by the text with white space collapsed."""
     plain = F.trim(F.regexp_replace("text", r"(?U)\s+", " "))
-    path = scratch(texts.sparkSession, "digests")  # texts are read and digested once
-    texts.select("rev", F.sha2("text", 256).alias("exact"), F.sha2(plain, 256).alias("loose")).write.parquet(path)
-    x = texts.sparkSession.read.parquet(path)
+    x = through(texts.select("rev", F.sha2("text", 256).alias("exact"), F.sha2(plain, 256).alias("loose")), "digests")  # texts are read and digested once
 
     def star(digest: str, method: str):
         first = x.groupBy(digest).agg(F.min("rev").alias("first"))  # added up before the shuffle, so a hot digest is a row a task

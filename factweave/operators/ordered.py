@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factweave.sources.files import scratch
+from factweave.sources.files import through
 
 PLACES = (1 << 33) - 1  # what monotonically_increasing_id() numbers within a partition
 
@@ -29,9 +29,7 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], i
     spark, previous, running = df.sparkSession, previous or {}, running or {}
     keys = [*(F.col(g).asc() for g in group), *order]
     dealt = df.repartitionByRange(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
-    path = scratch(spark, "ordered")
-    dealt.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit(PLACES))}).write.option("compression", "zstd").parquet(path)
-    rows = spark.read.parquet(path)
+    rows = through(dealt.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit(PLACES))}), "ordered")
     sums = {f"_sum_{new}": F.sum(F.coalesce(c, F.lit(0))) for new, c in running.items()}
     lasts = {f"_last_{new}": F.max_by(c, "_at") for new, c in previous.items()}
     slices = rows.groupBy("_range", *group).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"), *(x.alias(n) for n, x in {**sums, **lasts}.items()))

@@ -46,11 +46,10 @@ def bound(spark: SparkSession, sf_dir: str, name: str, rows: DataFrame | None =
     return spark.sql(SQL[name].replace(f"FROM {source}", "FROM {source}"), source=table(spark, sf_dir, source) if rows is None else rows)
 
 
-def based_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The revisions with diff_base, the revision before on the same page; a page may hold any share of them."""
-    revs = bound(spark, sf_dir, "revs")
-    ordered = ranked(revs.withColumn("place", F.col("rev") % 40), ["label", "place"], ["rev"], previous={"diff_base": "rev"})
-    return ordered.drop("place", "rank")
+def based_revisions(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """rev, the columns and diff_base of the revisions: the revision before on the same page, which may hold any share of them."""
+    revs = bound(spark, sf_dir, "revs").select("rev", *columns, F.col("label").alias("of"), (F.col("rev") % 40).alias("place"))
+    return ranked(revs, ["of", "place"], ["rev"], previous={"diff_base": "rev"}).drop("of", "place", "rank")
 
 
 def with_sql(*names: str) -> str:

@@ -102,7 +102,7 @@ def corroborate_pairs(spark, d):
 
 @query(with_sql("revs") + " SELECT a.rev, b.rev AS parent FROM revs a JOIN revs b ON a.diff_base = b.rev AND a.page = b.page")
 def lineage_built_on(spark, d):
-    return L.built_on(based_revisions(spark, d))
+    return L.built_on(based_revisions(spark, d, "page"))
 
 
 @query("""WITH t AS (SELECT doc_id AS rev, CASE WHEN doc_id % 5 = 0 THEN concat('  ', text, ' ') ELSE text END AS text FROM documents),

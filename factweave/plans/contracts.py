@@ -9,12 +9,14 @@ from factweave.operators import lineage as L
 from factweave.operators import receipts as R
 from factweave.plans.bindings import based_revisions, bound, table, with_sql
 from factweave.plans.catalogue import ORACLE_SQL, QUERIES, query
-from factweave.sources import files
+from factweave.sources import files, trace
 
 
 def _through_json(spark, rows, name: str):
     """rows as a source would give them: written as JSON lines and read again."""
     path = files.scratch(spark, name)
+    if trace.active:
+        files.WRITTEN[path] = trace.columns_read(rows)
     rows.write.json(path)
     return spark.read.schema(rows.schema).json(path)
 

@@ -262,7 +262,7 @@ def lineage_located_on(spark, d):
 @query(with_sql("revs") + """, b AS (SELECT a.rev FROM revs a JOIN revs p ON a.diff_base = p.rev AND a.page = p.page WHERE a.rev % 2 = 0), c AS (SELECT DISTINCT label FROM revs WHERE trim(label) <> '' AND rev IN (SELECT rev FROM b))
     SELECT count(*) AS n_population, count(DISTINCT nullif(trim(label), '')) AS n_sampled, (SELECT count(*) FROM c) AS covered FROM revs""")
 def coverage_units(spark, d):
-    revs = based_revisions(spark, d).select("rev", "label", "page", "diff_base")
+    revs = based_revisions(spark, d, "label", "page")
     hit = L.built_on(revs).where("rev % 2 = 0").select("rev", F.lit(True).alias("hit"))
     unit = F.when(F.trim("label") != "", F.col("label"))
     by = revs.join(hit, "rev", "left").groupBy(unit.alias("unit")).agg(F.count("*").alias("m"), F.bool_or(F.coalesce("hit", F.lit(False))).alias("hit"))
@@ -278,7 +278,7 @@ def authorship(spark, d):
 @query(with_sql("revs") + """, p AS (SELECT a.rev, b.rev AS parent FROM revs a JOIN revs b ON a.diff_base = b.rev AND a.page = b.page), t AS (SELECT rev, CASE WHEN rev % 10 = 0 THEN -1 ELSE diff_base END AS parent FROM revs WHERE diff_base IS NOT NULL)
     SELECT count(*) FILTER (p.rev IS NOT NULL AND t.rev IS NOT NULL) AS tp, count(*) FILTER (t.rev IS NULL) AS fp, count(*) FILTER (p.rev IS NULL) AS fn FROM p FULL OUTER JOIN t ON p.rev = t.rev AND p.parent = t.parent""")
 def score_sets(spark, d):
-    revs = based_revisions(spark, d)
+    revs = based_revisions(spark, d, "page")
     p = L.built_on(revs).withColumn("p", F.lit(True))
     t = revs.where("diff_base is not null").select("rev", F.when(F.col("rev") % 10 == 0, -1).otherwise(F.col("diff_base")).alias("parent"), F.lit(True).alias("t"))
     both = p.join(t, ["rev", "parent"], "full_outer")
@@ -475,9 +475,7 @@ _DOCKET = _docket_parts()
 @query(" UNION ALL ".join(_question_sql(id, sql) for id, (_, _, sql) in _DOCKET.items()))
 def docket(spark, d):
     """One row for each question; what several of them ask of the ladder is answered once."""
-    path = files.scratch(spark, "answers")
-    C.lq1_attribution(spark, d).write.parquet(path)
-    answers = spark.read.parquet(path)
+    answers = files.through(C.lq1_attribution(spark, d), "answers")
 
     def part(id, name, cond):
         given = {"answers": answers} if name in ("lq1_attribution", "version_history", "coverage_records") else {}

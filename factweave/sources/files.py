@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from factweave.sources import trace
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder of spark.checkpoint.dir; a temporary folder only where the session is local and has none."""
@@ -21,6 +23,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: While plans are traced (operators.trace): what the tables written on the way were made from, by path.
+WRITTEN: dict[str, set[tuple[str, str]]] = {}
+
+
+def through(df: DataFrame, name: str) -> DataFrame:
+    """df written to a new path in the shared folder and read again."""
+    path = scratch(df.sparkSession, name)
+    if trace.active:
+        WRITTEN[path] = trace.columns_read(df)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cited_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, text, sha256) of every line that is not blank; line counts physical lines from 1, blank ones too.
 
