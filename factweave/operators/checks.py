@@ -68,6 +68,34 @@ def relation_violations(edges: DataFrame) -> DataFrame:
     return sums.select(F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("n")) for r in rules))).alias("x")).select("x.*")
 
 
+def attribution_violations(edges: DataFrame, behind: DataFrame, claims: DataFrame) -> DataFrame:
+    """(rule, n) over what substrate.attribute() and reconcile.kept() gave: edges (event_id, outcome, n_candidates, cid,
+    witnesses), the claims behind them (event_id, cid, witness, citation) and all claims (cid, witness).
+
+    A supported edge has one claim, which is its object; every edge has a witness; as many claims stand behind an edge as
+    it says; each is cited, exists, was seen by the witness it names, and that witness is among its edge's.
+    """
+    by = behind.groupBy("event_id").agg(F.count("*").alias("m"), F.min("cid").alias("only"))
+    e = edges.select("event_id", "outcome", "n_candidates", "cid", "witnesses").join(by, "event_id", "left").withColumn("m", F.coalesce("m", F.lit(0)))
+    good = F.col("outcome") == "supported"
+    of_edges = {
+        "supported_by_other_than_one": good & ((F.col("n_candidates") != 1) | F.col("cid").isNull()), "object_not_candidate": good & ~F.col("cid").eqNullSafe(F.col("only")),
+        "no_witness": F.size("witnesses") < 1, "candidates_differ": F.col("n_candidates") != F.col("m"),
+    }
+    c = claims.select(F.col("cid").alias("known"), F.col("witness").alias("seen_by")).distinct()
+    b = behind.join(edges.select("event_id", "witnesses"), "event_id").join(c, F.col("cid") == F.col("known"), "left")
+    of_claims = {
+        "not_cited": F.col("citation").isNull(), "claim_unknown": F.col("known").isNull(), "seen_by_another": F.col("known").isNotNull() & ~F.col("witness").eqNullSafe(F.col("seen_by")),
+        "witness_not_named": ~F.coalesce(F.array_contains("witnesses", F.col("witness")), F.lit(False)),
+    }
+
+    def counted(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
+        sums = rows.agg(*(F.count_if(F.coalesce(bad, F.lit(False))).alias(name) for name, bad in rules.items()))
+        return sums.select(F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("n")) for r in rules))).alias("x")).select("x.*")
+
+    return counted(e, of_edges).unionByName(counted(b, of_claims))
+
+
 def declaration_violations(domains: DataFrame) -> DataFrame:
     """(rule, n) over trust declarations (id, related_to): repeated, unknown or one-sided."""
     ids = domains.select(F.col("id").alias("related_to")).distinct()

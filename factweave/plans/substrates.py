@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from factweave.operators import checks
 from factweave.operators import reconcile as R
 from factweave.operators import substrate as S
 from factweave.plans.bindings import bound, with_sql
@@ -95,3 +96,18 @@ def substrate_wiki(spark, d):
     stored = r.unionByName(r.where("rev % 9 = 0")).withColumn("witness", F.lit("archive"))
     edges, _ = S.attribute(S.wiki_saves(), saves, stored, repeated="skip")
     return edges.select("event_id", "n_candidates", "outcome", "cid", F.array_join("witnesses", " ").alias("witnesses"))
+
+
+@query(_SQL + """, edges AS (SELECT event_id, outcome, CASE WHEN event_id % 7 = 3 THEN n_candidates + 1 ELSE n_candidates END AS n_candidates, event_id % 11 = 4 AS bare FROM answers), b AS (SELECT *, event_id % 5 = 1 AS uncited, event_id % 6 = 2 AS lost FROM behind)
+    SELECT 'supported_by_other_than_one' AS rule, count(*) AS n FROM edges WHERE outcome = 'supported' AND event_id % 7 = 3 UNION ALL SELECT 'object_not_candidate', 0 UNION ALL SELECT 'no_witness', count(*) FROM edges WHERE bare
+    UNION ALL SELECT 'candidates_differ', count(*) FROM edges WHERE event_id % 7 = 3 UNION ALL SELECT 'not_cited', count(*) FROM b WHERE uncited UNION ALL SELECT 'claim_unknown', count(*) FROM b WHERE lost UNION ALL SELECT 'seen_by_another', 0
+    UNION ALL SELECT 'witness_not_named', count(*) FROM b WHERE event_id % 11 = 4""")
+def attribution_invariants(spark, d):
+    """The invariants over what reconciliation gave, after some edges lost their witnesses (11) or count one claim too many
+    (7), some claims their citation (5), and some were taken out of the source (6), by their records' ids."""
+    edges, pairs = _attributed(spark, d)
+    edges, k = edges.withColumn("k", F.col("event_id").cast("long")), F.col("k")
+    behind = R.kept(pairs, edges).withColumn("citation", F.when(F.col("event_id").cast("long") % 5 != 1, F.col("citation")))
+    bad = edges.withColumn("witnesses", F.when(k % 11 == 4, F.array().cast("array<string>")).otherwise(F.col("witnesses"))).withColumn("n_candidates", F.col("n_candidates") + F.when(k % 7 == 3, 1).otherwise(0))
+    source = spark.sql(CLAIMS.replace("FROM claims", "FROM {claims}"), claims=bound(spark, d, "claims")).where("event_id % 6 <> 2").select("cid", "witness")
+    return checks.attribution_violations(bad, behind, source)
