@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factweave.operators import reconcile as R
+from factweave.sources.files import through
 
 DECLARED = 10_000  # relations that a case may declare; they are read as one map
 
@@ -80,7 +81,7 @@ def attribute(kind: Substrate, records: DataFrame, claims: DataFrame, trust: Tru
     r = kind.records(records)
     if repeated == "refuse":
         R.refuse_repeated(claims.select(_column(kind.claim["cid"]).alias("cid")))
-    c = kind.claims(claims)
+    c = through(kind.claims(claims), "claims")  # what claims say is read once, whatever it takes to parse it
     if kind.published:
         on = (F.col("name") == F.col("claim_name")) & (F.col("ns").isNull() | (F.col("ns") == F.col("claim_ns")))
         pairs = r.join(c.drop("payload"), on, "left").withColumn("has", F.col("cid").isNotNull())
