@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -25,13 +26,15 @@ class Substrate:
     payload, idem (a first creation makes later ones no-ops), witness.  claim: cid, keys (an array of structs ns, name: what
     it says it made; none: no claim), and where it has them event_id, attested (the version it speaks of), token,
     payload, t0, t1, witness, citation.  by_event: a claim names its record's id.  published: no clock or receipt is to
-    be weighed; one claim of the record's key is what was published, several can't be told apart.
+    be weighed; one claim of the record's key is what was published, several can't be told apart.  parse adds columns to the
+    claims' rows that their expressions share.
     """
 
     record: dict[str, Column | str]
     claim: dict[str, Column | str]
     by_event: bool = True
     published: bool = False
+    parse: Callable[[DataFrame], DataFrame] = lambda rows: rows
 
     def records(self, rows: DataFrame) -> DataFrame:
         kinds = {"ns": "string", "name": "string", "sha": "string", "token_sha": "string", "ts": "timestamp", "payload": "string", "idem": "boolean", "witness": "string"}
@@ -42,7 +45,7 @@ class Substrate:
         """One row for each key that a claim creates."""
         kinds = {"attested": "string", "token": "string", "payload": "string", "t0": "timestamp", "t1": "timestamp", "witness": "string", "citation": "string"}
         absent = {c: F.lit(None).cast(t) for c, t in kinds.items() if c not in self.claim}
-        x = rows.select(*(_column(v).alias(k) for k, v in {**self.claim, **absent}.items())).withColumn("key", F.explode("keys"))
+        x = self.parse(rows).select(*(_column(v).alias(k) for k, v in {**self.claim, **absent}.items())).withColumn("key", F.explode("keys"))
         return x.withColumns({"claim_ns": F.col("key.ns"), "claim_name": F.col("key.name")}).drop("keys", "key")
 
 
@@ -111,14 +114,18 @@ def registry(function: str = "registry_write") -> Substrate:
     from factweave.operators import receipts
 
     event = {c: F.col(c) for c in ("function", "name", "namespace", "payload", "error", "pending", "truncated")}
-    said = lambda p: F.try_variant_get(F.try_parse_json("receipt"), f"$.{p}", "string")
+    fields = ("namespace", "name", "event_id", "sha256", "receipt_token")
+    read = lambda r: F.struct(*(F.try_variant_get(r, f"$.{p}", "string").alias(p) for p in fields))
+    parse = lambda rows: rows.withColumns({"_ok": receipts.well_formed(event, F.col("receipt"), function), "_said": F.transform(F.array(F.try_parse_json("receipt")), read)[0]})
+    said = lambda p: F.col(f"_said.{p}")
     key = F.array(F.struct(said("namespace").alias("ns"), said("name").alias("name")))
     return Substrate(
         record={"event_id": "cast(event_id as string)"} | {c: c for c in ("ns", "name", "sha", "token_sha", "ts", "payload", "idem", "witness")},
         claim={
-            "cid": "cid", "keys": F.when(receipts.well_formed(event, F.col("receipt"), function), key), "event_id": said("event_id"), "attested": said("sha256"), "token": said("receipt_token"),
+            "cid": "cid", "keys": F.when(F.col("_ok"), key), "event_id": said("event_id"), "attested": said("sha256"), "token": said("receipt_token"),
             "payload": "payload", "t0": "t0", "t1": "t1", "witness": "witness", "citation": "citation",
         },
+        parse=parse,
     )
 
 

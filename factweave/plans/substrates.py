@@ -9,6 +9,7 @@ from factweave.operators import reconcile as R
 from factweave.operators import substrate as S
 from factweave.plans.bindings import bound, with_sql
 from factweave.plans.catalogue import query
+from factweave.sources.files import through
 
 # Records without a name (29), a namespace (13), a digest (19) or a time (31) by divisors of their ids; claims of another
 # namespace (7), name (11) or payload (4), or whose receipts were refused (17), by their transcripts.
@@ -32,7 +33,7 @@ def _events(spark, d):
     c = spark.sql(CLAIMS.replace("FROM claims", "FROM {claims}"), claims=bound(spark, d, "claims"))
     receipt = F.to_json(F.struct("accepted", "name", "namespace", F.sha2("payload", 256).alias("sha256"), F.col("event_id").cast("string").alias("event_id"), F.col("token").alias("receipt_token")))
     no = F.lit(False)
-    return c.select("cid", "t0", "t1", "witness", "name", "namespace", "payload", receipt.alias("receipt"), F.lit("registry_write").alias("function"), F.lit(None).cast("string").alias("error"), no.alias("pending"), no.alias("truncated"), F.concat(F.lit("c-"), "cid").alias("citation"))
+    return through(c.select("cid", "t0", "t1", "witness", "name", "namespace", "payload", receipt.alias("receipt"), F.lit("registry_write").alias("function"), F.lit(None).cast("string").alias("error"), no.alias("pending"), no.alias("truncated"), F.concat(F.lit("c-"), "cid").alias("citation")), "events")
 
 
 def _trust(spark):
