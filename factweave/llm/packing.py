@@ -9,6 +9,7 @@ packing groups apart; so waste falls with the group size and not with the number
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -34,6 +35,8 @@ def _tokenizer(path: str | None):
 
 
 _TAIL = ".,#$%&*|!?;:"
+#: Letters that the tokenizer leaves as they are but for their case, each to one letter (U+0130 becomes two).
+_LETTERS = "A-Za-zÀ-ÖØ-öø-\u012f\u0131-\u024f"
 #: How byte-level vocabularies write the 256 bytes: printable ones as themselves, the others from U+0100 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: chr(b) for b in _PLAIN} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in _PLAIN)}
@@ -42,8 +45,10 @@ _BYTES = {b: chr(b) for b in _PLAIN} | {b: chr(256 + k) for k, b in enumerate(x
 class _Words:
     """Ids of distinct words, appended as they come up; emptied when it holds too many.
 
-    A word is kept as its stem and the punctuation after it, which the tokenizer parts as well.  A stem of Latin
-    letters is one unit to the tokenizer's model, so the steps before the model are skipped for it.
+    A word of Latin letters with punctuation after it is kept as these two, which the tokenizer parts as well.
+    Such letters are one unit to the tokenizer's model, so the steps before the model are skipped for them.  Any
+    other word is encoded as it is: its signs may join with that punctuation, or its letters compose before their
+    case is changed.
     """
 
     def __init__(self, tokenizer, most: int = 200_000):
@@ -75,17 +80,17 @@ class _Words:
             self.clear()
         if not self.letters:
             return self._codes(words), np.zeros(len(words), np.int64)
-        stems = pc.utf8_rtrim(words, characters=_TAIL)
-        if not pc.any(pc.match_substring(words, "\u0130")).as_py():  # one letter that becomes two
-            stems = pc.utf8_lower(stems)
-        return self._codes(stems), self._codes(pc.struct_field(pc.extract_regex(words, f"(?P<tail>[{_TAIL}]*)$"), [0]))
+        plain = pc.match_substring_regex(words, f"^[{_LETTERS}]*[{_TAIL}]*$")
+        stems = pc.if_else(plain, pc.utf8_lower(pc.utf8_rtrim(words, characters=_TAIL)), words)
+        tails = pc.if_else(plain, pc.struct_field(pc.extract_regex(words, f"(?P<tail>[{_TAIL}]*)$"), [0]), "")
+        return self._codes(stems), self._codes(tails)
 
     def _codes(self, words: pa.Array) -> np.ndarray:
         words = words.dictionary_encode()
         distinct, at, rest = words.dictionary.to_pylist(), self.at, []
         for w in distinct:
             if w not in at:
-                if self.letters and w.isalpha() and max(w) < "\u0250":
+                if self.letters and re.fullmatch(f"[{_LETTERS}]+", w):
                     self._add(w, self._model(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES)))
                 else:
                     rest.append(w)

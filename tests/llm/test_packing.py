@@ -2,6 +2,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -32,6 +33,15 @@ def test_ids_and_places(spark):
         assert end <= 2048
 
 
+def test_ids_of_odd_words():
+    """Signs that join with the punctuation after them, letters that compose only in one case, one letter that becomes two."""
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["İ WORD É", "(see it). [x], 'a', \"b\"!", "H\u0331 T\u0308", "x\u037e; a\u1fef.", "don't. 'S, 3.14, 50%.", "a<|endoftext|>. B", "ƀɎ! ŉ; ǅ", "e\u0301. ²³,"]
+    for together in (texts, *([t] for t in texts)):
+        ids, bounds = P.token_ids(pa.array(together), P._Words(tok), None)
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [e.ids for e in tok.encode_batch(together, add_special_tokens=False)]
+
+
 def test_few_sequences():
     lengths = np.minimum(np.random.default_rng(0).lognormal(6, 1, 20_000).astype(int) + 1, 2048)
     bins, _ = P.sum_of_squares(lengths, 2048)
