@@ -3,9 +3,10 @@
 Equal vectors are one node.  The first graph joins each node with the others of its blocks in a few random
 one-dimensional orders, whose cells grow in number with the table.  A round of NN-descent brings, by joins on both
 edge directions, every node's neighbours together in one place, compares the pairs that hold a new edge, proposes
-each member's PROPOSED best partners there, and keeps each node's DEGREE best; rounds go on until fewer than one in
-1 / DELTA edges are new.  Joined rows carry vectors as 4-bit codes, so the rounds are cheap; scores that leave the
-operator are exact.  A query starts at its own node and expands the unexpanded ones among its FRONT best nodes,
+each member's PROPOSED best partners there, and keeps each node's DEGREE best; rounds go on until less than DELTA of
+the edges that two steps meet are new.  Joined rows carry vectors scaled by a power of two, in the precision they were given in, and
+are compared in double precision, so near-copies and vectors about one common point are told apart; scores that leave
+the operator are exact.  A query starts at its own node and expands the unexpanded ones among its FRONT best nodes,
 EXPAND at a step, until there are none.  Results are expanded from nodes to rows, of
 which a node keeps as many smallest ids as a result can hold, so ties stay exact under any number of copies.
 """
@@ -22,40 +23,40 @@ from factweave.llm.vectors import matrix, usable
 
 DEGREE, REVERSE, TREES, BLOCK, PROPOSED, DELTA = 44, 24, 4, 128, 12, 0.03
 FRONT, EXPAND, BEAM = 96, 32, 128
-LOG = 1200  # above the logarithm of any double's inverse
+LOG = 2500  # above the logarithm of the inverse of any scaled product that isn't zero
 
-EDGE, MARKED = "u long, v long, s float", "u long, v long, s float, new boolean"
+EDGE, MARKED = "u long, v long, s double", "u long, v long, s double, new boolean"
 
 
-def _encode(dim: int, signs: int):
-    """Adds an order key for each random direction and the 4-bit code (the scale's logarithm, then components)."""
+def _encode(dim: int, signs: int, kind: str):
+    """Adds an order key for each random direction and the code (exponent and bytes a component, then components)."""
 
     def rows(batches):
         axes = np.random.default_rng(5).normal(size=(dim, TREES * signs))
         for batch in batches:
             if batch.num_rows:
                 x = matrix(batch.column(1))
-                most = np.abs(x).max(1)
-                x = x / most[:, None]
+                up = np.frexp(np.abs(x).max(1))[1]
+                x = np.ldexp(x, -up[:, None])
                 p = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ axes
                 gray = []
                 for t in range(TREES):  # nearby in the order: the same signs in most directions
                     bits = (p[:, t * signs : (t + 1) * signs] > 0).astype(np.int64)
                     flip = np.bitwise_xor.accumulate(bits, axis=1)
                     gray.append(flip @ (1 << np.arange(signs - 1, -1, -1)) + 0.0)
-                code = (np.round(7 * x) + 8).astype(np.uint8)
-                code = (code[:, ::2] << 4) | np.pad(code[:, 1::2], ((0, 0), (0, dim % 2)), constant_values=8)
-                raw = [np.float32(s).tobytes() + c.tobytes() for s, c in zip(np.log2(most), code, strict=True)]
+                head = np.stack([up, np.full(len(up), np.dtype(kind).itemsize)], 1).astype("<i4")
+                raw = [h.tobytes() + c.tobytes() for h, c in zip(head, x.astype(kind), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary()), pa.array(list(np.stack(gray, 1)), pa.list_(pa.float64()))], names=["u", "code", "orders"])
 
     return rows
 
 
 def _decode(col) -> tuple[np.ndarray, np.ndarray]:
-    """(components of 4-bit codes, scales' logarithms); an odd number of components gets a zero more."""
+    """(scaled components, scales' logarithms) of codes."""
     raw = np.frombuffer(b"".join(x.as_buffer() for x in col), np.uint8).reshape(len(col), -1)
-    code = np.stack([raw[:, 4:] >> 4, raw[:, 4:] & 15], 2).reshape(len(col), -1)
-    return code.astype(np.float32) - 8, np.ascontiguousarray(raw[:, :4]).view(np.float32).ravel()
+    head = np.ascontiguousarray(raw[:, :8]).view("<i4")
+    kind = f"<f{head[0, 1]}" if len(head) else "<f8"
+    return np.ascontiguousarray(raw[:, 8:]).view(kind).astype(np.float64), head[:, 0].astype(np.float64)
 
 
 def _measure(dot: np.ndarray, log: np.ndarray) -> np.ndarray:
@@ -77,7 +78,7 @@ def _best(owner: np.ndarray, other: np.ndarray, score: np.ndarray, k: int, new:
 
 
 def _edges(u, v, s) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(s.astype(np.float32))], names=["u", "v", "s"])
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(s.astype(np.float64))], names=["u", "v", "s"])
 
 
 def _block_edges(batches):
@@ -149,21 +150,28 @@ def _top(k: int):
     return rows
 
 
+def _moving(graph: DataFrame) -> float:
+    """The share of new edges among those that two steps from any node meet: where few nodes are the neighbours of
+    most, it is their edges that count."""
+    met = graph.groupBy(F.col("v").alias("u")).agg(F.count("*").alias("times"))
+    new, all_ = graph.groupBy("u").agg(F.count("*").alias("n"), F.count_if("new").alias("new")).join(met, "u").agg(F.sum(F.col("times") * F.col("new")), F.sum(F.col("times") * F.col("n"))).first()
+    return new / all_ if all_ else 0.0
+
+
 def build_graph(nodes: DataFrame) -> DataFrame:
     """(u, v, s) with up to DEGREE neighbours v of every node u, from nodes (u, code, orders)."""
     n = width(nodes.sparkSession)
     start = None
     for t in range(TREES):
-        order = nodes.select("u", "code", F.col("orders")[t].alias("o"))
-        made = order.repartitionByRange(max(2, n // 4), "o", "u").sortWithinPartitions("o", "u").select("u", "code").mapInArrow(_block_edges, EDGE)
+        order = nodes.select("u", "code", F.col("orders")[t].alias("o"), F.xxhash64("u", F.lit(t)).alias("tie"))  # a cell of many parts otherwise each time
+        made = order.repartitionByRange(max(2, n // 4), "o", "tie").sortWithinPartitions("o", "tie").select("u", "code").mapInArrow(_block_edges, EDGE)
         start = made if start is None else start.unionByName(made)
     best = lambda e: keep(e.repartition(n, "u").sortWithinPartitions("u").mapInArrow(_top(DEGREE), MARKED))
     graph = best(start.withColumn("new", F.lit(True)))
-    edges = graph.count()
-    while graph.where("new").count() > DELTA * edges:
+    while _moving(graph) > DELTA:
         back = graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "new").withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("new"), F.xxhash64("u", "v"))))
         both = graph.select("u", "v", "new").unionByName(back.where(f"rank <= {REVERSE}").drop("rank")).groupBy("u", "v").agg(F.max("new").alias("new"))
-        low = graph.groupBy("u").agg(F.when(F.count("*") < DEGREE, F.lit(float("-inf"))).otherwise(F.min("s")).cast("float").alias("low"))
+        low = graph.groupBy("u").agg(F.when(F.count("*") < DEGREE, F.lit(float("-inf"))).otherwise(F.min("s")).alias("low"))
         member = nodes.select(F.col("u").alias("v"), "code").join(low.withColumnRenamed("u", "v"), "v")
         better = both.join(member, "v").repartition(n, "u").sortWithinPartitions("u").mapInArrow(_local_join, EDGE)
         next_ = best(graph.withColumn("new", F.lit(False)).unionByName(better.withColumn("new", F.lit(True))))
@@ -203,6 +211,7 @@ def search(df: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, id: str
     rows = keep(usable(df, id, vector).where("key is not null"))
     by_id = F.row_number().over(Window.partitionBy("key").orderBy("vec_id"))
     first = keep(rows.distinct().withColumn("at", by_id).where(f"at <= {k + 1}"))
+    kind = "<f4" if df.schema[vector].dataType.elementType.typeName() == "float" else "<f8"
     nodes = keep(first.where("at = 1").select(F.col("vec_id").alias("u"), "key", F.length("key").alias("size")))
     sizes = [r["size"] for r in nodes.select("size").distinct().collect()]
     asked = rows.where(queries).distinct().join(nodes.select("key", "u"), "key").select(F.col("vec_id").alias("query_id"), "u")
@@ -212,7 +221,7 @@ def search(df: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20, id: str
     for size in sizes:
         own = nodes.where(F.col("size") == size)
         signs = min(50, max(12, (own.count() // BLOCK).bit_length() + 4))
-        codes = keep(own.select("u", "key").mapInArrow(_encode(size // 8, signs), "u long, code binary, orders array<double>"))
+        codes = keep(own.select("u", "key").mapInArrow(_encode(size // 8, signs, kind), "u long, code binary, orders array<double>"))
         graph = build_graph(codes)
         turned = F.row_number().over(Window.partitionBy("u").orderBy(F.xxhash64("u", "v")))
         back = graph.select(F.col("v").alias("u"), F.col("u").alias("v")).withColumn("rank", turned).where(f"rank <= {REVERSE}").drop("rank")

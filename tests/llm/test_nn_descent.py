@@ -68,3 +68,15 @@ def test_any_magnitude(spark, low, high, k):
         assert len(found) == k
         hit += len({j for _, j in want} & set(found)) / k
     assert len(got) == 10 and hit / 10 >= 0.9
+
+
+@pytest.mark.parametrize("kind", ["array<double>", "array<float>"])
+def test_recall_among_near_copies(spark, kind):
+    """Vectors about a few points, and about one that all share: coarse codes and orders don't tell them apart."""
+    rng = np.random.default_rng(3)
+    for x in (rng.normal(size=(5, 32))[np.arange(1500) % 5] + 0.001 * rng.normal(size=(1500, 32)), 1 + 0.01 * rng.normal(size=(1500, 32))):
+        x = x.astype(np.float32).astype(float)
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], f"vec_id long, embedding {kind}").repartition(3)
+        want = brute(range(1500), x, range(0, 1500, 20), 20)
+        hit = sum(r.vec_id in {j for j, _ in want[r.query_id]} for r in N.search(df).collect())
+        assert hit / (20 * len(want)) >= 0.9
