@@ -46,6 +46,13 @@ def bound(spark: SparkSession, sf_dir: str, name: str, rows: DataFrame | None =
     return spark.sql(SQL[name].replace(f"FROM {source}", "FROM {source}"), source=table(spark, sf_dir, source) if rows is None else rows)
 
 
+def by_event(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The ledger or the claims, dealt by their events' ids: what moves is the source's rows, and what derives from them,
+    digests of 64 signs among it, is made where a join on event_id then takes place."""
+    key = {"ledger": "o_orderkey", "claims": "l_orderkey"}[name]
+    return bound(spark, sf_dir, name, table(spark, sf_dir, _FROM[name]).repartition(key))
+
+
 def based_revisions(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """rev, the columns and diff_base of the revisions: the revision before on the same page, which may hold any share of them."""
     revs = bound(spark, sf_dir, "revs").select("rev", *columns, F.col("label").alias("of"), (F.col("rev") % 40).alias("place"))

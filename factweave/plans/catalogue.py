@@ -11,7 +11,7 @@ from factweave.operators import ordered
 from factweave.operators import lineage as L
 from factweave.operators import reconcile as R
 from factweave.operators import triage
-from factweave.plans.bindings import based_revisions, bound, table, with_sql
+from factweave.plans.bindings import based_revisions, bound, by_event, table, with_sql
 from factweave.sources import files
 
 QUERIES: dict = {}
@@ -85,7 +85,7 @@ def reconcile_idempotent(spark, d):
 def lq5_absent_claims(spark, d):
     records = bound(spark, d, "ledger")
     declared = records.where("ns <> 'P' or event_id % 10 <> 0").select("ns", "event_id")  # P's declaration leaves ids out
-    return R.absent_claims(bound(spark, d, "claims"), records, bound(spark, d, "population"), declared=declared)
+    return R.absent_claims(by_event(spark, d, "claims"), records, bound(spark, d, "population"), declared=declared)
 
 
 @query(with_sql("ledger", "claims") + """, x AS (SELECT cid, c.event_id, indep, CASE WHEN token_sha IS NULL THEN 'unavailable' WHEN token IS NULL THEN 'unbound' WHEN sha256(token) = token_sha THEN 'bound' ELSE 'mismatch' END AS bind FROM claims c JOIN ledger l ON l.event_id = c.event_id)

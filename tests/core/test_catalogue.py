@@ -122,3 +122,15 @@ def test_conditions_share_one_shuffle(spark, capsys):
     assumptions._decided(spark, SF).explain()
     plan = capsys.readouterr().out
     assert plan.count("Exchange hashpartitioning(event_id") + plan.count("BroadcastExchange") <= 2 and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("name", ["lq5_absent_claims"])
+def test_claims_move_before_their_digests_are_made(spark, name):
+    """Where no side is broadcast, claims are dealt by their source's key, and the claims without a record aren't sorted for it."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange hashpartitioning(l_orderkey" in plan
+    assert name != "lq5_absent_claims" or "ShuffledHashJoin [event_id" in plan
