@@ -91,7 +91,7 @@ def lq5_absent_claims(spark, d):
 @query(with_sql("ledger", "claims") + """, x AS (SELECT cid, c.event_id, indep, CASE WHEN token_sha IS NULL THEN 'unavailable' WHEN token IS NULL THEN 'unbound' WHEN sha256(token) = token_sha THEN 'bound' ELSE 'mismatch' END AS bind FROM claims c JOIN ledger l ON l.event_id = c.event_id)
     SELECT cid, event_id, bind, CASE WHEN bind = 'mismatch' AND indep THEN 'contradicted' ELSE 'ambiguous' END AS outcome FROM x WHERE bind IN ('mismatch', 'unbound')""")
 def lq5_binding_checks(spark, d):
-    return R.binding_checks(bound(spark, d, "claims"), bound(spark, d, "ledger"))
+    return R.binding_checks(by_event(spark, d, "claims"), by_event(spark, d, "ledger"))
 
 
 @query(with_sql("tools", "execs") + """ SELECT tool, exec, CASE WHEN exec IS NULL THEN 'no_pair' WHEN t.cmd <> e.cmd THEN 'unmatched' WHEN t.output IS NULL OR e.output IS NULL THEN 'not_assessable' WHEN t.output = e.output THEN 'supported' ELSE 'contradicted' END AS outcome

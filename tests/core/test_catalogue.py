@@ -124,7 +124,7 @@ def test_conditions_share_one_shuffle(spark, capsys):
     assert plan.count("Exchange hashpartitioning(event_id") + plan.count("BroadcastExchange") <= 2 and "Cartesian" not in plan and "NestedLoop" not in plan
 
 
-@pytest.mark.parametrize("name", ["lq5_absent_claims"])
+@pytest.mark.parametrize("name", ["lq5_absent_claims", "lq5_binding_checks"])
 def test_claims_move_before_their_digests_are_made(spark, name):
     """Where no side is broadcast, claims are dealt by their source's key, and the claims without a record aren't sorted for it."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
