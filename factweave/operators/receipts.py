@@ -14,10 +14,11 @@ def well_formed(event: dict[str, Column], receipt: Column, function: str) -> Col
     receipt must be accepted, name the same name and, where given, namespace and payload, digest the payload, and
     hold a string namespace and event id.
     """
-    return F.transform(F.array(F.try_parse_json(receipt)), lambda r: _confirms(event, r, function))[0]  # parsed once
+    return F.transform(F.array(F.try_parse_json(receipt)), lambda r: confirms(event, r, function))[0]  # parsed once
 
 
-def _confirms(event: dict[str, Column], r: Column, function: str) -> Column:
+def confirms(event: dict[str, Column], r: Column, function: str) -> Column:
+    """well_formed() for a receipt that is parsed already."""
     text = lambda path: F.try_variant_get(r, f"$.{path}", "string")
     kind = lambda path: F.schema_of_variant(F.try_variant_get(r, f"$.{path}", "variant"))
     is_text = lambda path: F.coalesce(kind(path) == "STRING", F.lit(False))

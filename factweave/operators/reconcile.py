@@ -40,7 +40,8 @@ def candidates(records: DataFrame, claims: DataFrame, bound: str | float | None,
 
     keyed: a claim must also give the record's name (claim_name) and, where the record has one, its namespace
     (claim_ns).  versions: a digest that the claim attests must be the record's where both are known.  These are
-    conditions of the one equi-join, never a join of their own.  A record's ts_lower, if it has the column, is the
+    conditions of the one equi-join, never a join of their own, and no keys of it: rows are dealt by the event alone, as
+    the aggregation needs them.  A record's ts_lower, if it has the column, is the
     earliest time it may have been made; without a value nothing is too early.  Tokens are digested before the join,
     once for each claim.  What the sources' declarations say of a record's observers may stand in its column trusted, else
     each claim says it in indep.  vary changes the joined pairs before
@@ -53,7 +54,7 @@ def candidates(records: DataFrame, claims: DataFrame, bound: str | float | None,
     told = [c for c in ("trusted", "record_witness") if c in records.columns]
     on = F.col("event_id") == F.col("claim_event")
     if keyed:
-        on &= (F.col("name") == F.col("claim_name")) & (F.col("ns").isNull() | (F.col("ns") == F.col("claim_ns")))
+        on &= F.coalesce(F.col("name") == F.col("claim_name"), F.lit(False)) & (F.col("ns").isNull() | (F.col("ns") == F.col("claim_ns")))
     if versions:
         on &= F.col("sha").isNull() | F.col("attested").isNull() | (F.col("sha") == F.col("attested"))
     given = records.select("event_id", "ns", "token_sha", "ts", "idem", *lower, *told, *["name"] * keyed, *["sha"] * versions, *["payload"] * payloads)
@@ -96,21 +97,22 @@ def reconcile(records: DataFrame, claims: DataFrame, bound: str | float | None =
     keeps the join's partitioning, evidence is shuffled once for all assumptions.
     """
     x = candidates(records, claims, bound, keyed, versions, payloads, vary)
+    timed = idempotent and bound is not None
+    if timed:  # the join has sorted by event, so this neither moves nor sorts rows again
+        fits = F.when(F.col("idem") & F.col("fit"), F.struct("t0", "t1", "cid", "bind", "authentic", "exclusive", *["witness"] * witnesses))
+        x = x.withColumn("f", fits).withColumn("earliest", F.min("f").over(Window.partitionBy("event_id", *per)))
     n = lambda c: F.count_if(F.col(c))
     best = lambda c: F.max(F.when(F.col(c), F.struct("cid", "bind", "authentic", "exclusive")))
     sums = x.groupBy("event_id", *per).agg(
         n("has").alias("n_all"), n("rem").alias("n_rem"), n("untimed").alias("n_untimed"), n("late").alias("n_late"), n("off").alias("n_off"), n("fit").alias("n_fit"),
         F.coalesce(F.first("trusted") if "trusted" in x.columns else F.bool_and("indep"), F.lit(False)).alias("independent"), best("fit").alias("one"), F.first("ns").alias("ns"), F.first("idem").alias("idem"),
         *([F.first("name").alias("name")] if keyed else []),
+        *([F.first("earliest").alias("earliest"), F.min(F.when(F.col("f") > F.col("earliest"), F.col("f.t0"))).alias("next")] if timed else []),
         *([n("exact").alias("n_exact"), n("close").alias("n_close"), best("close").alias("near")] if payloads else []),
         *([F.collect_set(F.when(F.col(c), F.col("witness"))).alias(f"w_{c}") for c in ("has", "rem", "fit", "close")] + [F.first("record_witness").alias("record_witness")] if witnesses else []),
     ).withColumn("left", F.lit("fit"))
-    if idempotent and bound is not None:
-        keys, first = ["event_id", *per], F.col("earliest")
-        fits = x.where("idem and fit").select(*keys, F.struct("t0", "t1", "cid", "bind", "authentic", "exclusive", *["witness"] * witnesses).alias("f"))
-        firsts = fits.groupBy(*keys).agg(F.min("f").alias("earliest"))
-        nexts = fits.join(firsts, keys).where("f > earliest").groupBy(*keys).agg(F.min("f.t0").alias("next"))  # two steps, so no event's claims are one array
-        sums = sums.join(firsts, keys, "left").join(nexts, keys, "left")
+    if timed:
+        first = F.col("earliest")
         alone = F.coalesce(F.col("earliest.t1") + clock_bound(bound, 2) < F.col("next"), F.lit(False))
         sums = sums.withColumn("one", F.when(alone, F.struct(first["cid"].alias("cid"), first["bind"].alias("bind"), first["authentic"].alias("authentic"), first["exclusive"].alias("exclusive"))).otherwise(F.col("one"))).withColumn("left", F.when(alone, "first").otherwise(F.col("left"))).withColumn("n_fit", F.when(alone, F.lit(1)).otherwise(F.col("n_fit")))
     if payloads:
@@ -130,7 +132,7 @@ def reconcile(records: DataFrame, claims: DataFrame, bound: str | float | None =
         stage = F.when(F.col("method").isin("field_check", "key_and_version"), "none").when(F.col("method") == "receipt_binding_mismatch", "has")
         stage = stage.when(F.col("method").isin("contradiction_R3", "execution_window_disjoint", "clock_bound_missing"), "rem").otherwise(F.col("left"))
         of = F.when(stage == "none", F.array()).when(stage == "has", F.col("w_has")).when(stage == "rem", F.col("w_rem")).when(stage == "close", F.col("w_close")).otherwise(F.col("w_fit"))
-        if idempotent and bound is not None:
+        if timed:
             of = F.when(stage == "first", F.array_compact(F.array("earliest.witness"))).otherwise(of)
         more = [F.array_sort(F.array_union(F.array_compact(F.array("record_witness")), of)).alias("witnesses"), stage.alias("left"), F.col("one.cid").alias("first")]
     return out.select("event_id", *per, "outcome", "method", count.cast("long").alias("n_candidates"), F.when(F.col("outcome") == "supported", F.col("one.cid")).alias("cid"), *more)

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factweave.operators import reconcile as R
-from factweave.sources.files import through
+from factweave.sources.files import in_buckets, through
 
 DECLARED = 10_000  # relations that a case may declare; they are read as one map
 
@@ -41,11 +41,15 @@ class Substrate:
         absent = {c: F.lit(None).cast(t) for c, t in kinds.items() if c not in self.record}
         return rows.select(*(_column(v).alias(k) for k, v in {**self.record, **absent}.items())).withColumnRenamed("witness", "record_witness").withColumn("idem", F.coalesce("idem", F.lit(False)))
 
-    def claims(self, rows: DataFrame) -> DataFrame:
-        """One row for each key that a claim creates."""
+    def said(self, rows: DataFrame) -> DataFrame:
+        """What claims say, a row each."""
         kinds = {"attested": "string", "token": "string", "payload": "string", "t0": "timestamp", "t1": "timestamp", "witness": "string", "citation": "string"}
         absent = {c: F.lit(None).cast(t) for c, t in kinds.items() if c not in self.claim}
-        x = self.parse(rows).select(*(_column(v).alias(k) for k, v in {**self.claim, **absent}.items())).withColumn("key", F.explode("keys"))
+        return self.parse(rows).select(*(_column(v).alias(k) for k, v in {**self.claim, **absent}.items()))
+
+    def claims(self, said: DataFrame) -> DataFrame:
+        """One row for each key that a claim creates; said: what said() gives, written, so no filter on the keys parses again."""
+        x = said.withColumn("key", F.explode("keys"))
         return x.withColumns({"claim_ns": F.col("key.ns"), "claim_name": F.col("key.name")}).drop("keys", "key")
 
 
@@ -74,18 +78,19 @@ class Trust:
         return F.when(F.size(domains) == 1, "same").when(all_are("independent"), "independent").when(all_are("same"), "same").otherwise("unknown")
 
 
-def attribute(kind: Substrate, records: DataFrame, claims: DataFrame, trust: Trust | None = None, bound: str | float | None = None, repeated: str = "refuse") -> tuple[DataFrame, DataFrame]:
+def attribute(kind: Substrate, records: DataFrame, claims: DataFrame, trust: Trust | None = None, bound: str | float | None = None, repeated: str = "refuse", dealt: bool = False) -> tuple[DataFrame, DataFrame]:
     """(edges, pairs): which claim explains each record, and what reconcile.kept() takes for the claims behind an edge.
 
     edges: event_id, outcome, method, n_candidates, cid, witnesses, left, first.  A record's observers are its own witness and
     all that claim its key, so trust is taken over their domains (a witness without one makes it unknown).  repeated:
-    refuse raises where an id stands on several claims, before anything is judged; skip takes their word.
+    refuse raises where an id stands on several claims, before anything is judged; skip takes their word.  dealt: claims of an
+    event lie together already.  What claims say is kept in buckets of the event, so both results and kept() read it where it lies.
     """
     r = kind.records(records)
     if repeated == "refuse":
         R.refuse_repeated(claims.select(_column(kind.claim["cid"]).alias("cid")))
-    c = through(kind.claims(claims), "claims")  # what claims say is read once, whatever it takes to parse it
     if kind.published:
+        c = kind.claims(through(kind.said(claims), "claims"))  # what claims say is read once, whatever it takes to parse it
         on = (F.col("name") == F.col("claim_name")) & (F.col("ns").isNull() | (F.col("ns") == F.col("claim_ns")))
         pairs = r.join(c.drop("payload"), on, "left").withColumn("has", F.col("cid").isNotNull())
         n = F.count("cid")
@@ -95,10 +100,12 @@ def attribute(kind: Substrate, records: DataFrame, claims: DataFrame, trust: Tru
         return edges.select("event_id", "outcome", "method", "n_candidates", F.when(F.col("outcome") == "supported", F.col("one")).alias("cid"), F.array_sort(F.array_union(F.array_compact(F.array("record_witness")), "w")).alias("witnesses"), F.lit("has").alias("left"), F.col("one").alias("first")), pairs
     if trust is None or not kind.by_event:
         raise ValueError("claims that name no record's id, or sources of unknown trust, can't be reconciled by the ladder")
-    c = trust.domain_of(c, "witness", "domain")
+    trust = replace(trust, witnesses=through(trust.witnesses, "witnesses"))  # a table with a size, so a small one is sent to the rows
+    c = trust.domain_of(kind.claims(in_buckets(kind.said(claims), "claims", "event_id", dealt)), "witness", "domain")
     member = lambda s: F.col("domain").isin(*s) if s else F.lit(False)
     c = c.withColumns({"authentic": F.coalesce(member(trust.authentic), F.lit(False)), "exclusive": F.coalesce(member(trust.exclusive), F.lit(False))})
     by_key = c.groupBy(F.col("claim_ns").alias("k_ns"), F.col("claim_name").alias("k_name")).agg(F.collect_set(F.coalesce("domain", F.lit("?"))).alias("seen"))
+    by_key = through(by_key, "observers")
     r = trust.domain_of(r, "record_witness", "own")
     r = r.join(by_key, (F.col("ns") == F.col("k_ns")) & (F.col("name") == F.col("k_name")), "left")
     domains = F.array_sort(F.array_union(F.array(F.coalesce("own", F.lit("?"))), F.coalesce("seen", F.array().cast("array<string>"))))
@@ -116,7 +123,7 @@ def registry(function: str = "registry_write") -> Substrate:
     event = {c: F.col(c) for c in ("function", "name", "namespace", "payload", "error", "pending", "truncated")}
     fields = ("namespace", "name", "event_id", "sha256", "receipt_token")
     read = lambda r: F.struct(*(F.try_variant_get(r, f"$.{p}", "string").alias(p) for p in fields))
-    parse = lambda rows: rows.withColumns({"_ok": receipts.well_formed(event, F.col("receipt"), function), "_said": F.transform(F.array(F.try_parse_json("receipt")), read)[0]})
+    parse = lambda rows: rows.withColumn("_r", F.try_parse_json("receipt")).withColumns({"_ok": receipts.confirms(event, F.col("_r"), function), "_said": read(F.col("_r"))})
     said = lambda p: F.col(f"_said.{p}")
     key = F.array(F.struct(said("namespace").alias("ns"), said("name").alias("name")))
     return Substrate(

@@ -46,11 +46,12 @@ def bound(spark: SparkSession, sf_dir: str, name: str, rows: DataFrame | None =
     return spark.sql(SQL[name].replace(f"FROM {source}", "FROM {source}"), source=table(spark, sf_dir, source) if rows is None else rows)
 
 
-def by_event(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def by_event(spark: SparkSession, sf_dir: str, name: str, text: bool = False) -> DataFrame:
     """The ledger or the claims, dealt by their events' ids: what moves is the source's rows, and what derives from them,
-    digests of 64 signs among it, is made where a join on event_id then takes place."""
+    digests of 64 signs among it, is made where a join on event_id then takes place (text: on the id as text, with as many parts as shuffles have)."""
     key = {"ledger": "o_orderkey", "claims": "l_orderkey"}[name]
-    return bound(spark, sf_dir, name, table(spark, sf_dir, _FROM[name]).repartition(key))
+    rows = table(spark, sf_dir, _FROM[name])
+    return bound(spark, sf_dir, name, rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col(key).cast("string")) if text else rows.repartition(key))
 
 
 def based_revisions(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

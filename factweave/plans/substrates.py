@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from factweave.operators import checks
 from factweave.operators import reconcile as R
 from factweave.operators import substrate as S
-from factweave.plans.bindings import bound, with_sql
+from factweave.plans.bindings import bound, by_event, with_sql
 from factweave.plans.catalogue import query
-from factweave.sources.files import through
 
 # Records without a name (29), a namespace (13), a digest (19) or a time (31) by divisors of their ids; claims of another
 # namespace (7), name (11) or payload (4), or whose receipts were refused (17), by their transcripts.
@@ -25,15 +24,15 @@ BOUND = "365 days"
 
 
 def _records(spark, d):
-    return spark.sql(RECORDS.replace("FROM ledger", "FROM {ledger}"), ledger=bound(spark, d, "ledger"))
+    return spark.sql(RECORDS.replace("FROM ledger", "FROM {ledger}"), ledger=by_event(spark, d, "ledger", text=True))
 
 
 def _events(spark, d):
     """Claims as tool events: arguments and a JSON receipt."""
-    c = spark.sql(CLAIMS.replace("FROM claims", "FROM {claims}"), claims=bound(spark, d, "claims"))
+    c = spark.sql(CLAIMS.replace("FROM claims", "FROM {claims}"), claims=by_event(spark, d, "claims", text=True))
     receipt = F.to_json(F.struct("accepted", "name", "namespace", F.sha2("payload", 256).alias("sha256"), F.col("event_id").cast("string").alias("event_id"), F.col("token").alias("receipt_token")))
     no = F.lit(False)
-    return through(c.select("cid", "t0", "t1", "witness", "name", "namespace", "payload", receipt.alias("receipt"), F.lit("registry_write").alias("function"), F.lit(None).cast("string").alias("error"), no.alias("pending"), no.alias("truncated"), F.concat(F.lit("c-"), "cid").alias("citation")), "events")
+    return c.select("cid", "t0", "t1", "witness", "name", "namespace", "payload", receipt.alias("receipt"), F.lit("registry_write").alias("function"), F.lit(None).cast("string").alias("error"), no.alias("pending"), no.alias("truncated"), F.concat(F.lit("c-"), "cid").alias("citation"))
 
 
 def _trust(spark):
@@ -41,7 +40,7 @@ def _trust(spark):
 
 
 def _attributed(spark, d):
-    return S.attribute(S.registry(), _records(spark, d), _events(spark, d), _trust(spark), BOUND, repeated="skip")
+    return S.attribute(S.registry(), _records(spark, d), _events(spark, d), _trust(spark), BOUND, repeated="skip", dealt=True)
 
 
 _CASE = " ".join(f"WHEN '{w}' THEN '{x}'" for w, x in DOMAINS.items())

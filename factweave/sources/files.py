@@ -36,6 +36,18 @@ def through(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_buckets(df: DataFrame, name: str, key: str, dealt: bool = False) -> DataFrame:
+    """through(), in as many buckets of key as shuffles have parts: joins and groupings by key then move none of its rows.
+    dealt: df's rows lie together by key already (else they are dealt out once); it changes no row, only the number of files."""
+    spark, path, n = df.sparkSession, scratch(df.sparkSession, name), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if trace.active:
+        WRITTEN[path] = trace.columns_read(df)
+    at = f"factweave_{uuid.uuid4().hex}"
+    rows = df if dealt else df.repartition(n, key)
+    rows.write.option("path", path).option("compression", "zstd").bucketBy(n, key).saveAsTable(at)
+    return spark.table(at)
+
+
 def cited_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, text, sha256) of every line that is not blank; line counts physical lines from 1, blank ones too.
 

@@ -75,3 +75,26 @@ def test_relation_of_domains(spark):
     t = S.Trust(None, relations={("b", "a"): "independent", ("a", "c"): "independent", ("b", "c"): "same"})
     x = spark.createDataFrame([(["a"],), (["a", "b"],), (["a", "b", "c"],), (["b", "c"],), (["a", "d"],), ([],)], "d array<string>")
     assert [r[0] for r in x.select(t.relation(F.col("d"))).collect()] == ["same", "independent", "unknown", "same", "unknown", "unknown"]
+
+
+@pytest.mark.parametrize("name", ["substrate_registry", "substrate_candidates"])
+def test_claims_stay_where_they_are_kept(spark, name):
+    """Only records are dealt out, as their source's rows: claims meet them, and edges the claims, in the buckets they were written in."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    try:
+        plan = getattr(substrates, name)(spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line or "Exchange SinglePartition" in line]
+    assert dealt and all("hashpartitioning(cast(o_orderkey" in line for line in dealt)
+    assert "SortMergeJoin [event_id" in plan and "claim_name#" not in plan.split("SortMergeJoin [event_id")[1].split("]")[0]
+
+
+def test_first_of_equal_claims_is_followed_by_another(spark):
+    """A claim that stands twice is not what follows the first."""
+    day = lambda n: dt.datetime(2020, 1, 1) + dt.timedelta(days=n)
+    r = spark.createDataFrame([(i, "n", None, day(0), True, day(-20)) for i in (1, 2)], "event_id long, ns string, token_sha string, ts timestamp, idem boolean, ts_lower timestamp")
+    c = [(f"{i}-{a}", i, day(a), day(a), None, True, True, True) for i, days in ((1, (-15, -15, -1, 0)), (2, (-15, -15, -14))) for a in days]
+    c = spark.createDataFrame(c, "cid string, event_id long, t0 timestamp, t1 timestamp, token string, authentic boolean, exclusive boolean, indep boolean")
+    got = {x.event_id: (x.method, x.n_candidates) for x in R.reconcile(r, c, "5 days", idempotent=True).collect()}
+    assert got == {1: ("independent_receipt", 1), 2: ("unseparated_candidates", 3)}
