@@ -82,11 +82,13 @@ def attribution_violations(edges: DataFrame, behind: DataFrame, claims: DataFram
         "supported_by_other_than_one": good & ((F.col("n_candidates") != 1) | F.col("cid").isNull()), "object_not_candidate": good & ~F.col("cid").eqNullSafe(F.col("only")),
         "no_witness": F.size("witnesses") < 1, "candidates_differ": F.col("n_candidates") != F.col("m"),
     }
-    c = claims.select(F.col("cid").alias("known"), F.col("witness").alias("seen_by")).distinct()
-    b = behind.join(edges.select("event_id", "witnesses"), "event_id").join(c, F.col("cid") == F.col("known"), "left")
+    c = claims.select(F.col("cid").alias("known"), F.col("witness").alias("seen_by")).repartition("known").distinct()  # dealt once, as the join needs it
+    named = F.coalesce(F.array_contains("witnesses", F.col("witness")), F.lit(False))
+    b = behind.join(edges.select("event_id", "witnesses"), "event_id").select("cid", "witness", F.col("citation").isNull().alias("bare"), named.alias("named"))
+    b = b.join(c, F.col("cid") == F.col("known"), "left")
     of_claims = {
-        "not_cited": F.col("citation").isNull(), "claim_unknown": F.col("known").isNull(), "seen_by_another": F.col("known").isNotNull() & ~F.col("witness").eqNullSafe(F.col("seen_by")),
-        "witness_not_named": ~F.coalesce(F.array_contains("witnesses", F.col("witness")), F.lit(False)),
+        "not_cited": F.col("bare"), "claim_unknown": F.col("known").isNull(), "seen_by_another": F.col("known").isNotNull() & ~F.col("witness").eqNullSafe(F.col("seen_by")),
+        "witness_not_named": ~F.col("named"),
     }
 
     def counted(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:

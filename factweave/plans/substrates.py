@@ -9,6 +9,7 @@ from factweave.operators import reconcile as R
 from factweave.operators import substrate as S
 from factweave.plans.bindings import bound, by_event, with_sql
 from factweave.plans.catalogue import query
+from factweave.sources.files import in_buckets
 
 # Records without a name (29), a namespace (13), a digest (19) or a time (31) by divisors of their ids; claims of another
 # namespace (7), name (11) or payload (4), or whose receipts were refused (17), by their transcripts.
@@ -106,8 +107,10 @@ def attribution_invariants(spark, d):
     """The invariants over what reconciliation gave, after some edges lost their witnesses (11) or count one claim too many
     (7), some claims their citation (5), and some were taken out of the source (6), by their records' ids."""
     edges, pairs = _attributed(spark, d)
+    edges = in_buckets(edges, "edges", "event_id", dealt=True)  # both are asked several times
+    behind = in_buckets(R.kept(pairs, edges), "behind", "event_id", dealt=True)
     edges, k = edges.withColumn("k", F.col("event_id").cast("long")), F.col("k")
-    behind = R.kept(pairs, edges).withColumn("citation", F.when(F.col("event_id").cast("long") % 5 != 1, F.col("citation")))
+    behind = behind.withColumn("citation", F.when(F.col("event_id").cast("long") % 5 != 1, F.col("citation")))
     bad = edges.withColumn("witnesses", F.when(k % 11 == 4, F.array().cast("array<string>")).otherwise(F.col("witnesses"))).withColumn("n_candidates", F.col("n_candidates") + F.when(k % 7 == 3, 1).otherwise(0))
     source = spark.sql(CLAIMS.replace("FROM claims", "FROM {claims}"), claims=bound(spark, d, "claims")).where("event_id % 6 <> 2").select("cid", "witness")
     return checks.attribution_violations(bad, behind, source)
