@@ -74,8 +74,9 @@ class Trust:
         known = {f"{min(a, b)}|{max(a, b)}": r for (a, b), r in self.relations.items()}
         table = F.create_map(*(F.lit(x) for kv in known.items() for x in kv)) if known else F.lit(None).cast("map<string, string>")
         pairs = F.flatten(F.transform(domains, lambda a: F.transform(F.filter(domains, lambda b: b > a), lambda b: F.coalesce(F.try_element_at(table, F.concat(a, F.lit("|"), b)), F.lit("unknown")))))
-        all_are = lambda r: (F.size(pairs) > 0) & F.forall(pairs, lambda p: p == r)
-        return F.when(F.size(domains) == 1, "same").when(all_are("independent"), "independent").when(all_are("same"), "same").otherwise("unknown")
+        all_are = lambda x, r: (F.size(x) > 0) & F.forall(x, lambda p: p == r)
+        said = F.transform(F.array(pairs), lambda x: F.when(all_are(x, "independent"), "independent").when(all_are(x, "same"), "same").otherwise("unknown"))[0]  # pairs are made once
+        return F.when(F.size(domains) == 1, "same").otherwise(said)
 
 
 def attribute(kind: Substrate, records: DataFrame, claims: DataFrame, trust: Trust | None = None, bound: str | float | None = None, repeated: str = "refuse", dealt: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -109,7 +110,8 @@ def attribute(kind: Substrate, records: DataFrame, claims: DataFrame, trust: Tru
     r = trust.domain_of(r, "record_witness", "own")
     r = r.join(by_key, (F.col("ns") == F.col("k_ns")) & (F.col("name") == F.col("k_name")), "left")
     domains = F.array_sort(F.array_union(F.array(F.coalesce("own", F.lit("?"))), F.coalesce("seen", F.array().cast("array<string>"))))
-    r = r.withColumn("trusted", (trust.relation(domains) == "independent") & ~F.array_contains(domains, "?")).drop("own", "k_ns", "k_name", "seen")
+    r = r.withColumn("domains", domains)  # a column, so they are sorted once and not for each use
+    r = r.withColumn("trusted", (trust.relation(F.col("domains")) == "independent") & ~F.array_contains("domains", "?")).drop("own", "k_ns", "k_name", "seen", "domains")
     how = {"keyed": True, "versions": True, "payloads": True}
     edges = R.reconcile(r, c, bound, idempotent=True, witnesses=True, **how)
     return edges, R.candidates(r, c, bound, **how)
