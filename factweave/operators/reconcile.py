@@ -35,7 +35,7 @@ def clock_bound(bound: str | float | None, times: int = 1) -> Column | None:
     return F.expr(f"{times} * interval {float(bound):.6f} seconds")
 
 
-def candidates(records: DataFrame, claims: DataFrame, bound: str | float | None, keyed: bool = False, versions: bool = False, payloads: bool = False, vary: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def candidates(records: DataFrame, claims: DataFrame, bound: str | float | None, keyed: bool = False, versions: bool = False, payloads: bool = False, vary: Callable[[DataFrame], DataFrame] | None = None, told: tuple[str, ...] = ()) -> DataFrame:
     """Each record with its claims by event id (or none), and what the ladder asks of each pair.
 
     keyed: a claim must also give the record's name (claim_name) and, where the record has one, its namespace
@@ -45,19 +45,19 @@ def candidates(records: DataFrame, claims: DataFrame, bound: str | float | None,
     earliest time it may have been made; without a value nothing is too early.  Tokens are digested before the join,
     once for each claim.  What the sources' declarations say of a record's observers may stand in its column trusted, else
     each claim says it in indep.  vary changes the joined pairs before
-    they are judged, and may repeat them under other assumptions (see reconcile()).
+    they are judged, and may repeat them under other assumptions (see reconcile()).  told: more of the claims' columns.
     """
     extra = ["claim_ns", "claim_name"] * keyed + ["attested"] * versions
-    extra += [c for c in ("indep", "witness", "citation") if c in claims.columns]
+    extra += [c for c in ("indep", "witness", "citation") if c in claims.columns] + [*told]
     named = claims.select(F.col("event_id").alias("claim_event"), "cid", "t0", "t1", F.sha2("token", 256).alias("digest"), "authentic", "exclusive", *extra, *([F.col("payload").alias("claim_payload")] if payloads else []))
     lower = [c for c in ("ts_lower",) if c in records.columns]
-    told = [c for c in ("trusted", "record_witness") if c in records.columns]
+    observed = [c for c in ("trusted", "record_witness") if c in records.columns]
     on = F.col("event_id") == F.col("claim_event")
     if keyed:
         on &= F.coalesce(F.col("name") == F.col("claim_name"), F.lit(False)) & (F.col("ns").isNull() | (F.col("ns") == F.col("claim_ns")))
     if versions:
         on &= F.col("sha").isNull() | F.col("attested").isNull() | (F.col("sha") == F.col("attested"))
-    given = records.select("event_id", "ns", "token_sha", "ts", "idem", *lower, *told, *["name"] * keyed, *["sha"] * versions, *["payload"] * payloads)
+    given = records.select("event_id", "ns", "token_sha", "ts", "idem", *lower, *observed, *["name"] * keyed, *["sha"] * versions, *["payload"] * payloads)
     pair = given.join(named, on, "left")
     if vary:
         pair = vary(pair)
@@ -81,7 +81,7 @@ def candidates(records: DataFrame, claims: DataFrame, bound: str | float | None,
     )
 
 
-def reconcile(records: DataFrame, claims: DataFrame, bound: str | float | None = "365 days", idempotent: bool = False, keyed: bool = False, versions: bool = False, payloads: bool = False, vary: Callable[[DataFrame], DataFrame] | None = None, per: tuple[str, ...] = (), witnesses: bool = False) -> DataFrame:
+def reconcile(records: DataFrame, claims: DataFrame, bound: str | float | None = "365 days", idempotent: bool = False, keyed: bool = False, versions: bool = False, payloads: bool = False, vary: Callable[[DataFrame], DataFrame] | None = None, per: tuple[str, ...] = (), witnesses: bool = False, told: tuple[str, ...] = ()) -> DataFrame:
     """event_id, outcome, method, n_candidates and the claim (if supported) of every record.
 
     One shuffle on the event id serves the join and the aggregation; the rules are one CASE over its counts, so
@@ -90,19 +90,21 @@ def reconcile(records: DataFrame, claims: DataFrame, bound: str | float | None =
     a keyed record without a name can't be matched (field_check).  payloads: of several fitting claims, those with
     another payload than the record's go where one has the same.  Without a bound nothing is timed
     (clock_bound_missing).  Ids of claims are unique: see refuse_repeated().  witnesses adds those of the record
-    (record_witness) and of the claims that were left (witness), and what kept() needs.
+    (record_witness) and of the claims that were left (witness), and what kept() needs.  told: columns of the claims that
+    come back, at the end, with the claim of a supported record.
 
     vary repeats each joined pair under several assumptions, told apart by the columns per, which come back; a pair
     without cid counts as a record without that claim, and where clock is false nothing is timed.  As it follows the join and the aggregation
     keeps the join's partitioning, evidence is shuffled once for all assumptions.
     """
-    x = candidates(records, claims, bound, keyed, versions, payloads, vary)
+    x = candidates(records, claims, bound, keyed, versions, payloads, vary, told)
+    named = ("cid", "bind", "authentic", "exclusive", *told)
     timed = idempotent and bound is not None
     if timed:  # the join has sorted by event, so this neither moves nor sorts rows again
-        fits = F.when(F.col("idem") & F.col("fit"), F.struct("t0", "t1", "cid", "bind", "authentic", "exclusive", *["witness"] * witnesses))
+        fits = F.when(F.col("idem") & F.col("fit"), F.struct("t0", "t1", *named, *["witness"] * witnesses))
         x = x.withColumn("f", fits).withColumn("earliest", F.min("f").over(Window.partitionBy("event_id", *per)))
     n = lambda c: F.count_if(F.col(c))
-    best = lambda c: F.max(F.when(F.col(c), F.struct("cid", "bind", "authentic", "exclusive")))
+    best = lambda c: F.max(F.when(F.col(c), F.struct(*named)))
     sums = x.groupBy("event_id", *per).agg(
         n("has").alias("n_all"), n("rem").alias("n_rem"), n("untimed").alias("n_untimed"), n("late").alias("n_late"), n("off").alias("n_off"), n("fit").alias("n_fit"),
         F.coalesce(F.first("trusted") if "trusted" in x.columns else F.bool_and("indep"), F.lit(False)).alias("independent"), best("fit").alias("one"), F.first("ns").alias("ns"), F.first("idem").alias("idem"),
@@ -114,10 +116,10 @@ def reconcile(records: DataFrame, claims: DataFrame, bound: str | float | None =
     if timed:
         first = F.col("earliest")
         alone = F.coalesce(F.col("earliest.t1") + clock_bound(bound, 2) < F.col("next"), F.lit(False))
-        sums = sums.withColumn("one", F.when(alone, F.struct(first["cid"].alias("cid"), first["bind"].alias("bind"), first["authentic"].alias("authentic"), first["exclusive"].alias("exclusive"))).otherwise(F.col("one"))).withColumn("left", F.when(alone, "first").otherwise(F.col("left"))).withColumn("n_fit", F.when(alone, F.lit(1)).otherwise(F.col("n_fit")))
+        sums = sums.withColumn("one", F.when(alone, F.struct(*(first[c].alias(c) for c in named))).otherwise(F.col("one"))).withColumn("left", F.when(alone, "first").otherwise(F.col("left"))).withColumn("n_fit", F.when(alone, F.lit(1)).otherwise(F.col("n_fit")))
     if payloads:
-        told = (F.col("n_fit") > 1) & (F.col("n_exact") > 0)
-        sums = sums.withColumns({"left": F.when(told, "close").otherwise(F.col("left")), "one": F.when(told, F.col("near")).otherwise(F.col("one")), "n_fit": F.when(told, F.col("n_close")).otherwise(F.col("n_fit"))})
+        parted = (F.col("n_fit") > 1) & (F.col("n_exact") > 0)
+        sums = sums.withColumns({"left": F.when(parted, "close").otherwise(F.col("left")), "one": F.when(parted, F.col("near")).otherwise(F.col("one")), "n_fit": F.when(parted, F.col("n_close")).otherwise(F.col("n_fit"))})
     rule = F.when(F.col("name").isNull(), "field_check") if keyed else F.when(F.lit(False), "field_check")
     rule = rule.when((F.col("n_all") > 0) & (F.col("n_rem") == 0), "receipt_binding_mismatch").when(F.col("n_rem") == 0, "key_and_version")
     rule = rule.when(F.col("n_untimed") > 0, "clock_bound_missing").when(F.col("n_late") == F.col("n_rem"), "contradiction_R3")
@@ -135,7 +137,8 @@ def reconcile(records: DataFrame, claims: DataFrame, bound: str | float | None =
         if timed:
             of = F.when(stage == "first", F.array_compact(F.array("earliest.witness"))).otherwise(of)
         more = [F.array_sort(F.array_union(F.array_compact(F.array("record_witness")), of)).alias("witnesses"), stage.alias("left"), F.col("one.cid").alias("first")]
-    return out.select("event_id", *per, "outcome", "method", count.cast("long").alias("n_candidates"), F.when(F.col("outcome") == "supported", F.col("one.cid")).alias("cid"), *more)
+    its = lambda c: F.when(F.col("outcome") == "supported", F.col(f"one.{c}")).alias(c)
+    return out.select("event_id", *per, "outcome", "method", count.cast("long").alias("n_candidates"), its("cid"), *more, *(its(c) for c in told))
 
 
 def kept(pairs: DataFrame, edges: DataFrame) -> DataFrame:

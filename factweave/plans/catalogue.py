@@ -56,13 +56,13 @@ def _ladder_sql(idempotent: bool = False, ns: str = "ns", n: str = "") -> str:
 ANSWERS = "SELECT event_id, outcome, method, n_candidates, cid FROM answers"
 
 
-def _answers(spark, d, idempotent=False, records=None):
-    return R.reconcile(records if records is not None else bound(spark, d, "ledger"), bound(spark, d, "claims"), idempotent=idempotent)
+def _answers(spark, d, idempotent=False, records=None, told=()):
+    return R.reconcile(records if records is not None else bound(spark, d, "ledger"), bound(spark, d, "claims"), idempotent=idempotent, told=told)
 
 
 @query(_ladder_sql() + ANSWERS)
 def lq1_attribution(spark, d, answers=None):
-    return answers if answers is not None else _answers(spark, d)
+    return (answers if answers is not None else _answers(spark, d)).select("event_id", "outcome", "method", "n_candidates", "cid")
 
 
 @query(_ladder_sql() + "SELECT outcome, method, count(*) AS n FROM answers GROUP BY outcome, method")
@@ -335,10 +335,11 @@ def integrity(spark, d):
 
 @query(_ladder_sql() + "SELECT l.name, l.event_id, l.ts, lag(l.event_id) OVER (PARTITION BY l.name ORDER BY l.ts, l.event_id) AS previous, CASE WHEN a.outcome = 'supported' THEN c.transcript END AS transcript, a.outcome FROM ledger l LEFT JOIN answers a ON a.event_id = l.event_id LEFT JOIN (SELECT cid, any_value(transcript) AS transcript FROM claims GROUP BY cid) c ON c.cid = a.cid")
 def version_history(spark, d, answers=None):
-    ledger, claims = bound(spark, d, "ledger"), bound(spark, d, "claims").select("cid", "transcript").dropDuplicates(["cid"])
+    """answers: those of _answers() with the transcript of their claim, which the ladder has at hand."""
+    ledger, answers = bound(spark, d, "ledger"), answers if answers is not None else _answers(spark, d, told=("transcript",))
     history = ordered.ranked(ledger.select("name", "event_id", "ts"), ["name"], [F.col("ts"), F.col("event_id")], previous={"previous": "event_id"})
-    x = history.join(lq1_attribution(spark, d, answers).select("event_id", "outcome", "cid"), "event_id", "left").join(claims, "cid", "left")
-    return x.select("name", "event_id", "ts", "previous", F.when(F.col("outcome") == "supported", F.col("transcript")).alias("transcript"), "outcome")
+    x = history.join(answers.select("event_id", "outcome", "transcript"), "event_id", "left")
+    return x.select("name", "event_id", "ts", "previous", "transcript", "outcome")
 
 
 @query(with_sql("revs") + ", p AS (SELECT label, count(*) AS stored, max(body_len) AS denominator FROM revs GROUP BY label) SELECT label, stored, denominator, CAST(stored AS DOUBLE) / denominator AS retention FROM p WHERE denominator > 0 AND stored <= denominator")

@@ -475,7 +475,7 @@ _DOCKET = _docket_parts()
 @query(" UNION ALL ".join(_question_sql(id, sql) for id, (_, _, sql) in _DOCKET.items()))
 def docket(spark, d):
     """One row for each question; what several of them ask of the ladder is answered once."""
-    answers = files.through(C.lq1_attribution(spark, d), "answers")
+    answers = files.through(C._answers(spark, d, told=("transcript",)), "answers")
 
     def part(id, name, cond):
         given = {"answers": answers} if name in ("lq1_attribution", "version_history", "coverage_records") else {}

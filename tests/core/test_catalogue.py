@@ -118,6 +118,23 @@ def test_conditions_give_what_they_must(spark):
     assert all(x.passed for x in got.values())
 
 
+def test_history_takes_the_transcript_from_the_ladder(spark):
+    """No second reading of the claims, no join by their ids, in which all records without a claim would meet in one task."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES["version_history"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("lineitem.parquet") == 1 and "hashpartitioning(cid" not in plan
+
+
+def test_told_columns_are_those_of_the_claim(spark):
+    r = spark.createDataFrame([(i, "n", SHA, day(0), True, day(-20)) for i in (1, 2)], RECORD + ", ts_lower timestamp_ntz")
+    c = spark.createDataFrame([("1-b", 1, day(-15), day(-15), "t", True, True, True, 7), ("1-c", 1, day(0), day(0), "t", True, True, True, 8), ("2-a", 2, day(9), day(9), "t", True, True, True, 9)], CLAIM + ", transcript long")
+    got = {x.event_id: (x.cid, x.transcript) for x in R.reconcile(r, c, "5 days", idempotent=True, told=("transcript",)).collect()}
+    assert got == {1: ("1-b", 7), 2: (None, None)}
+
+
 def test_conditions_share_one_shuffle(spark, capsys):
     assumptions._decided(spark, SF).explain()
     plan = capsys.readouterr().out
