@@ -80,10 +80,89 @@ def json_fragment(text: Column, path: str, type: str) -> Column:
     return F.try_variant_get(F.try_parse_json(text), path, type)
 
 
+#: Larger files are digested in pieces of about so many bytes, each by a task of its own.
+PIECE = 128 << 20
+
+
 def inventory(spark: SparkSession, pattern: str) -> DataFrame:
-    """(name, bytes, sha256) of the files that match; each file, of 2 GB at most, is read whole by one task."""
+    """(name, bytes, sha256) of the files that match.
+
+    A file above PIECE is read by its splits, as lines of bytes, and digested in pieces one after the other: a task takes
+    the digest's state over from the piece before, so none reads more than a piece (and the line across its end) of a file.
+    Only files that are named as compressed ones are read whole by one task however large, and 2 GB is their limit.
+    """
     f = spark.read.format("binaryFile").load(pattern)
-    return f.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    name, packed = F.element_at(F.split("path", "/"), -1).alias("name"), r"(?i)\.(gz|bz2|deflate|snappy|lz4|zst|lzo|xz|br|passthrough)$"
+    large = (F.col("_metadata.file_size") > PIECE) & ~F.col("_metadata.file_path").rlike(packed)  # by what is known before a file is opened
+    whole = f.where(~large).select(name, F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    found = f.where(large).select(name, "length", F.col("_metadata.file_path").alias("file")).collect()
+    if not found:
+        return whole
+    digests = _chained(spark.read.option("lineSep", "\n").text(pattern).where(large), {r.file: r.length for r in found})
+    return whole.unionByName(spark.createDataFrame([(r.name, r.length, digests[r.file]) for r in found], "name string, bytes long, sha256 string"))
+
+
+def _chained(rows: DataFrame, sizes: dict[str, int]) -> dict[str, str]:
+    """SHA-256 of each file of sizes (its bytes by its path) from its lines; what is kept here is a state for each."""
+    spark, path, mark = rows.sparkSession, scratch(rows.sparkSession, "pieces"), b"\xef\xbb\xbf"
+
+    def joined(batches):
+        """The lines of each split, a LF before each, as few values in their order."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        seq = 0
+        for b in batches:
+            ends = [k for k in range(1, b.num_rows) if b["at"][k] != b["at"][k - 1] or b["file"][k] != b["file"][k - 1]] if b.num_rows and (pc.count_distinct(b["at"]).as_py() > 1 or pc.count_distinct(b["file"]).as_py() > 1) else []
+            for lo, hi in zip([0, *ends], [*ends, b.num_rows], strict=True):
+                if lo < hi:
+                    lines = pa.ListArray.from_arrays([0, hi - lo], b["value"].slice(lo, hi - lo))
+                    body = b"\n" + pc.binary_join(lines, b"\n")[0].as_py()
+                    yield pa.RecordBatch.from_pydict({"file": [b["file"][lo].as_py()], "at": [b["at"][lo].as_py()], "seq": [seq], "n": [len(body)], "body": [body]})
+                    seq += 1
+
+    def digest(state: bytes, parts, last: bool = False) -> bytes:
+        """SHA-256's state after parts, or its digest; hashlib keeps its state to itself, OpenSSL beneath it does not."""
+        import _hashlib
+        import ctypes
+
+        lib, at, out = ctypes.CDLL(_hashlib.__file__), ctypes.create_string_buffer(state, 112), ctypes.create_string_buffer(32)
+        if not state:
+            lib.SHA256_Init(at)
+        for part in parts:
+            lib.SHA256_Update(at, part, ctypes.c_size_t(len(part)))
+        if last:
+            lib.SHA256_Final(out, at)
+        return out.raw if last else at.raw
+
+    def step(states):
+        def run(batches):
+            import pyarrow as pa
+
+            now = {}
+            for b in batches:
+                for file, at, seq, body in zip(*(b[c].to_pylist() for c in ("file", "at", "seq", "body")), strict=True):
+                    first = file not in begun and file not in now
+                    now[file] = digest(now.get(file, states[file]), [body[1:] if first else body])
+            yield pa.RecordBatch.from_pydict({"file": pa.array(list(now), pa.string()), "state": pa.array(list(now.values()), pa.binary())})
+
+        begun = done.copy()
+        return run
+
+    lines = rows.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    pieces = lines.mapInArrow(joined, "file string, at long, seq long, n long, body binary").withColumn("piece", F.floor(F.col("at") / PIECE))
+    pieces.write.partitionBy("piece").options(**{"compression": "none", "parquet.enable.dictionary": "false"}).parquet(path)
+    pieces = spark.read.parquet(path)
+    read = {r.file: r.n - 1 for r in pieces.groupBy("file").agg(F.sum("n").alias("n")).collect()}
+    short = {x: size - read[x] for x, size in sizes.items()}  # the last LF is not in a line, nor is a byte order mark
+    if any(n not in (0, 1, 3, 4) for n in short.values()):
+        raise ValueError(f"files changed while they were read: {sorted(x for x, n in short.items() if n not in (0, 1, 3, 4))}")
+    states, done = {x: digest(b"", [mark] if n > 2 else []) for x, n in short.items()}, set()
+    for k in sorted(r.piece for r in pieces.select("piece").distinct().collect()):
+        part = pieces.where(F.col("piece") == k).repartition(4 * len(sizes), "file").sortWithinPartitions("file", "at", "seq")
+        new = {r.file: bytes(r.state) for r in part.select("file", "at", "seq", "body").mapInArrow(step(states), "file string, state binary").collect()}
+        states, done = states | new, done | set(new)
+    return {x: digest(state, [b"\n"] if short[x] in (1, 4) else [], True).hex() for x, state in states.items()}
 
 
 def verify(found: DataFrame, manifest: DataFrame) -> DataFrame:

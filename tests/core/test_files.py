@@ -1,6 +1,7 @@
 """Cited sources, inventories and streams on small files of their own."""
 
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -99,3 +100,26 @@ def test_stream_goes_on(spark, tmp_path):
         spark.createDataFrame([(i,) for i in ids], "event_id long").withColumn("ts", F.timestamp_seconds(F.col("event_id"))).write.mode("append").parquet(at)
         stream = live.ingest(spark.readStream.schema(rows).parquet(at), "event_id", "ts")
         assert sorted(r.event_id for r in live.drain(stream, out, state).collect()) == want
+
+
+def test_inventory_in_pieces(spark, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    files_ = {
+        "bytes": rng.randbytes(300_000), "ends": rng.randbytes(50_000) + b"\n", "marked": b"\xef\xbb\xbf" + rng.randbytes(40_000), "marked_ends": b"\xef\xbb\xbf\n" + rng.randbytes(40_000) + b"\r\n",
+        "line": b"x" * 60_000, "blank": b"\n" * 30_000, "small": b"abc", "packed.gz": rng.randbytes(30_000), "begins": b"\n\n" + b"y\n" * 20_000 + b"z",
+    }
+    for name, body in files_.items():
+        (tmp_path / name).write_bytes(body)
+    monkeypatch.setattr(files, "PIECE", 20_000)
+    conf = {"spark.sql.files.maxPartitionBytes": "8192", "spark.sql.files.openCostInBytes": "1000", "spark.sql.execution.arrow.maxRecordsPerBatch": "50"}
+    before, whole = {key: spark.conf.get(key) for key in conf}, []
+    try:
+        for key, value in conf.items():
+            spark.conf.set(key, value)
+        monkeypatch.setattr(files, "_chained", lambda rows, sizes, f=files._chained: whole.append(set(sizes)) or f(rows, sizes))
+        got = {r.name: (r.bytes, r.sha256) for r in files.inventory(spark, f"{tmp_path}/*").collect()}
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert got == {name: (len(body), hashlib.sha256(body).hexdigest()) for name, body in files_.items()}
+    assert {x.rsplit("/", 1)[1] for x in whole[0]} == set(files_) - {"small", "packed.gz"}
