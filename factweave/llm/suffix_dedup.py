@@ -97,7 +97,7 @@ SHARD = "shard long, meta binary, text binary, bounds binary, bwt binary, before
 SENT, HELD = "shard long, part int, pack binary", "shard long, kind int, pack binary"
 LIVE = ("<i8", "<i4", "<i4", "<u2", "u1", "u1")  # prefix, first row, rows, bytes, bytes without the last phrase, front
 ASK = ("<i8", "<i8", "<i4", "<i4", "u1")  # core, full, members here, their number here, whether undecided
-MEMBER = ("<i4", "u1", "u1", "<i4", "u1")  # anchor, low, high, number here, whether undecided
+MEMBER = ("<i4", "u1", "u1", "<i4", "u1")  # anchor, low, high, number here, whether undecided and twice the index of the window
 ANSWER = ("<i4", "u1")  # number, 1: repeats, 2: look closer, 4: undecided
 
 
@@ -283,7 +283,7 @@ def _extend(need: int, steps: int, parts: int):
     return step
 
 
-def _asked(shard: int, anchor, low, high, core, full, need, parts: int) -> pa.Table:
+def _asked(shard: int, anchor, low, high, which, core, full, need, parts: int) -> pa.Table:
     """Members by number, and what the shard holds of each range, dealt by core."""
     if not len(anchor):
         return _rows(SENT, [])
@@ -295,7 +295,7 @@ def _asked(shard: int, anchor, low, high, core, full, need, parts: int) -> pa.Ta
     n = np.bincount(number)
     open_ = np.zeros(len(one), np.uint8)
     np.maximum.at(open_, number, need.astype(np.uint8))
-    rows = [(shard, -1, _pack(MEMBER, (anchor, low, high, number, need)))]
+    rows = [(shard, -1, _pack(MEMBER, (anchor, low, high, number, need + 2 * which)))]
     return _rows(SENT, rows + _dealt(shard, core[one], parts, ASK, (core[one], full[one], n, np.arange(len(one)), open_)))
 
 
@@ -323,9 +323,10 @@ def _judge(last: bool):
 
 
 def _settled(right: pa.Table):
-    """(members that repeat, members to look closer at and whether they are undecided) from members and answers."""
+    """(members that repeat, members to look closer at and whether they are undecided) from members and answers; each with its window's index."""
     kind = right.column("kind").to_numpy()
     anchor, low, high, number, need = _unpack(MEMBER, [x for x, k in zip(right.column("pack"), kind, strict=True) if k == 0])
+    which, need = need >> 1, need & 1
     asked, status = _unpack(ANSWER, [x for x, k in zip(right.column("pack"), kind, strict=True) if k == 1])
     by_number = np.zeros(int(number.max()) + 1 if len(number) else 0, np.uint8)
     by_number[asked] = status
@@ -333,28 +334,34 @@ def _settled(right: pa.Table):
     done = (mine & 1 > 0) & (need > 0)
     look = np.flatnonzero(mine & 2)
     look = look[np.unique(number[look], return_index=True)[1]]
-    return (anchor[done], low[done], high[done]), (anchor[look], low[look], high[look], mine[look] & 4 > 0)
+    return (anchor[done], low[done], high[done], which[done]), (anchor[look], low[look], high[look], which[look], mine[look] & 4 > 0)
 
 
-def _grid(b, low, high, need, data, bounds, grid: int, window: int, shard: int, parts: int) -> pa.Table:
-    """Asks about the ranges of a grid over windows of the anchors b; b, low and high are as the cells above had them."""
+def _grid(b, low, high, which, need, data, bounds, grid: int, windows: list[int], shard: int, parts: int) -> pa.Table:
+    """Asks about the ranges of a grid over windows of the anchors b; b, low and high are as the cells above had them,
+    which is each one's index in windows.  Ranges of different windows never meet: their hashes tell lengths apart."""
     roll, second, out = Rolling(11), Rolling(13), []
     order = np.argsort(b, kind="stable")
-    b, low, high, need = b[order].astype(np.int64), low[order].astype(np.int64), high[order].astype(np.int64), need[order]
+    b, low, high, which, need = b[order].astype(np.int64), low[order].astype(np.int64), high[order].astype(np.int64), which[order], need[order]
     for lo, hi in row_blocks(bounds, BLOCK_BYTES):
         x, y = np.searchsorted(b, [bounds[lo], bounds[hi]])
         if x == y:
             continue
         part = data[bounds[lo] : bounds[hi]]
-        at, sums = b[x:y] - bounds[lo], roll.over(part)
-        i, c_lo, c_hi, core, full = _ranges(at, low[x:y], high[x:y], grid, window, sums, roll)
-        if grid == 1:  # core and full are the same bytes: full from hashes of its own
-            full = second.of(second.over(part), at[i] - c_lo, at[i] - c_lo + window).view(np.int64)
-        out.append((b[x:y][i], c_lo, c_hi, core, full, need[x:y][i]))
+        sums = roll.over(part)
+        for k, window in enumerate(windows):
+            own = np.flatnonzero(which[x:y] == k) + x
+            if not len(own):
+                continue
+            at = b[own] - bounds[lo]
+            i, c_lo, c_hi, core, full = _ranges(at, low[own], high[own], grid, window, sums, roll)
+            if grid == 1:  # core and full are the same bytes: full from hashes of its own
+                full = second.of(second.over(part), at[i] - c_lo, at[i] - c_lo + window).view(np.int64)
+            out.append((b[own][i], c_lo, c_hi, np.full(len(i), k, np.uint8), core, full, need[own][i]))
     return _asked(shard, *(np.concatenate(c) for c in zip(*out, strict=True)), parts) if out else _rows(SENT, [])
 
 
-def _live_cells(need: int, window: int, parts: int):
+def _live_cells(need: int, windows: list[int], parts: int):
     def cells(left: pa.Table, right: pa.Table) -> pa.Table:
         """Asks about the cells of the anchors in repeated intervals."""
         _, lo, n, length, _, _ = _unpack(LIVE, right.column("pack"))
@@ -365,60 +372,78 @@ def _live_cells(need: int, window: int, parts: int):
         total = len(raw) // 6
         live = np.unique(_column(left, "sa", "<i4")[row])
         pos, low, high = np.frombuffer(raw, "<i4", total), np.frombuffer(raw, "u1", total, 4 * total), np.frombuffer(raw, "u1", total, 5 * total)
-        return _grid(pos[live], low[live], high[live], np.ones(len(live), bool), _text(left), _column(left, "bounds", "<i8"), GRID[0], window, left.column("shard")[0].as_py(), parts)
+        pos, low, high, bounds = pos[live].astype(np.int64), low[live].astype(np.int64), high[live], _column(left, "bounds", "<i8")
+        end = bounds[np.searchsorted(bounds, pos, "right")]
+        lows = [np.maximum(low, pos - end + w) for w in windows]  # a longer window ends within the text from fewer offsets
+        some = [np.flatnonzero(x <= high) for x in lows]
+        which = np.repeat(np.arange(len(windows)), [len(x) for x in some])
+        low, some = np.concatenate([x[o] for x, o in zip(lows, some, strict=True)]), np.concatenate(some)
+        return _grid(pos[some], low, high[some], which, np.ones(len(some), bool), _text(left), bounds, GRID[0], windows, left.column("shard")[0].as_py(), parts)
 
     return cells
 
 
-def _finer(window: int, grid: int, parts: int):
+def _finer(windows: list[int], grid: int, parts: int):
     def cells(left: pa.Table, right: pa.Table) -> pa.Table:
-        _, (b, low, high, need) = _settled(right)
+        _, (b, low, high, which, need) = _settled(right)
         if not len(b):
             return _rows(SENT, [])
-        return _grid(b, low, high, need, _text(left), _column(left, "bounds", "<i8"), grid, window, left.column("shard")[0].as_py(), parts)
+        return _grid(b, low, high, which, need, _text(left), _column(left, "bounds", "<i8"), grid, windows, left.column("shard")[0].as_py(), parts)
 
     return cells
 
 
-def _strip(window: int, schema: pa.Schema):
+def _strip(windows: list[int], schema: pa.Schema):
     def rows(left: pa.Table, right: pa.Table) -> pa.Table:
         data, bounds = _text(left), _column(left, "bounds", "<i8")
         meta = pa.ipc.open_stream(left.column("meta")[0].as_buffer()).read_all() if left.num_rows else None
         if meta is None:
             return schema.empty_table()
-        gone = np.zeros(len(data) + 1, np.int32)
-        for level in np.unique(right.column("level").to_numpy()):
-            b, low, high = (c.astype(np.int64) for c in _settled(right.filter(pc.equal(right.column("level"), level)))[0])
-            np.add.at(gone, b - high, 1)
-            np.add.at(gone, b - low + window, -1)
-        stay = np.cumsum(gone, dtype=np.int32)[: len(data)] == 0
-        del gone
-        n, removed, spans, kept = [], [], [], []
-        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            mask = stay[lo:hi]
-            n.append(hi - lo)
-            removed.append(int(hi - lo - np.count_nonzero(mask)))
-            spans.append(int(np.count_nonzero(~mask & np.concatenate([[True], mask[:-1]]))) if removed[-1] else 0)
-            kept.append((data[lo:hi][mask] if removed[-1] else data[lo:hi]).tobytes())
-        made = [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())]
+        levels = np.unique(right.column("level").to_numpy())
+        found = [_settled(right.filter(pc.equal(right.column("level"), level)))[0] for level in levels]
+        counts, kept = [], []
+        for k, window in enumerate(windows):
+            gone = np.zeros(len(data) + 1, np.int32)
+            for anchor, low, high, which in found:
+                b, low, high = (c[which == k].astype(np.int64) for c in (anchor, low, high))
+                np.add.at(gone, b - high, 1)
+                np.add.at(gone, b - low + window, -1)
+            stay = np.cumsum(gone, dtype=np.int32)[: len(data)] == 0
+            del gone
+            removed, spans = [], []
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                mask = stay[lo:hi]
+                removed.append(int(hi - lo - np.count_nonzero(mask)))
+                spans.append(int(np.count_nonzero(~mask & np.concatenate([[True], mask[:-1]]))) if removed[-1] else 0)
+                if k == 0:
+                    kept.append((data[lo:hi][mask] if removed[-1] else data[lo:hi]).tobytes())
+            counts += [removed, spans]
+        made = [pa.array(c, pa.int64()) for c in (np.diff(bounds), *counts)]
+        made.insert(3, pa.array(kept, pa.binary()))
         return pa.Table.from_arrays([c.combine_chunks().cast(f.type) for c, f in zip(meta.columns, schema, strict=False)] + made, schema=schema)
 
     return rows
 
 
-def remove_repeats(df: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), window: int = 400, slide: int = SLIDE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def remove_repeats(df: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), window: int = 400, slide: int = SLIDE, shard_bytes: int = SHARD_BYTES, passage: int | None = None) -> DataFrame:
     """df's carry columns with n_bytes, n_removed, n_spans (long) and kept (binary): each text's UTF-8 bytes
     without those covered by a window-byte string that also starts anywhere else in df.
 
     A null text counts as empty; texts below window bytes lose nothing; rows may repeat (each is a text of its
     own, so that a repeated long text loses all its bytes); an empty df gives no rows.  Strings are judged on
-    the input, overlaps count, and no string spans two rows.  Other columns are not read.
+    the input, overlaps count, and no string spans two rows.  Other columns are not read.  With passage, the columns
+    passage_bytes and passage_spans (long) count what strings of so many bytes, judged alike, would cover; kept is as
+    without it.
     """
-    need = window - (slide + GRAM - 1) - (slide - 1)
+    if passage == window:
+        raise ValueError("passage and window must differ")
+    windows = [window] if passage is None else [window, passage]
+    shortest = min(windows)
+    need = shortest - (slide + GRAM - 1) - (slide - 1)
     if need < 1:
         raise ValueError("window is too short for this slide")
     source = df.select(F.col(text).cast("string").alias("_text"), *carry)
-    shards = keep_bucketed(source.mapInArrow(lean(_build(window, slide, list(carry), shard_bytes)), SHARD), "shard")
+    shards = keep_bucketed(source.mapInArrow(lean(_build(shortest, slide, list(carry), shard_bytes)), SHARD), "shard")
     parts = parts_for(source, "_text")  # so that what one reducer reads doesn't grow with the corpus
     merged = lambda sent: keep(sent.groupBy("part").applyInArrow(_merge, HELD))
     live = merged(shards.select("shard", "bwt", "before", "step").mapInArrow(_first(parts), SENT))
@@ -431,7 +456,7 @@ def remove_repeats(df: DataFrame, text: str = "text", carry: tuple[str, ...] = (
     for x in rounds:
         reached = reached.unionByName(x)
     body = shards.select("shard", "text", "bounds", "sa", "ranges").groupBy("shard")
-    asked = keep(body.cogroup(reached.groupBy("shard")).applyInArrow(lean_group(_live_cells(need, window, parts)), SENT))
+    asked = keep(body.cogroup(reached.groupBy("shard")).applyInArrow(lean_group(_live_cells(need, windows, parts)), SENT))
     free(live, *rounds)
     spans = None
     for level, finer in enumerate((*GRID[1:], None)):
@@ -440,11 +465,13 @@ def remove_repeats(df: DataFrame, text: str = "text", carry: tuple[str, ...] = (
         told_at = told.withColumn("level", F.lit(level))
         spans = told_at if spans is None else spans.unionByName(told_at)
         if finer:
-            asked = keep(shards.select("shard", "text", "bounds").groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_finer(window, finer, parts), SENT))
-    out = source.select(*carry, *(F.lit(0).cast("long").alias(c) for c in ("n_bytes", "n_removed", "n_spans")), F.lit(b"").alias("kept")).schema
+            asked = keep(shards.select("shard", "text", "bounds").groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_finer(windows, finer, parts), SENT))
+    longs = lambda *names: (F.lit(0).cast("long").alias(c) for c in names)
+    more = ("passage_bytes", "passage_spans")[: 2 * len(windows) - 2]
+    out = source.select(*carry, *longs("n_bytes", "n_removed", "n_spans"), F.lit(b"").alias("kept"), *longs(*more)).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    return shards.select("shard", "meta", "text", "bounds").groupBy("shard").cogroup(spans.groupBy("shard")).applyInArrow(lean_group(_strip(window, to_arrow_schema(out))), out)
+    return shards.select("shard", "meta", "text", "bounds").groupBy("shard").cogroup(spans.groupBy("shard")).applyInArrow(lean_group(_strip(windows, to_arrow_schema(out))), out)
 
 
 def _kept_text():
@@ -454,9 +481,10 @@ def _kept_text():
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept text of every document, for strings of 400 bytes."""
-    out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), _kept_text().alias("text"))
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept text of every document, for strings of 400 bytes;
+    passage_bytes and passage_spans for strings of PASSAGE bytes, so for repeated passages of over 50 words."""
+    out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), slide=PASSAGE_SLIDE, passage=PASSAGE)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), _kept_text().alias("text"), "passage_bytes", "passage_spans")
 
 
 def strip_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from factweave.llm.suffix_dedup import remove_repeats, strip_stage
+from factweave.llm.suffix_dedup import op1_suffix_dedup, remove_repeats, strip_stage
 
 
 def brute(texts, window):
@@ -65,3 +65,19 @@ def test_stage_drops_passages_of_over_50_words(spark):
     assert not any(p[20:-20] in t for p in passages for t in got.values())
     assert all(got[i] == texts[i] for i in range(24, 30))
     assert [hashlib.sha256(got[i].encode()).hexdigest() for i in range(1, 30) if "\ufffd" not in got[i]] == [brute(texts, 256)[i][3] for i in range(1, 30) if "\ufffd" not in got[i]]
+
+
+def test_query_counts_passages_of_over_50_words_beside_the_contract(spark, tmp_path):
+    rng = random.Random(9)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghé") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    passages = [text(51) for _ in range(6)] + [text(120)]
+    assert all(256 < len(p.encode()) < 400 for p in passages[:6])
+    texts = [text(rng.randint(0, 300)) + " " + passages[k % 7] + " " + text(rng.randint(0, 300)) for k in range(21)] + [text(400) for _ in range(6)]
+    texts += [None, "", "short", "x" * 255, "y" * 300, "y" * 300, "z" * 399, "z" * 399, "w" * 400, passages[6], passages[0] + passages[0]]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op1_suffix_dedup(spark, str(tmp_path)).collect()}
+    for i, (contract, passage) in enumerate(zip(brute(texts, 400), brute(texts, 256), strict=True)):
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == contract, i
+        assert (got[i].passage_bytes, got[i].passage_spans) == passage[1:3], i
+    assert all(got[i].passage_bytes > 255 for i in range(21)) and sum(got[i].n_removed > 0 for i in range(21)) == 3
+    assert not any(got[i].passage_bytes for i in range(21, 27))
